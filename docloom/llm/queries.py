@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import lang_id, quality_model
 from docloom.llm.bpe import decode_ids, encode_documents
-from docloom.llm.common import read_table
+from docloom.llm.common import crc32_of_id, read_table
 from docloom.llm.token_counts import count_tokens
 
 
@@ -18,6 +19,22 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    remainder = F.coalesce(crc32_of_id("doc_id") % 4, F.lit(-1))
+    models = lang_id.train(docs.where((remainder != 2) & (remainder >= 0)), "doc_id", "text", "lang")
+    return docs.select("doc_id", (remainder == 2).alias("held_out"), lang_id.identify("text", models, spark).alias("got")).select("doc_id", "held_out", "got.lang_pred", "got.score", "got.rejected")
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    remainder = F.coalesce(crc32_of_id("doc_id") % 3, F.lit(-1))
+    model = quality_model.train(labels.where((remainder != 1) & (remainder >= 0)), docs, "doc_id", "text", "quality")
+    scored = docs.select("doc_id", (remainder == 1).alias("held_out"), quality_model.score("text", model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
+    return {"op3_lang_id": op3_lang_id, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
