@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.llm import lang_id, quality_model
 from docloom.llm.bpe import decode_ids, encode_documents
 from docloom.llm.common import crc32_of_id, read_table
+from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.token_counts import count_tokens
 
 
@@ -35,6 +36,11 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_lang_id": op3_lang_id, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
+    return {"op3_lang_id": op3_lang_id, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
