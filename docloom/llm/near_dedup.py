@@ -44,6 +44,7 @@ BATCH, MISS = 32, 1e-7
 TASK_ROWS, TASK_BYTES = 1024, 16 << 20
 
 _HASHES = BANDS * ROWS
+_FACTORS = (textvec.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def signatures(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,11 +55,12 @@ def signatures(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     for part in _runs(at, full):
         lo, hi = at[part[0]], at[part[-1] + 1]
         first = at[part] - lo
-        x = shingles[lo:hi].astype(np.uint32)
-        step = (shingles[lo:hi] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        x ^= x >> np.uint32(15)
-        for j in range(_HASHES):  # the j-th hash of an element: x + j * step, scrambled by its own odd factor
-            x += step
+        low = shingles[lo:hi].astype(np.uint32)
+        high = (shingles[lo:hi] >> np.uint64(32)).astype(np.uint32)
+        x = np.empty_like(low)
+        for j in range(_HASHES):  # the j-th hash of an element: low half * odd factor + high half
+            np.multiply(low, _FACTORS[j], out=x)
+            x += high
             out[part, j] = np.minimum.reduceat(x, first)
     return out
 
@@ -71,7 +73,7 @@ def _runs(at: np.ndarray, rows: np.ndarray, size: int = 1 << 15) -> Iterator[np.
         a = b
 
 
-def _sets(size: int, similar: bool):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(1))
@@ -211,7 +213,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     with Scratch(spark, "near") as scratch:
         like = numbered.select("row", "text", "id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("f1"), F.lit(0).cast("bigint").alias("f2"), F.lit(b"").alias("sig"))
-        sets = scratch.write(numbered.mapInArrow(_sets(size, True), like.schema), "sets")
+        sets = scratch.write(numbered.mapInArrow(_sets(size), like.schema), "sets")
         classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
         # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
         reps = classes.where(F.col("n") * (100 - percent) >= percent).select(F.col("rep").alias("row"))
