@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from docloom.llm import lang_id, quality_model
 from docloom.llm.bpe import decode_ids, encode_documents
 from docloom.llm.common import crc32_of_id, read_table
+from docloom.llm.decontamination import find_leaks
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.sharding import shard
 from docloom.llm.token_counts import count_tokens
 
 
@@ -20,6 +22,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     remainder = F.coalesce(crc32_of_id("doc_id") % 4, F.lit(-1))
@@ -41,6 +47,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint")
+    return shard(docs).select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_lang_id": op3_lang_id, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
+    return {"op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
