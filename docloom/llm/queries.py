@@ -11,6 +11,7 @@ from docloom.llm import lang_id, quality_model, quality_rules, warc
 from docloom.llm.bpe import decode_ids, encode_documents
 from docloom.llm.common import crc32_of_id, read_table
 from docloom.llm.decontamination import find_leaks
+from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.sharding import shard
 from docloom.llm.token_counts import count_tokens
@@ -69,6 +70,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode_ids(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
@@ -82,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
