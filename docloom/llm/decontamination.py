@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec
@@ -154,36 +153,50 @@ class Items:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(id, item id, n_tokens, n_matched, coverage, n_tiles): a row per document and item that leaks into it."""
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+def _finder(sent, kind: str, item: pa.DataType, coverage: float):
+    @F.arrow_udf(f"array<struct<item: {kind}, n_tokens: bigint, n_matched: bigint, coverage: double, n_tiles: bigint>>")
+    def found(text: pa.Array) -> pa.Array:
+        names, block = sent.value
+        rows: list[list[dict]] = []
+        held, size = [], 0
+        for i in range(len(text)):
+            t = text[i].as_py() or ""
+            held.append(t)
+            size += len(t)
+            if size >= CHARS or i == len(text) - 1:
+                got: list[list[dict]] = [[] for _ in held]
+                for d, k, marked, tiles in block.leaks(held, coverage):
+                    n = len(block.items[k])
+                    got[d].append({"item": names[k], "n_tokens": n, "n_matched": marked, "coverage": marked / n, "n_tiles": tiles})
+                rows += got
+                held, size = [], 0
+        return pa.array(rows, pa.list_(pa.struct([("item", item), ("n_tokens", pa.int64()), ("n_matched", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64())])))
+
+    return found
+
+
+def leaks_of(text: Column, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> Column:
+    """array<struct<item, n_tokens, n_matched, coverage, n_tiles>> of the items that leak into a text."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (4 * block_tokens)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = rows.select("id").crossJoin(items.select("item").limit(0)).schema.add("n_tokens", "long").add("n_matched", "long").add("coverage", "double").add("n_tiles", "long")
-    out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").toArrow()  # about block_tokens tokens
-        sent = spark.sparkContext.broadcast((own.column("item").combine_chunks(), Items(own.column("text").to_pylist())))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, block = sent.value
-            for batch in batches:
-                held, size, first = [], 0, 0
-                n = len(batch)
-                for i in range(n):
-                    text = batch.column(1)[i].as_py() or ""
-                    held.append(text)
-                    size += len(text)
-                    if size >= CHARS or i == n - 1:
-                        got = block.leaks(held, coverage)
-                        if got:
-                            d, k, m, t = map(np.array, zip(*got, strict=True))
-                            total = np.array([len(block.items[x]) for x in k])
-                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + first)), names.take(pa.array(k)), pa.array(total, pa.int64()), pa.array(m, pa.int64()), pa.array(m / total, pa.float64()), pa.array(t, pa.int64())], ["id", "item", "n_tokens", "n_matched", "coverage", "n_tiles"])
-                        held, size, first = [], 0, i + 1
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    kind = items.schema["item"].dataType.simpleString()
+    out = []
+    for number in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).orderBy("item", "text").toArrow()  # about block_tokens tokens
+        sent = spark.sparkContext.broadcast((own.column("item").to_pylist(), Items(own.column("text").to_pylist())))
+
+        out.append(_finder(sent, kind, own.schema.field("item").type, coverage)(text.cast("string")))
+    return out[0] if len(out) == 1 else F.concat(*out)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
+    """(id, item id, n_tokens, n_matched, coverage, n_tiles): a row per document and item that leaks into it."""
+    found = docs.select(F.col(id_col), leaks_of(F.col(text_col), benchmark, item_col, **options).alias("__leaks"))
+    return found.select(id_col, F.inline("__leaks")).withColumnRenamed("item", item_col)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that no item leaks into."""
+    return docs.withColumn("__leaks", leaks_of(F.col(text_col), benchmark, **options)).where(F.size("__leaks") == 0).drop("__leaks")

@@ -83,7 +83,7 @@ def _sets(size: int):
                 sig = signatures(shingles, at)
                 prints = np.array([np.frombuffer(hashlib.blake2b(shingles[i:j].tobytes(), digest_size=16).digest(), np.int64) for i, j in zip(at, at[1:], strict=False)], np.int64).reshape(-1, 2)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(at), pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "text", "id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(np.diff(at), pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "text", "id", "rest", "n", "f1", "f2", "sig"])
 
     return run
 
@@ -206,13 +206,13 @@ def _verified(size: int, percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, keep_text: bool = False) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id, kept (whether the id is the component's),
-    first (whether the row is the one row of its component that stays), and row, its number."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: row (its number), id, n_shingles, component_id, root (number of the
+    component), kept (whether the id is the component's), and rest, a struct of the carried columns."""
     spark = df.sparkSession
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("__"), *carry).alias("rest"))
     with Scratch(spark, "near") as scratch:
-        like = numbered.select("row", "text", "id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("f1"), F.lit(0).cast("bigint").alias("f2"), F.lit(b"").alias("sig"))
+        like = numbered.select("row", "text", "id", "rest", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("f1"), F.lit(0).cast("bigint").alias("f2"), F.lit(b"").alias("sig"))
         sets = scratch.write(numbered.mapInArrow(_sets(size), like.schema), "sets")
         classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
         # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
@@ -235,6 +235,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         linked = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "rep", "least", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("many"))
         of_root = linked.where("many").groupBy("root").agg(F.min("least").alias("root_least"))
         known = linked.where("copies > 1 or many").join(of_root, "root", "left").select("f1", "f2", F.when(F.col("many"), F.col("root_least")).otherwise(F.col("least")).alias("component_id"), "root")
-        rows = sets.select("row", "id", "n", "f1", "f2", *(["text"] if keep_text else []))
-        out = rows.join(known, ["f1", "f2"], "left").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("root", "row")).otherwise(F.col("row")).alias("root"), *(["text"] if keep_text else []))
+        rows = sets.select("row", "id", "n", "f1", "f2", *(["rest"] if carry else []))
+        out = rows.join(known, ["f1", "f2"], "left").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("root", "row")).otherwise(F.col("row")).alias("root"), *(["rest"] if carry else []))
         return scratch.write(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), "out", keep=True)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df without near-duplicates: of each component the row of the least id, the first such if it is repeated."""
+    found = near_duplicates(df, id_col, text_col, carry=tuple(df.columns), **options)
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row")
+    return found.join(stay, "row", "left_semi").select(*[F.col("rest")[c].alias(c) for c in df.columns])
