@@ -192,7 +192,8 @@ def checked_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
     return rows.withColumn(vector, ok)
 
 
-def similarity_summary(pairs: DataFrame, score: str = "similarity") -> DataFrame:
+def similarity_summary(pairs, score: str = "similarity") -> DataFrame:
+    """Figures of a table of pairs, or of each group of a grouped one."""
     s = F.col(score)
     edges = {f"ge_{int(x * 100)}": F.count_if(s >= x) for x in (0.95, 0.9, 0.8, 0.7)}
     return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(s), SCALE).alias("mean"), F.round(F.median(s), SCALE).alias("median"), F.round(F.stddev_pop(s), SCALE).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), *[v.alias(n) for n, v in edges.items()])
