@@ -33,6 +33,8 @@ from docloom.llm.common import Scratch
 ORDER = 5
 #: Expected characters that the model of one language is fitted on at most.
 MAX_CHARS = 3_000_000
+#: Least variance, in bits squared, that texts of one language are taken to have among them.
+LEAST_SPREAD = 0.06
 #: Characters scored at once.
 BLOCK = 1 << 20
 
@@ -315,7 +317,7 @@ def calibrate(models: LanguageModels, held) -> None:
         own = best == j
         pick = own if own.sum() >= 8 else np.ones(len(best), bool)
         usual, each = float(np.average(low[pick], weights=size[pick])), max(float(spread[pick].mean()), 1e-3)
-        between = max(float(np.average(np.square(low[pick] - usual), weights=np.sqrt(size[pick]))), 1e-3)
+        between = max(float(np.average(np.square(low[pick] - usual), weights=np.sqrt(size[pick]))), LEAST_SPREAD)
         models.limits[j] = usual, between, each
         if own.any():
             worst = max(worst, 2.0 * float(((low[own] - usual) / np.sqrt(between + each / size[own])).max()))

@@ -108,6 +108,7 @@ def fit(feature: np.ndarray, value: np.ndarray, at: np.ndarray, label: np.ndarra
     rng, size = np.random.default_rng(seed), BUCKETS + STATS
     model = FactorisationMachine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)))
     if not len(label):
+        model.v[:] = 0
         return model
     share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
     model.w0 = float(np.log(share / (1 - share)))
