@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, retrieval, sequence
+from docloom.queries import catalog, parsing, retrieval, sequence
 
 
 def _parts():
-    return (catalog, sequence, retrieval)
+    return (catalog, sequence, retrieval, parsing)
 
 
 def queries() -> dict:
