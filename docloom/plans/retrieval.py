@@ -54,7 +54,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, item_id: str, vect
         if not len(own) and out is not None:
             continue
         names = own.column(0).combine_chunks()
-        matrix = _unit(np.array(own.column(1).to_pylist(), np.float64).reshape(len(own), -1))
+        matrix = _unit(_matrix(own.column(1)))
         sent = spark.sparkContext.broadcast((names, matrix))
         found = items.select(item_id, F.col(vector).cast("array<double>")).mapInArrow(_best(sent, k), f"query_id {kind}, {item_id} {id_type}, score double")
         out = found if out is None else out.unionByName(found)
@@ -62,6 +62,11 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, item_id: str, vect
     return ranked.where("score > 0") if positive else ranked
 
 
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = vectors.to_pylist()
+    return np.array(rows, np.float64) if rows else np.zeros((0, 0))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
@@ -76,7 +81,7 @@ def _best(sent, k: int) -> Callable:
                 part = batch.slice(i, 4096)
                 if not len(queries):
                     continue
-                scores = np.round(queries @ _unit(np.array(part.column(1).to_pylist(), np.float64).reshape(len(part), -1)).T, SCALE) + 0.0
+                scores = np.round(queries @ _unit(_matrix(part.column(1))).T, SCALE) + 0.0
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 held_id = ids if not len(held_id) else np.concatenate([held_id, ids])
                 held_score = scores if not len(held_score) else np.concatenate([held_score, scores], 1)
