@@ -32,7 +32,7 @@ from docloom.llm.common import Scratch
 
 ORDER = 5
 #: Expected characters that the model of one language is fitted on at most.
-MAX_CHARS = 3_000_000
+MAX_CHARS = 600_000
 #: Least variance, in bits squared, that texts of one language are taken to have among them.
 LEAST_SPREAD = 0.06
 #: Characters scored at once.
