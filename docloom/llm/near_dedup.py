@@ -42,6 +42,8 @@ BANDS, ROWS = 48, 8
 #: Signature values compared at once, and the probability at which a pair is given up.
 BATCH, MISS = 32, 1e-7
 TASK_ROWS, TASK_BYTES = 1024, 16 << 20
+#: Numbers of removed rows that are broadcast; beyond, both sides are exchanged.
+MOST_GONE = 1 << 20
 
 _HASHES = BANDS * ROWS
 _FACTORS = (textvec.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -206,42 +208,63 @@ def _verified(size: int, percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """One row per row of df: row (its number), id, n_shingles, component_id, root (number of the
-    component), kept (whether the id is the component's), and rest, a struct of the carried columns."""
-    spark = df.sparkSession
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("__"), *carry).alias("rest"))
-    with Scratch(spark, "near") as scratch:
-        like = numbered.select("row", "text", "id", "rest", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("f1"), F.lit(0).cast("bigint").alias("f2"), F.lit(b"").alias("sig"))
-        sets = scratch.write(numbered.mapInArrow(_sets(size), like.schema), "sets")
-        classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
-        # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
-        reps = classes.where(F.col("n") * (100 - percent) >= percent).select(F.col("rep").alias("row"))
-        bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-        buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", bands.alias("key"))
-        heads = buckets.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-        near = scratch.write(buckets.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "near")
-        groups = connected_components(near, scratch, "groups")
-        scratch.drop("near")
-        sized = sets.select("row", "text", "sig").join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row")
-        totals = sets.select("row", F.octet_length("text").alias("bytes")).join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row").groupBy("task").agg(F.ceil(F.greatest(F.count("*") / TASK_ROWS, F.sum("bytes") / TASK_BYTES)).cast("int").alias("blocks"))
-        mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = sized.join(totals, "task").withColumn("mine", mine).withColumn("other", other).select("task", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "row", "text", "sig", (F.col("mine") > F.col("other")).alias("second"))
-        tasks = dealt.repartition("task", "one", "two").sortWithinPartitions("task", "one", "two", "row")
-        links = scratch.write(tasks.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "links")
-        roots = connected_components(links, scratch, "roots")
-        # The class of a row, then the least id and row of all classes of its component.
-        linked = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "rep", "least", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("many"))
-        of_root = linked.where("many").groupBy("root").agg(F.min("least").alias("root_least"))
-        known = linked.where("copies > 1 or many").join(of_root, "root", "left").select("f1", "f2", F.when(F.col("many"), F.col("root_least")).otherwise(F.col("least")).alias("component_id"), "root")
-        rows = sets.select("row", "id", "n", "f1", "f2", *(["rest"] if carry else []))
-        out = rows.join(known, ["f1", "f2"], "left").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("root", "row")).otherwise(F.col("row")).alias("root"), *(["rest"] if carry else []))
-        return scratch.write(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), "out", keep=True)
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    component) and kept (whether the id is the component's)."""
+    with Scratch(df.sparkSession, "near") as scratch:
+        scratch.kept.add("out")
+        return _find(df, id_col, text_col, size, percent, (), scratch)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """The rows of df without near-duplicates: of each component the row of the least id, the first such if it is repeated."""
-    found = near_duplicates(df, id_col, text_col, carry=tuple(df.columns), **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row")
-    return found.join(stay, "row", "left_semi").select(*[F.col("rest")[c].alias(c) for c in df.columns])
+    with Scratch(df.sparkSession, "near") as scratch:
+        scratch.kept |= {"sets", "gone"}
+        others = tuple(c for c in df.columns if c not in (id_col, text_col))
+        found = _find(df, id_col, text_col, size, percent, others, scratch)
+        stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row")
+        gone = scratch.write(found.select("row").join(stay, "row", "left_anti"), "gone")
+        if gone.count() <= MOST_GONE:
+            gone = F.broadcast(gone)
+        sets = scratch.read("sets", _sets_like(_numbered(df, id_col, text_col, others)))
+        column = {id_col: F.col("id"), text_col: F.col("text").cast(df.schema[text_col].dataType)}
+        return sets.join(gone, "row", "left_anti").select(*[column.get(c, F.col("rest")[c]).alias(c) for c in df.columns])
+
+
+def _numbered(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("__"), *carry).alias("rest"))
+
+
+def _sets_like(numbered: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return numbered.select("row", "text", "id", "rest", zero.alias("n"), zero.alias("f1"), zero.alias("f2"), F.lit(b"").alias("sig"))
+
+
+def _find(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, carry: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """As near_duplicates; the table sets, with texts and carried columns by row, is left in scratch."""
+    numbered = _numbered(df, id_col, text_col, carry)
+    sets = scratch.write(numbered.mapInArrow(_sets(size), _sets_like(numbered).schema), "sets")
+    classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
+    # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
+    reps = classes.where(F.col("n") * (100 - percent) >= percent).select(F.col("rep").alias("row"))
+    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
+    buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", bands.alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
+    near = scratch.write(buckets.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "near")
+    groups = connected_components(near, scratch, "groups")
+    scratch.drop("near")
+    sized = sets.select("row", "text", "sig").join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row")
+    totals = sets.select("row", F.octet_length("text").alias("bytes")).join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row").groupBy("task").agg(F.ceil(F.greatest(F.count("*") / TASK_ROWS, F.sum("bytes") / TASK_BYTES)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sized.join(totals, "task").withColumn("mine", mine).withColumn("other", other).select("task", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "row", "text", "sig", (F.col("mine") > F.col("other")).alias("second"))
+    tasks = dealt.repartition("task", "one", "two").sortWithinPartitions("task", "one", "two", "row")
+    links = scratch.write(tasks.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "links")
+    roots = connected_components(links, scratch, "roots")
+    # The class of a row, then the least id and row of all classes of its component.
+    linked = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "rep", "least", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("many"))
+    of_root = linked.where("many").groupBy("root").agg(F.min("least").alias("root_least"))
+    known = linked.where("copies > 1 or many").join(of_root, "root", "left").select("f1", "f2", F.when(F.col("many"), F.col("root_least")).otherwise(F.col("least")).alias("component_id"), "root")
+    rows = sets.select("row", "id", "n", "f1", "f2")
+    out = rows.join(known, ["f1", "f2"], "left").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("root", "row")).otherwise(F.col("row")).alias("root"))
+    return scratch.write(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), "out")
