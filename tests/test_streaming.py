@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 from docloom.streaming import jobs
@@ -9,7 +10,9 @@ def test_feed_emits_changes_and_closes(spark, tmp_path):
     spark.createDataFrame(rows, jobs.FEED).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(jobs.FEED).parquet(str(tmp_path / "in"))
     q = jobs.progress_feed(stream).writeStream.format("memory").queryName("feed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    until = time.monotonic() + 90  # a query with timeouts never runs out of batches
+    while spark.table("feed").count() < 4 and time.monotonic() < until:
+        time.sleep(0.5)
     q.stop()
     got = sorted((r.job_id, r.status, r.progress) for r in spark.table("feed").collect())
     assert got == [("a", "completed", 100), ("a", "processing", 5), ("a", "queued", 0), ("b", "queued", 0)]
