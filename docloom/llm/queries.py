@@ -91,5 +91,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_NEAR_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+runs AS (SELECT r, x || chr(1) || lead(x, 1) OVER o || chr(1) || lead(x, 2) OVER o || chr(1) || lead(x, 3) OVER o || chr(1) || lead(x, 4) OVER o AS s FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+sh AS (SELECT DISTINCT r, s FROM runs WHERE s IS NOT NULL UNION ALL SELECT r, array_to_string(w, chr(1)) FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM sh a JOIN sh b ON b.s = a.s AND b.r > a.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT reach.r, min(o.doc_id) AS c FROM reach JOIN d o ON o.r = reach.other GROUP BY 1) m ON m.r = d.r"""
+
+_RULES_SQL = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+grams AS (SELECT r, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS n FROM grams WHERE z IS NOT NULL) WHERE n > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  [x for x in string_split(text, chr(10)) if regexp_matches(x, '{_WORD}')] AS lines, coalesce(cover.n, 0) AS n_repeat_words FROM d LEFT JOIN cover ON cover.r = d.r),
+q AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op4_near_dedup": _NEAR_SQL, "op9_quality_rules": _RULES_SQL}
