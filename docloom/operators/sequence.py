@@ -74,25 +74,32 @@ def breakpoints(df: DataFrame, keys: list[str], order: str, share: float = 0.3)
     return both.withColumn("section", F.coalesce(F.sum(cut).over(w), F.lit(0)).cast("bigint"))
 
 
-def pack_budget(sizes: Column, limit: int, overlap: float = 0.2) -> Column:
-    """array<struct<first, last>>: windows of consecutive elements that fit a token budget.
+def pack_budget(chars: Column, limit: int, overlap: float = 0.2) -> Column:
+    """array<struct<first, last>>: windows of consecutive elements, of so many characters each, that fit a token budget.
 
-    A window closes before the element that would exceed the limit; the next one begins with
-    the last max(1, overlap * number of elements) elements of the closed window.
+    A window closes before the element that would exceed the limit. The next one begins with
+    the last max(1, overlap * number of elements) elements of the closed window and that
+    element; its count begins with the tokens of as many of its first elements, joined by
+    spaces, and those of the element, which is counted twice if the closed window was shorter.
     """
-    n = F.size(sizes)
+    n = F.size(chars)
     back = F.greatest(F.lit(1), F.floor(n * overlap).cast("int"))
-    zero = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("used"))
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(c / 1.2).cast("int"))
+    zero = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("used"))
+
+    def joined(first: Column, count: Column) -> Column:
+        some = F.filter(F.slice(chars, first + 1, count), lambda y: y > 0)
+        return F.aggregate(some, F.lit(0), lambda s, y: s + y.cast("int") + 1) - F.when(F.size(some) > 0, 1).otherwise(0)
 
     def step(state: Column, x: Column) -> Column:
-        i, size = x["i"], x["size"].cast("bigint")
-        closes = (state["used"] + size > limit) & (i > state["first"])
+        i, own = x["i"], tokens(x["chars"])
+        closes = (state["used"] + own > limit) & (i > state["first"])
         begin = F.greatest(state["first"], i - back)
-        kept = F.aggregate(F.slice(sizes, begin + 1, i - begin), F.lit(0).cast("bigint"), lambda a, y: a + y.cast("bigint"))
+        again = tokens(joined(begin, F.least(back, i - begin + 1))) + own
         done = F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), (i - 1).alias("last"))))
-        return F.struct(F.when(closes, done).otherwise(state["done"]).alias("done"), F.when(closes, begin).otherwise(state["first"]).alias("first"), F.when(closes, kept + size).otherwise(state["used"] + size).alias("used"))
+        return F.struct(F.when(closes, done).otherwise(state["done"]).alias("done"), F.when(closes, begin).otherwise(state["first"]).alias("first"), F.when(closes, again).otherwise(state["used"] + own).alias("used"))
 
-    numbered = F.transform(sizes, lambda x, i: F.struct(i.alias("i"), x.alias("size")))
+    numbered = F.transform(chars, lambda x, i: F.struct(i.alias("i"), x.alias("chars")))
     last = F.when(n > 0, F.aggregate(numbered, zero, step))
     return F.when(n > 0, F.concat(last["done"], F.array(F.struct(last["first"].alias("first"), (n - 1).alias("last")))))
 

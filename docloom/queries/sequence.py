@@ -74,7 +74,7 @@ def semantic_breakpoints(spark, d):
 @query("token_packing")
 def token_packing(spark, d):
     """The packing fold is not plain SQL; tests hold it against a loop."""
-    sizes = T.elements(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", S.token_estimate(F.length("text")).alias("n")))), lambda x: x["n"]).alias("sizes"))
+    sizes = T.elements(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))), lambda x: x["n"]).alias("sizes"))
     return sizes.select("doc_id", F.posexplode(Q.pack_budget(F.col("sizes"), 400)).alias("window", "w")).select("doc_id", "window", "w.first", "w.last")
 
 

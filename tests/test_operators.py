@@ -57,24 +57,26 @@ def test_section_path_is_the_stack_of_headings(spark, headings):
     assert value(spark, S.section_path(levels, titles)) == path
 
 
-def packed(sizes, limit, share):
-    """The packing rule as a loop."""
-    back, first, used, out = max(1, int(len(sizes) * share)), 0, 0, []
-    for i, s in enumerate(sizes):
-        if used + s > limit and i > first:
-            out.append((first, i - 1))
-            first = max(first, i - back)
-            used = sum(sizes[first:i]) + s
+def packed(chars, limit, share):
+    """The packing rule as a loop over texts of so many characters."""
+    tokens = lambda texts: max(1, int(len(" ".join("x" * c for c in texts if c)) / 1.2))
+    keep, window, used, out = max(1, int(len(chars) * share)), [], 0, []
+    for i, c in enumerate(chars):
+        if used + tokens([c]) > limit and window:
+            out.append((window[0], window[-1]))
+            window = [*window[-keep:], i]
+            used = tokens([chars[j] for j in window[:keep]]) + tokens([c])
         else:
-            used += s
-    return [*out, (first, len(sizes) - 1)]
+            window.append(i)
+            used += tokens([c])
+    return [*out, (window[0], window[-1])]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(1, 50), min_size=1, max_size=15), st.integers(10, 80))
-def test_packing_follows_the_loop(spark, sizes, limit):
-    got = value(spark, sequence.pack_budget(F.array(*map(F.lit, sizes)), limit))
-    assert [(w["first"], w["last"]) for w in got] == packed(sizes, limit, 0.2)
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=15), st.integers(10, 80))
+def test_packing_follows_the_loop(spark, chars, limit):
+    got = value(spark, sequence.pack_budget(F.array(*map(F.lit, chars)), limit))
+    assert [(w["first"], w["last"]) for w in got] == packed(chars, limit, 0.2)
 
 
 def ranked(spark, rows, name="id"):
