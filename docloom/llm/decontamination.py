@@ -32,7 +32,7 @@ SEED, COVERAGE = 4, 0.5
 #: Tokens of the items of a block, about; a token takes 16 bytes where a block is held.
 BLOCK_TOKENS = 1 << 20
 #: Characters of documents worked on at once.
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -36,7 +36,7 @@ MAX_CHARS = 600_000
 #: Least variance, in bits squared, that texts of one language are taken to have among them.
 LEAST_SPREAD = 0.06
 #: Characters scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

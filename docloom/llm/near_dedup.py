@@ -79,7 +79,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8_buffer(batch.column(1))
-            for a, b in textvec.blocks(offsets):
+            for a, b in textvec.blocks(offsets, textvec.BLOCK):
                 words, at = textvec.words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold=True)
                 shingles, at = textvec.shingles_of(words, at, size)
                 sig = signatures(shingles, at)
