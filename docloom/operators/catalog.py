@@ -212,7 +212,8 @@ def upload_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("success", "duplicate", "failed")])
 
 
-def health(checks: DataFrame) -> DataFrame:
+def health(checks) -> DataFrame:
+    """degraded if any of a table's checks, or of a group's, is an error."""
     return checks.agg(F.when(F.bool_or(F.col("status") == "error"), "degraded").otherwise("ok").alias("status"))
 
 

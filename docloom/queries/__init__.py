@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, parsing, retrieval, sequence
+from docloom.queries import catalog, lifecycle, parsing, retrieval, sequence
 
 
 def _parts():
-    return (catalog, sequence, retrieval, parsing)
+    return (catalog, lifecycle, sequence, retrieval, parsing)
 
 
 def queries() -> dict:

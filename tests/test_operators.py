@@ -156,3 +156,26 @@ def test_pages(spark):
     assert [r.doc_id for r in catalog.page(rows, order, 1, 3).collect()] == [3, 7, 2]
     with pytest.raises(ValueError, match="1 to 200"):
         catalog.page(rows, order, 1, 500)
+
+
+def test_merged_cells(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "top"), ("s", 1, 2, None), ("s", 2, 1, None), ("s", 3, 1, "x"), ("t", 1, 1, "y")], "sheet string, row int, col int, value string")
+    merges = spark.createDataFrame([("s", 1, 1, 2, 2)], "sheet string, r0 int, c0 int, r1 int, c1 int")
+    got = {(r.sheet, r.row, r.col): r.value for r in sequence.fill_merged(cells, merges, ["sheet"]).collect()}
+    assert got == {("s", 1, 1): "top", ("s", 1, 2): "top", ("s", 2, 1): "top", ("s", 3, 1): "x", ("t", 1, 1): "y"}
+    rows = spark.createDataFrame([("t", 1, 1, "a", False), ("t", 2, 1, "", True), ("t", 3, 1, "b", False), ("t", 1, 2, "c", False), ("t", 2, 2, "", True)], "tbl string, row int, col int, value string, continued boolean")
+    got = {(r.row, r.col): r.value for r in sequence.carry_down(rows, ["tbl"]).collect()}
+    assert got == {(1, 1): "a", (2, 1): "a", (3, 1): "b", (1, 2): "c", (2, 2): "c"}
+
+
+def test_stores(spark):
+    schema.create_stores(spark, "stores_test", ("jobs", "eval_items"))
+    assert spark.table("stores_test.jobs").columns[0] == "job_id" and spark.table("stores_test.eval_items").count() == 0
+    schema.drop_stores(spark, "stores_test", ("jobs", "eval_items"))
+    assert not spark.catalog.tableExists("stores_test.jobs")
+
+
+def test_lifecycle_of_the_index(spark):
+    index = spark.createDataFrame([("a", "active", "c", "declarative"), ("b", "active", "c", "declarative"), ("z", "active", "c", "declarative")], "chunk_id string, status string, category string, knowledge_type string")
+    chunks = spark.createDataFrame([("a", "deleted", "c", "declarative"), ("b", "active", "d", "procedural")], index.schema)
+    assert sorted(tuple(r) for r in mutations.sync_index(index, chunks).collect()) == [("b", "active", "d", "procedural"), ("z", "active", "c", "declarative")]
