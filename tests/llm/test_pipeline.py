@@ -17,3 +17,19 @@ def test_each_stage_and_the_whole(spark, sf001):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
     whole = C.run(spark, sf001)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_odd_documents_pass_every_stage(spark, sf001):
+    import corpus_pipeline as C
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, n_lines string, ids string, id string"
+    long = "the quick brown fox jumps over the lazy dog and runs away from the angry farmer\n" * 3000
+    rows = [(1, None, "en", None, None), (None, "a b c", None, "s", 5), (2, "", None, None, 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, "the fox and the dog and the farmer", "en", "s", 3), (5, "x" * 100000, "en", "s", 1)]
+    odd = spark.createDataFrame([(*r, "x", "y", None, "z") for r in rows], schema)
+    for docs in (odd, odd.limit(0)):
+        for _, stage in C.STAGES[:-1]:
+            after = stage(spark, docs, sf001)
+            assert after.columns == odd.columns
+            after = spark.createDataFrame(after.collect(), odd.schema)
+            assert after.count() <= docs.count()
+        assert len(C.STAGES[-1][1](spark, docs, sf001).collect()) == docs.count()
