@@ -41,7 +41,7 @@ from docloom.llm.components import connected_components
 BANDS, ROWS = 48, 8
 #: Signature values compared at once, and the probability at which a pair is given up.
 BATCH, MISS = 32, 1e-7
-TASK_ROWS, TASK_BYTES = 1024, 16 << 20
+TASK_ROWS, TASK_BYTES = 512, 8 << 20
 #: Numbers of removed rows that are broadcast; beyond, both sides are exchanged.
 MOST_GONE = 1 << 20
 
