@@ -1,8 +1,9 @@
 """Line deduplication by a segment-partition edit join, in built-in functions only.
 
-Of all lines of all documents, in the order of (id, text hash, line number), a line of at
-least ``min_chars`` characters (white space at its ends aside) is removed if an earlier one
-equals it or is within ``max_edits`` edits of it. Shorter lines stay.
+Of all lines of all documents, in the order of (id, text hash, line number), a line that is
+not blank is removed if an earlier one equals it (white space at its ends aside), and one of
+at least NEAR_CHARS characters also if an earlier one is within ``max_edits`` edits of it.
+With ``min_chars``, lines of fewer characters stay and all others are compared both ways.
 
 1. Each distinct line is cut into max_edits + 1 segments. Two lines within max_edits edits
    share a segment at places that their lengths limit, so a line is entered under its own
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch
 
-MIN_CHARS, MAX_EDITS = 40, 1
+#: Least characters of a line that is compared by edits; shorter ones are compared for equality.
+NEAR_CHARS, MAX_EDITS = 40, 1
 #: Lines under a key beyond which no pairs are made, and holes that such lines are cut into.
 HOT, PARTS = 16, 16
 #: Hashes of lines that are broadcast; beyond, both sides are exchanged.
@@ -193,11 +195,12 @@ def _verified(members: DataFrame, texts: DataFrame, key: str, edits: int) -> Dat
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("g")).distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None, max_edits: int = MAX_EDITS) -> DataFrame:
     """df with text_col without the removed lines, and n_lines, n_exact and n_near: its lines, and those removed as equal or similar."""
     with Scratch(df.sparkSession, "lines") as scratch:
-        lines = _lines(df, id_col, text_col, min_chars)
-        keys = {f"k{i}": _key(F.col("line"), F.col("n"), max_edits, *place) for i, place in enumerate(_places(max_edits))}
+        lines = _lines(df, id_col, text_col, 1 if min_chars is None else min_chars)
+        long = F.col("n") >= (NEAR_CHARS if min_chars is None else min_chars)
+        keys = {f"k{i}": F.when(long, _key(F.col("line"), F.col("n"), max_edits, *place)) for i, place in enumerate(_places(max_edits))}
         hashed = lines.withColumns({"g": F.xxhash64("line"), "g2": F.xxhash64(F.lit(1), "line")} | keys)
         narrow = scratch.write(hashed.drop("line"), "narrow", compression="lz4_raw")
         near = scratch.write(_near(lines, narrow, max_edits, scratch), "near")

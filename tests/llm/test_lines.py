@@ -77,6 +77,14 @@ def test_against_brute_force(spark, monkeypatch, hot, edits):
             assert r.n_lines == r.orig.count("\n") + 1
 
 
+def test_short_lines_are_compared_for_equality(spark):
+    long = "a line of far more than forty characters, which edits count for"
+    rows = [(1, f"Les.\n\nx\n{long}"), (2, f" Les.\t\n\nLas.\nx\n{long}!\nend"), (3, "Les.\n  \n\nLos.")]
+    got = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "\nLas.\nend", "  \n\nLos."]
+    assert [(got[i].n_exact, got[i].n_near) for i in (1, 2, 3)] == [(0, 0), (2, 1), (1, 0)]
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "some words that make a line of more than forty characters")] * 2, "doc_id long, text string")
     assert "Python" not in L.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
