@@ -6,9 +6,11 @@ sorted array, beside it each language's interpolated log-probability of the n-gr
 character and its back-off weight as a context; the first bits of a hash index the array.
 A text's language is the one of the lowest cross-entropy per character.
 
-Models are fitted on a bounded sample: for each language, whole rows picked by the hash of
-their id at a rate that expects ``max_chars`` characters at most. A fifth of it is held
-back to calibrate the score and the rejection: a text is rejected if its cross-entropy lies
+Models are fitted on a bounded sample: for each language, rows picked by the hash of their
+id at a rate that expects ``max_chars`` characters at most, and its first LEAST_ROWS rows by
+that hash in any case; of a text of more than max_chars / LEAST_ROWS characters a stretch is
+taken. A fifth of the rows, of two or more at least one, is held back to calibrate the score
+and the rejection: a text is rejected if its cross-entropy lies
 further above its language's usual one than that of any calibration text, by a margin that
 allows for its length.
 
@@ -25,14 +27,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, utf8_buffer
 
 ORDER = 5
 #: Expected characters that the model of one language is fitted on at most.
-MAX_CHARS = 600_000
+MAX_CHARS = 3_000_000
+#: Rows of a language that are sampled whatever their length.
+LEAST_ROWS = 10
 #: Least variance, in bits squared, that texts of one language are taken to have among them.
 LEAST_SPREAD = 0.06
 #: Characters scored at once.
@@ -187,40 +192,94 @@ def _hash_at(codes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 def build(counts: dict[str, Counter]) -> LanguageModels:
     """Models of each language's counts of ORDER-grams (strings of ORDER characters)."""
-    langs = sorted(counts)
-    tables = {lang: _kneser_ney(counts[lang]) for lang in langs}
-    grams = sorted({g for t in tables.values() for g in t[0]}, key=lambda g: (len(g), g))
-    by_hash: dict[int, str] = {}
+    return _build({lang: (_codes("".join(c)), np.array(list(c.values()), np.float64)) for lang, c in counts.items()})
+
+
+def _codes(grams: str) -> np.ndarray:
+    """[gram, place] code points of ORDER-grams in a row."""
+    return np.frombuffer(grams.encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+
+
+@dataclass
+class _Level:
+    """The n-grams of one language for one n, in the order of their hashes, and their contexts in that of theirs."""
+
+    codes: np.ndarray
+    keys: np.ndarray
+    prob: np.ndarray
+    contexts: np.ndarray
+    share: np.ndarray
+
+
+def _part(codes: np.ndarray, first: int, n: int) -> np.ndarray:
+    """Hash of the n codes from place first on of each row."""
+    return _hash_at(codes.ravel(), np.arange(len(codes)) * codes.shape[1] + first, n)
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each hash is in keys, its value there)."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return keys[at] == h, values[at]
+
+
+def _levels(codes: np.ndarray, counts: np.ndarray) -> tuple[dict[int, _Level], float]:
+    """What _kneser_ney gives, as sorted arrays: (levels by n, P of an unseen character)."""
+    counted = {}
+    for n in range(ORDER, 0, -1):  # below the top: in how many contexts an n-gram continues
+        keys, first, which = np.unique(_part(codes, 0, n), return_index=True, return_inverse=True)
+        counts, codes = np.bincount(which, counts), codes[first]
+        counted[n] = codes, keys, counts
+        codes, counts = codes[:, 1:], np.ones(len(codes))
+    floor = 1.0 / (len(counted[1][1]) + 64)
+    levels: dict[int, _Level] = {}
     for n in range(1, ORDER + 1):
-        own = [g for g in grams if len(g) == n]
-        if own:
-            codes = np.frombuffer("".join(own).encode("utf-32-le"), "<u4")
-            by_hash |= dict(zip(_hash_at(codes, np.arange(len(own)) * n, n).tolist(), own, strict=True))
-    keys = np.array(sorted(by_hash), np.uint64)
-    order = [by_hash[k] for k in keys.tolist()]
-    logp, back = np.zeros((len(keys), len(langs)), np.float32), np.zeros((len(keys), len(langs)), np.float32)
-    unseen = np.zeros(len(langs), np.float32)
-    for j, lang in enumerate(langs):
-        prob, weight, floor = tables[lang]
-        unseen[j] = np.log2(floor)
-        cache: dict[str, float] = {"": floor}
-
-        def p(g: str) -> float:
-            if g in prob:
-                return prob[g]
-            if g not in cache:
-                cache[g] = floor if len(g) == 1 else weight.get(g[:-1], 1.0) * p(g[1:])
-            return cache[g]
-
-        logp[:, j] = np.log2([p(g) for g in order]) if order else []
-        back[:, j] = np.log2([weight.get(g, 1.0) for g in order]) if order else []
+        codes, keys, counts = counted.pop(n)
+        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+        off = once / (once + 2 * twice) if once and twice else 0.5
+        contexts, which = np.unique(_part(codes, 0, n - 1), return_inverse=True)
+        total = np.bincount(which, counts)
+        share = off * np.bincount(which) / total
+        lower = _lookup(levels[n - 1].keys, levels[n - 1].prob, _part(codes, 1, n - 1))[1] if n > 1 else floor
+        levels[n] = _Level(codes, keys, (counts - off) / total[which] + share[which] * lower, contexts, share)
+    return levels, levels[1].share[0] * floor
+
+
+def _build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
+    """Models of each language's ORDER-grams, given as rows of codes and their counts."""
+    langs = sorted(grams)
+    tables = [_levels(*grams[lang]) for lang in langs]
+    union = {}  # of each n, the n-grams of all languages
+    for n in range(1, ORDER + 1) if langs else ():
+        keys, first = np.unique(np.concatenate([t[n].keys for t, _ in tables]), return_index=True)
+        union[n] = keys, np.concatenate([t[n].codes for t, _ in tables])[first]
+    size = sum(len(keys) for keys, _ in union.values())
+    logp, back = np.zeros((size, len(langs)), np.float32), np.zeros((size, len(langs)), np.float32)
+    for j, (levels, floor) in enumerate(tables):
+        at, lower = 0, None
+        for n, (keys, codes) in union.items():
+            known, p = _lookup(levels[n].keys, levels[n].prob, keys)
+            if n == 1:
+                other = floor
+            else:
+                left, share = _lookup(levels[n].contexts, levels[n].share, _part(codes, 0, n - 1))
+                other = np.where(left, share, 1.0) * _lookup(union[n - 1][0], lower, _part(codes, 1, n - 1))[1]
+            lower = np.where(known, p, other)
+            logp[at : at + len(keys), j] = np.log2(lower)
+            if n < ORDER:
+                left, share = _lookup(levels[n + 1].contexts, levels[n + 1].share, keys)
+                back[at : at + len(keys), j] = np.log2(np.where(left, share, 1.0))
+            at += len(keys)
+    keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in union.values()]])
+    order = np.argsort(keys)
+    keys = keys[order]
     bits = max(1, min(22, int(np.ceil(np.log2(max(len(keys), 2)))) + 1))
     start = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return LanguageModels(langs, keys, logp, back, start, 64 - bits, unseen, np.tile([0.0, 1.0, 1.0], (len(langs), 1)))
+    unseen = np.log2(np.array([floor for _, floor in tables])).astype(np.float32)
+    return LanguageModels(langs, keys, logp[order], back[order], start, 64 - bits, unseen, np.tile([0.0, 1.0, 1.0], (len(langs), 1)))
 
 
 def _kneser_ney(top: Counter) -> tuple[dict[str, float], dict[str, float], float]:
-    """(P of each n-gram's last character, weight that each context leaves, P of an unseen character)."""
+    """(P of each n-gram's last character, weight that each context leaves, P of an unseen character); _levels is held to it."""
     levels = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):  # below the top: in how many contexts an n-gram continues
         levels[n] = Counter(g[1:] for g in levels[n + 1])
@@ -257,15 +316,48 @@ def _grams(text: pa.Array, lang: pa.Array):
     return out
 
 
+def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: int) -> DataFrame | None:
+    """(text, lang, pick) of the rows that models are made from; None if there are none."""
+    rows = df.where(F.col(text_col).cast("string").rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("pick"))
+    most = max(1, max_chars // LEAST_ROWS)
+    stats: dict[str, list] = {}
+    for r in rows.groupBy("lang", F.pmod("pick", F.lit(64)).alias("part")).agg(F.sum(F.least(F.length("text"), F.lit(most))).alias("chars"), F.count("*").alias("rows"), F.min("pick").alias("first")).collect():  # 64 rows a language
+        stats.setdefault(r["lang"], []).append(r)
+    if not stats:
+        return None
+    below = {}
+    for lang, parts in stats.items():
+        first = sorted(r["first"] for r in parts)[:LEAST_ROWS][-1] + 1
+        few = sum(r["rows"] for r in parts) <= LEAST_ROWS
+        below[lang] = 1 << 30 if few else max(first, int((1 << 30) * min(1.0, max_chars / sum(r["chars"] for r in parts))))
+    limit = F.create_map(*[x for lang, n in sorted(below.items()) for x in (F.lit(lang), F.lit(n))])
+    spare = F.length("text") - most
+    text = F.when(spare > 0, F.substring("text", F.pmod("pick", F.greatest(spare, F.lit(0)) + 1).cast("int") + 1, F.lit(most))).otherwise(F.col("text"))
+    return rows.where(F.col("pick") < limit[F.col("lang")]).select(text.alias("text"), "lang", "pick")
+
+
+def _held(sample: DataFrame) -> DataFrame:
+    """sample with held: a fifth of its rows, of two or more of a language at least one and not all."""
+    held = F.col("pick") % 5 == 4
+    moved = []
+    for r in sample.groupBy("lang").agg(F.count_if(held).alias("held"), F.count("*").alias("rows"), F.min("pick").alias("low"), F.max("pick").alias("high")).collect():  # a row per language
+        if r["held"] == r["rows"]:
+            moved.append((r["lang"], r["low"], False))
+        elif not r["held"] and r["low"] < r["high"]:
+            moved.append((r["lang"], r["high"], True))
+    for kind in (True, False):
+        own = [x for lang, pick, to in moved if to is kind for x in (F.lit(lang), F.lit(pick).cast("bigint"))]
+        if own:
+            held = F.when(F.create_map(*own)[F.col("lang")] == F.col("pick"), F.lit(kind)).otherwise(held)
+    return sample.withColumn("held", held)
+
+
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: int = MAX_CHARS) -> LanguageModels:
     """Models of the languages of df, fitted and calibrated on a bounded sample of its rows."""
     spark = df.sparkSession
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("pick"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}  # a row per language
-    if not sizes:
+    sample = _sample(df, id_col, text_col, lang_col, max_chars)
+    if sample is None:
         return build({})
-    rate = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, max_chars / max(n, 1)))))])
-    sample = rows.where(F.col("pick") < rate[F.col("lang")])
 
     def counted(batches):
         for batch in batches:
@@ -275,13 +367,15 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: i
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     with Scratch(spark, "lang") as scratch:
-        sample = scratch.write(sample.select("text", "lang", (F.col("pick") % 5 == 4).alias("held")), "sample")
+        sample = _held(scratch.write(sample, "sample"))
         fit = sample.where("not held").select("text", "lang")
-        totals = fit.mapInArrow(counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-        counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
-        for lang, own in totals.groupby("lang"):
-            counts[lang] = Counter(dict(zip(own["gram"], own["n"].astype(int), strict=True)))
-        models = build({lang: c for lang, c in counts.items() if c})
+        totals = fit.mapInArrow(counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        grams = {}
+        for lang in pc.unique(totals["lang"]).to_pylist():
+            own = totals.filter(pc.equal(totals["lang"], lang))
+            grams[lang] = _codes(utf8_buffer(own["gram"])[0].tobytes().decode()), own["n"].to_numpy().astype(np.float64)
+        del totals
+        models = _build(grams)
         if models.langs:
             held = sample.where("held").select("lang", _bits("text", models, spark).alias("got")).select("lang", "got.bits", "got.size", "got.spread").toPandas()
             calibrate(models, held)

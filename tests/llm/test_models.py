@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import lang_id, quality_model
 from docloom.llm.queries import queries
@@ -70,6 +71,17 @@ def test_language_edge_cases(spark):
     assert {r.got.lang_pred for r in odd.select(lang_id.identify("text", none, spark).alias("got")).collect()} == {"und"}
 
 
+def test_a_language_of_few_long_texts_is_learned(spark):
+    say = lambda words, n: " ".join(random.choice(words.split()) for _ in range(n))
+    random.seed(2)
+    for first in range(0, 40, 10):  # at a rate of 0.03, none of ten whole rows is likely to be picked
+        rows = [(first + i, say("the quick brown fox and the lazy dog", 7000), "en") for i in range(10)] + [(first + 100 + i, say("der schnelle braune fuchs", 20), "de") for i in range(2)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        sample = lang_id._held(lang_id._sample(df, "doc_id", "text", "lang", 10000)).groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.count_if(F.col("held")).alias("held"), F.count_if(~F.col("held")).alias("fit")).collect()
+        assert {r.lang for r in sample} == {"en", "de"} and all(r.held and r.fit and r.n <= 10000 for r in sample)
+    assert lang_id.train(df, "doc_id", "text", "lang", max_chars=10000).langs == ["de", "en"]
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     m = quality_model.FactorisationMachine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
