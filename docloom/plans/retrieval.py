@@ -197,6 +197,67 @@ def checked_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
     return rows.withColumn(vector, ok)
 
 
+def pair_similarities(queries: DataFrame, items: DataFrame, item_id: str, by: str, vector: str = "embedding", same: bool = True) -> DataFrame:
+    """Cosine of every pair of a query (query_id, by, vector) and an item (item_id, by, vector) of equal ``by``.
+
+    With same, (by, similarity, pairs): how often each similarity, rounded to 6 digits, was met
+    by a task; an item of a query's own id is no pair, and two that are both queries are one.
+    Without, (query_id, similarity): of each task's items of another ``by``, the greatest.
+    Queries are broadcast in blocks; items stay where they are.
+    """
+    spark, fields = queries.sparkSession, {f.name: f.dataType.simpleString() for f in queries.schema}
+    asked = queries.where(F.col("query_id").isNotNull() & F.col(by).isNotNull()).select("query_id", by, F.col(vector).cast("array<double>").alias("v"))
+    rows = items.where(F.col(item_id).isNotNull() & F.col(by).isNotNull()).join(queries.select(F.col("query_id").alias(item_id), F.lit(True).alias("__asked")).distinct(), item_id, "left").select(item_id, by, F.col(vector).cast("array<double>"), F.coalesce("__asked", F.lit(False)).alias("asked"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), own.column(1).combine_chunks(), _unit(_matrix(own.column(2)))))
+        found = rows.mapInArrow(_similar(sent, same), f"{by} {fields[by]}, similarity double, pairs bigint" if same else f"query_id {fields['query_id']}, similarity double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _similar(sent, same: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, groups, queries = sent.value
+        ids, kinds = names.to_numpy(zero_copy_only=False), groups.to_numpy(zero_copy_only=False)
+        best = np.full(len(ids), -np.inf)
+        for batch in batches:
+            for i in range(0, len(batch) if len(ids) else 0, 1024):
+                part = batch.slice(i, 1024)
+                item, kind = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                scores = np.round(queries @ _unit(_matrix(part.column(2))).T, SCALE) + 0.0
+                equal = kinds[:, None] == kind[None, :]
+                if not same:
+                    best = np.maximum(best, np.where(equal, -np.inf, scores).max(1))
+                    continue
+                both = part.column(3).to_numpy(zero_copy_only=False)
+                use = equal & np.where(both[None, :], ids[:, None] < item[None, :], True)
+                for k in np.unique(kind):
+                    values, n = np.unique(scores[use & (kind == k)[None, :]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), groups.type), pa.array(values), pa.array(n, pa.int64())], ["by", "similarity", "pairs"])
+        if not same:
+            met = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(met)), pa.array(best[met])], ["query_id", "similarity"])
+
+    return run
+
+
+def weighted_summary(pairs: DataFrame, by: str) -> DataFrame:
+    """similarity_summary of (by, similarity, pairs), where ``pairs`` pairs have a similarity."""
+    s, n = F.col("similarity"), F.col("pairs")
+    w = Window.partitionBy(by).orderBy("similarity")
+    counted = pairs.groupBy(by, "similarity").agg(F.sum("pairs").alias("pairs"))
+    figures = counted.groupBy(by).agg(F.sum("pairs").alias("all"), (F.sum(s * n) / F.sum("pairs")).alias("m"), F.min(s).alias("min"), F.max(s).alias("max"), F.coalesce(F.sum(F.when(s >= 0.9, n)), F.lit(0)).alias("ge_90"))
+    placed = counted.withColumn("to", F.sum("pairs").over(w)).join(figures.select(by, "all", "m"), by)
+    # Of the middle pair, or the two middle ones.
+    middle = lambda x: F.min(F.when(F.col("to") >= x, s))
+    half = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    rest = placed.groupBy(by).agg(((middle(half[0]) + middle(half[1])) / 2).alias("median"), F.sqrt(F.sum(n * (s - F.col("m")) * (s - F.col("m"))) / F.sum("pairs")).alias("std"))
+    return figures.join(rest, by).select(by, F.col("all").alias("pairs"), F.round("m", SCALE).alias("mean"), F.round("median", SCALE).alias("median"), F.round("std", SCALE).alias("std"), "min", "max", "ge_90")
+
+
 def similarity_summary(pairs, score: str = "similarity") -> DataFrame:
     """Figures of a table of pairs, or of each group of a grouped one."""
     s = F.col(score)

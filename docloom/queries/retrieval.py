@@ -67,6 +67,25 @@ def pairwise_similarity_stats(spark, d):
     return R.similarity_summary(pairs.groupBy("label")).select("label", "pairs", "mean", "median", "std", "min", "max", "ge_90")
 
 
+_ALL_PAIRS = f"WITH {_VEC}, p AS (SELECT q.label, {_COS} AS similarity FROM vecs q JOIN vecs i ON i.label = q.label AND q.vec_id % 20 = 0 AND (i.vec_id > q.vec_id OR i.vec_id % 20 <> 0))"
+
+
+@query("pairwise_similarity_stats_all", _ALL_PAIRS + " SELECT label, count(*) AS pairs, round(avg(similarity), 6) AS mean, round(median(similarity), 6) AS median, round(stddev_pop(similarity), 6) AS std, min(similarity) AS min, max(similarity) AS max, count(*) FILTER (WHERE similarity >= 0.9) AS ge_90 FROM p GROUP BY label")
+def pairwise_similarity_stats_all(spark, d):
+    """Pairs of the vectors that searches ask for with every vector of their label."""
+    rows = T.table(spark, d, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return R.weighted_summary(R.pair_similarities(queries, rows, "vec_id", "label"), "label")
+
+
+@query("cross_label_max_similarity", f"WITH {_VEC} SELECT q.vec_id AS query_id, max({_COS}) AS similarity FROM vecs q JOIN vecs i ON i.label <> q.label AND q.vec_id % 20 = 0 GROUP BY 1")
+def cross_label_max_similarity(spark, d):
+    """The greatest similarity of each vector that searches ask for to those of other labels."""
+    rows = T.table(spark, d, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return R.pair_similarities(queries, rows, "vec_id", "label", same=False).groupBy("query_id").agg(F.max("similarity").alias("similarity"))
+
+
 _WORDS = "words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), post AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM words), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM post GROUP BY 1, 2)"
 _BM25 = _WORDS + ", asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM words), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT a.query_id, t.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (1 - 0.75 + 0.75 * t.dl / st.a))), 6) AS score FROM asked a JOIN tf t ON t.term = a.term JOIN df ON df.term = a.term, st GROUP BY 1, 2), bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 30)"
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docloom.plans import extraction as X
 from docloom.plans import ingest as I
+from docloom.plans import retrieval as R
 from docloom.sources import pdf
 from docloom.sources.files import default_registry
 
@@ -75,3 +76,11 @@ def test_layout(spark):
     assert got == [x for p in range(1, 5) for x in (("title", f"Heading {p}", 1), ("paragraph", "body goes on", None))]
     links = spark.createDataFrame([("d", 1, 7, 12.0, 202.0, 80.0, 219.0)], "doc_id string, page int, link int, x0 double, y0 double, x1 double, y1 double")
     assert pdf.links_of(links, spans).first().place == 1000000
+
+
+def test_pairs_of_queries_with_all_rows(spark):
+    rows = spark.range(100).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("int").alias("label"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = R.weighted_summary(R.pair_similarities(queries, rows, "vec_id", "label"), "label").collect()
+    assert [(r.label, r.pairs) for r in got] == [(0, 5 * 45 + 10)]
+    assert R.pair_similarities(queries, rows, "vec_id", "label", same=False).select("query_id").distinct().count() == 5
