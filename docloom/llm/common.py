@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +22,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine) a temporary folder is
-    chosen once and recorded in the same setting.
+    Where none is named and everything runs in one process (tests), a temporary folder is
+    chosen once and recorded in the same setting; on a cluster that is an error.
     """
     for conf in (spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.conf.get("spark.checkpoint.dir", "")):
         if conf:
             return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="docloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _trimmer():
+    with contextlib.suppress(OSError, AttributeError):
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    return lambda _: None
+
+
+def trim_memory() -> None:
+    """Gives memory that this Python process no longer uses back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage or to be read more than once.
 

@@ -6,21 +6,32 @@ Documents are linked if the Jaccard similarity of their sets is at least ``perce
 
 1. One pass makes each document's set size, set fingerprint and signature of BANDS * ROWS
    minimum hashes. Documents of equal sets are one class and go on as one row.
-2. Rows that agree on a band get a candidate edge to the least row of that bucket (never
-   all pairs); connected rows form a candidate group.
-3. A group is verified in tasks of at most TASK_ROWS rows and TASK_BYTES of text: a larger
-   group is dealt into blocks, with a task for each two blocks. A task compares the
-   signatures batch by batch and drops a pair once the posterior probability that its
-   similarity reaches the threshold is below MISS. Survivors are verified on their full
-   sets, most similar first; pairs that are already connected need no verification. A task
-   returns the links of a spanning forest.
-4. Connected components of all links give each document its component.
-
-At similarity 0.85 a pair shares no band with probability (1 - 0.85**8)**48 = 2e-7.
+2. Rows that agree on a band are members of a bucket, whose head is its least row. Members
+   are compared with heads only: first each row with the head it shares most buckets with,
+   then, where they are not connected yet, with its other heads. Links found are contracted
+   into components after each round.
+3. A bucket whose members still lie in several components is open. If it has few members
+   outside its largest component (MINOR at most), these are compared with the others.
+   Otherwise its members are entered again under each two, then three, of the open buckets
+   they share, which splits rows that merely have a passage in common, and the rounds are
+   repeated there; at DEPTH buckets heads are compared and removed one by one until no bucket is open.
+   So no task and no join makes all pairs of a large bucket.
+4. Every comparison is a star: a head, and the rows it is compared with, in groups of STAR.
+   Signatures travel first: a task compares them batch by batch and drops a pair once the
+   posterior probability that its similarity reaches the threshold is below MISS. The texts
+   of the survivors follow, and the link is confirmed on their full sets.
+5. Connected components of all links give each document its component.
+
+At similarity 0.85 a pair shares no band with probability (1 - 0.85**8)**48 = 2e-7, only one
+with 4e-6 and only two with 4e-5; the latter count only where all of these buckets are large
+and open. Elements are compared as 64-bit hashes: two sets of n elements share one by chance
+with probability n**2 / 2**64, which moves a similarity by 1 / n.
 
 Defined results: null texts and texts without words are alone in their component; a null
 id takes part by its text and gets the component's least id; repeated rows are in one
-component; extra columns are not carried.
+component, and of the rows of its least id the first is kept; ties between heads go to the
+least row; whole texts are read, however long; an empty table gives an empty table; extra
+columns are not carried by near_duplicates and are unchanged by keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +42,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec
-from docloom.llm.common import Scratch, utf8_buffer
+from docloom.llm.common import Scratch, fresh, trim_memory, utf8_buffer
 from docloom.llm.components import connected_components
 
 BANDS, ROWS = 48, 8
 #: Signature values compared at once, and the probability at which a pair is given up.
 BATCH, MISS = 32, 1e-7
-TASK_ROWS, TASK_BYTES = 512, 8 << 20
-#: Numbers of removed rows that are broadcast; beyond, both sides are exchanged.
-MOST_GONE = 1 << 20
+#: Members outside the largest component of a bucket that are compared with all others, and buckets that a key joins at most.
+MINOR, DEPTH = 16, 3
+#: Rows that are compared with one copy of a head.
+STAR = 64
+#: Row numbers that are broadcast; beyond, both sides are exchanged.
+MOST_ROWS = 1 << 20
 
 _HASHES = BANDS * ROWS
 _FACTORS = (textvec.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -107,107 +121,170 @@ def least_matches(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def verify_task(rows: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], second: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest. second: whether a row is of the second block; None is one block."""
-    n = len(rows)
-    if second is None:
-        a, b = np.triu_indices(n, 1)
-    else:
-        one, two = np.flatnonzero(~second), np.flatnonzero(second)
-        a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-    fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
-    a, b = a[fits], b[fits]
-    matches = np.zeros(len(a), np.int32)
-    for k, least in enumerate(least_matches(percent)):
-        cut = slice(k * BATCH, (k + 1) * BATCH)
-        for i in range(0, len(a), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            matches[part] += (sigs[a[part], cut] == sigs[b[part], cut]).sum(1)
-        keep = matches >= least
-        a, b, matches = a[keep], b[keep], matches[keep]
-    if not len(a):
-        return []
-    order = np.argsort(-matches, kind="stable")
-    a, b = a[order], b[order]
-    common = _overlaps(sets, a, b) if len(a) > 8 * n else None
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches sorted into stars, and the place of each row's head; a slice cut from its head gets it in front."""
+    head: pa.RecordBatch | None = None
+    for batch in batches:
+        sizes = batch.column(4).to_numpy()
+        ends, at = np.cumsum(sizes), 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+            part, at = batch.slice(at, end - at), end
+            if part.column(2)[0].as_py():
+                part = pa.Table.from_batches([head, part]).combine_chunks().to_batches()[0]
+            place = np.maximum.accumulate(np.where(part.column(2).to_numpy(zero_copy_only=False), -1, np.arange(len(part))))
+            head = part.slice(int(place[-1]), 1)
+            yield part, place
 
-    out = []
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        ri, rj = find(i), find(j)
-        if ri == rj:
-            continue
-        both = int(common[k]) if common is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-            root[ri] = rj
-            out.append((int(rows[i]), int(rows[j])))
-    return out
+
+def _pairs(part: pa.RecordBatch, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([part.column(1).take(pa.array(a)), part.column(1).take(pa.array(b))], ["head", "row"])
 
 
-def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of many pairs: products of 0/1 matrices over elements held by two rows or more."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[element]
-    owner, element = owner[keep], number[element[keep]]
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], element[order]
-    total, width = np.zeros((len(sets), len(sets)), np.float32), 4096
-    for lo in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(element, [lo, lo + width])
-        x = np.zeros((len(sets), width), np.float32)
-        x[owner[i:j], element[i:j] - lo] = 1
-        total += x @ x.T
-    return total[a, b].astype(np.int64)
-
-
-def _verified(size: int, percent: int):
-    """Over rows sorted by task: (a, b) links."""
-
-    def links(table: pa.Table) -> list[tuple[int, int]]:
-        raw, offsets = utf8_buffer(table.column("text"))
-        words, at = textvec.words_of(raw, offsets, fold=True)
-        shingles, at = textvec.shingles_of(words, at, size)
-        sets = [shingles[i:j] for i, j in zip(at, at[1:], strict=False)]
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, _HASHES)
-        second = table.column("second").to_numpy()
-        return verify_task(table.column("row").to_numpy(), np.diff(at), sig, sets, second if second.any() else None, percent)
+def _similar(percent: int):
+    """Of stars of signatures: (head, row) that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        task = None
+        for part, place in _stars(batches, 4 << 20):
+            sig = np.frombuffer(utf8_buffer(part.column(3))[0], np.uint16).reshape(-1, _HASHES)
+            n = part.column(5).to_numpy()
+            b = np.flatnonzero(place < np.arange(len(place)))
+            a = place[b]
+            fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[fits], b[fits]
+            matches = np.zeros(len(a), np.int32)
+            for k, least in enumerate(least_matches(percent)):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                matches += (sig[a, cut] == sig[b, cut]).sum(1, dtype=np.int32)
+                keep = matches >= least
+                a, b, matches = a[keep], b[keep], matches[keep]
+            yield _pairs(part, a, b)
+        trim_memory()
 
-        def done() -> Iterator[pa.RecordBatch]:
-            got = links(pa.Table.from_batches(held))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["a", "b"])
-            held.clear()
+    return run
 
-        for batch in batches:
-            key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                now = tuple(key[i])
-                if held and now != task:
-                    yield from done()
-                task = now
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from done()
+
+def _linked(size: int, percent: int):
+    """Of stars of texts: (head, row) whose full sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, place in _stars(batches, textvec.BLOCK):
+            words, at = textvec.words_of(*utf8_buffer(part.column(3)), fold=True)
+            sets, at = textvec.shingles_of(words, at, size)
+            a, b = [], []
+            for i, h in enumerate(place.tolist()):
+                if i != h and _reaches(sets[at[h] : at[h + 1]], sets[at[i] : at[i + 1]], percent):
+                    a.append(h)
+                    b.append(i)
+            yield _pairs(part, np.array(a, np.int64), np.array(b, np.int64))
+        trim_memory()
 
     return run
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a similarity of percent / 100."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def _dealt(pairs: DataFrame, table: DataFrame, payload: Column, scratch: Scratch, *more: str) -> DataFrame:
+    """Stars of pairs (head, row): head, row, member, payload, its bytes, and more columns of table; heads come first."""
+    counts = pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    members = pairs.join(counts, "head").select("row", "head", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
+    heads = counts.select(F.col("head").alias("row"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    roles = scratch.write(members.unionByName(heads), "roles")
+    wanted = table.select("row", payload.alias("payload"), *more).join(_small(roles.select("row").distinct(), MOST_ROWS), "row", "left_semi")
+    stars = roles.join(wanted, "row").repartition("head", "salt").sortWithinPartitions("head", "salt", "member")
+    return stars.select("head", "row", "member", "payload", F.octet_length("payload").cast("bigint").alias("bytes"), *more)
+
+
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (head, row) that are linked, as (a, b)."""
+    like = scratch.write(_dealt(pairs, sigs, F.col("sig"), scratch, "n").mapInArrow(_similar(percent), "head bigint, row bigint"), "like")
+    return scratch.write(_dealt(like, sets, F.col("text"), scratch).mapInArrow(_linked(size, percent), "head bigint, row bigint").select(F.col("head").alias("a"), F.col("row").alias("b")), name)
+
+
+class _Linker:
+    """Links found so far, and the component of every row that has one."""
+
+    def __init__(self, sigs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch):
+        self.given, self.scratch, self.round = (sigs, sets, size, percent), scratch, 0
+        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compares pairs (head, row) that are not in one component and contracts what is linked."""
+        pairs = self.scratch.write(self._apart(pairs), "pairs")
+        if pairs.isEmpty():
+            return
+        self.round += 1
+        found = _links(pairs, *self.given, self.scratch, f"links-{self.round}")
+        # Components are made from the roots so far and the new links between them.
+        self.links = found if self.roots is None else found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.roots = connected_components(self.links, self.scratch, f"roots-{self.round}")
+
+    def components(self, rows: DataFrame, row: str, name: str) -> DataFrame:
+        """rows with the component of a column; a row without links is its own."""
+        if self.roots is None:
+            return rows.withColumn(name, F.col(row))
+        known = self.roots.select(F.col("node").alias(row), F.col("root").alias(name))
+        return rows.join(known, row, "left").withColumn(name, F.coalesce(name, row))
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return pairs
+        return self.components(self.components(pairs, "head", "c1"), "row", "c2").where("c1 <> c2").select("head", "row")
+
+    def open(self, members: DataFrame, name: str) -> DataFrame:
+        """The members (key, band, row, head) of buckets of several components, with comp, and minor, the
+        number of members outside the bucket's largest component, major."""
+        known = self.scratch.write(self.components(members, "row", "comp"), f"{name}-known")
+        several = known.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+        several = several.where(F.col("all") > F.col("top.n")).select("key", (F.col("all") - F.col("top.n")).alias("minor"), F.col("top.comp").alias("major"))
+        return self.scratch.write(known.join(several, "key"), name)
+
+
+def _headed(members: DataFrame) -> DataFrame:
+    """members (key, band, row) of buckets of two rows or more, with the head."""
+    heads = members.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
+    return members.join(heads, "key").select("key", "band", "row", "head")
+
+
+def _connect(linker: _Linker, members: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of every row that is linked to another; None if none is."""
+    shared = scratch.write(members.where("row <> head").groupBy("row", "head").count(), "shared")
+    linker.compare(shared.groupBy("row").agg(F.max(F.struct("count", (-F.col("head")).alias("first"))).alias("best")).select((-F.col("best.first")).alias("head"), "row"))
+    linker.compare(shared.select("head", "row"))
+    level, base = 1, None
+    while True:
+        now = linker.open(members, f"open-{level}")
+        if now.isEmpty():
+            return linker.roots
+        few = now.where(F.col("minor") <= MINOR).where("row <> head").select("key", "row", "comp", "major")
+        one, two = few.where("comp <> major").select("key", F.col("row").alias("head"), F.col("comp").alias("c")), few.select("key", "row", "comp", "major")
+        linker.compare(one.join(two, "key").where("c <> comp and (comp = major or head < row)").select("head", "row").distinct())
+        hot = now.where(F.col("minor") > MINOR)
+        if hot.isEmpty():
+            return linker.roots
+        if level < DEPTH:
+            base = base if base is not None else hot.select("row", F.col("band").alias("more"), F.col("key").alias("key2"))
+            members = hot.select("key", "band", "row").join(base, "row").where("more > band").select(F.xxhash64("key", "key2").alias("key"), F.col("more").alias("band"), "row")
+        else:
+            members = hot.where("row <> head").select("key", "band", "row")
+        level += 1
+        members = scratch.write(_headed(members), f"members-{level}")
+        linker.compare(members.where("row <> head").select("head", "row").distinct())
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """One row per row of df: row (its number), id, n_shingles, component_id, root (number of the
     component) and kept (whether the id is the component's)."""
@@ -223,16 +300,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         others = tuple(c for c in df.columns if c not in (id_col, text_col))
         found = _find(df, id_col, text_col, size, percent, others, scratch)
         stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row")
-        gone = scratch.write(found.select("row").join(stay, "row", "left_anti"), "gone")
-        if gone.count() <= MOST_GONE:
-            gone = F.broadcast(gone)
+        gone = _small(scratch.write(found.select("row").join(stay, "row", "left_anti"), "gone"), MOST_ROWS)
         sets = scratch.read("sets", _sets_like(_numbered(df, id_col, text_col, others)))
         column = {id_col: F.col("id"), text_col: F.col("text").cast(df.schema[text_col].dataType)}
         return sets.join(gone, "row", "left_anti").select(*[column.get(c, F.col("rest")[c]).alias(c) for c in df.columns])
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("__"), *carry).alias("rest"))
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias(fresh(list(carry), "none")[0]), *carry).alias("rest"))
 
 
 def _sets_like(numbered: DataFrame) -> DataFrame:
@@ -247,20 +322,13 @@ def _find(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, ca
     classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
     # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
     reps = classes.where(F.col("n") * (100 - percent) >= percent).select(F.col("rep").alias("row"))
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", bands.alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    near = scratch.write(buckets.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct(), "near")
-    groups = connected_components(near, scratch, "groups")
-    scratch.drop("near")
-    sized = sets.select("row", "text", "sig").join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row")
-    totals = sets.select("row", F.octet_length("text").alias("bytes")).join(groups.select(F.col("node").alias("row"), F.col("root").alias("task")), "row").groupBy("task").agg(F.ceil(F.greatest(F.count("*") / TASK_ROWS, F.sum("bytes") / TASK_BYTES)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sized.join(totals, "task").withColumn("mine", mine).withColumn("other", other).select("task", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "row", "text", "sig", (F.col("mine") > F.col("other")).alias("second"))
-    tasks = dealt.repartition("task", "one", "two").sortWithinPartitions("task", "one", "two", "row")
-    links = scratch.write(tasks.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "links")
-    roots = connected_components(links, scratch, "roots")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
+    buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", band.alias("band", "key"))
+    members = scratch.write(_headed(buckets), "members")
+    sigs = scratch.write(sets.select("row", "n", "sig").join(_small(members.select("row").distinct(), MOST_ROWS), "row", "left_semi"), "sigs")
+    roots = _connect(_Linker(sigs, sets.select("row", "text"), size, percent, scratch), members, scratch)
+    if roots is None:
+        roots = df.sparkSession.createDataFrame([], "node bigint, root bigint")
     # The class of a row, then the least id and row of all classes of its component.
     linked = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "rep", "least", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("many"))
     of_root = linked.where("many").groupBy("root").agg(F.min("least").alias("root_least"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from docloom.llm import near_dedup as N
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -60,20 +62,57 @@ def test_against_brute_force(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-def test_groups_larger_than_a_task(spark, monkeypatch):
-    monkeypatch.setattr(N, "TASK_ROWS", 3)
-    rows = corpus(9)
+@pytest.mark.parametrize(("minor", "depth", "n"), [(0, 3, 25), (0, 1, 4)])
+def test_open_buckets_are_split(spark, monkeypatch, minor, depth, n):
+    """With no members that may be compared with all, buckets go through keys of several buckets, or heads are removed one by one."""
+    monkeypatch.setattr(N, "MINOR", minor)
+    monkeypatch.setattr(N, "DEPTH", depth)
+    rows = boilerplate(n)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-def test_matrix_and_single_intersections_agree():
+def boilerplate(n):
+    """Texts that share a long passage; some of them are near copies of each other."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(200)]
+    rows = []
+    for i in range(n):
+        own = shared + [word() for _ in range(random.choice([20, 30, 40]))]
+        for copy in range(random.choice([1, 1, 3])):
+            text = list(own)
+            if copy:
+                text[-copy] = word()
+            rows.append((5000 + 10 * i + copy, " ".join(text)))
+    random.shuffle(rows)
+    return rows
+
+
+def test_a_star_may_be_cut_anywhere():
+    import numpy as np
+    import pyarrow as pa
+
+    member = [False, True, True, False, True, False, True, True, True]
+    batch = pa.RecordBatch.from_pydict({"head": [0, 0, 0, 3, 3, 5, 5, 5, 5], "row": list(range(9)), "member": member, "payload": [b"x"] * 9, "bytes": pa.array([4] * 9, pa.int64())})
+    for most in (1, 4, 8, 12, 1000):
+        for cut in (1, 3, 4, 7, 9):
+            seen = []
+            for part, place in N._stars(iter([batch.slice(0, cut), batch.slice(cut)] if cut < 9 else [batch]), most):
+                row = part.column(1).to_numpy()
+                mine = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
+                seen += [(int(row[place[i]]), int(row[i])) for i in mine]
+            assert seen == [(0, 1), (0, 2), (3, 4), (5, 6), (5, 7), (5, 8)]
+
+
+def test_sets_reach_the_threshold_as_fractions_do():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
-    a, b = np.triu_indices(12, 1)
-    assert N._overlaps(sets, a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 30, rng.integers(0, 40)).astype(np.uint64)) for _ in range(2))
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        assert N._reaches(x, y, 60) == (bool(len(x)) and bool(len(y)) and 100 * both >= 60 * either)
 
 
 def test_one_of_each_group_stays(spark):
@@ -97,11 +136,14 @@ def test_thresholds_rise_with_the_matches_seen():
     assert least[-1] < 0.85 * N.BANDS * N.ROWS
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_components(spark, monkeypatch, most):
+    from docloom.llm import components
     from docloom.llm.common import Scratch
-    from docloom.llm.components import connected_components
 
+    monkeypatch.setattr(components, "MOST_EDGES", most)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (5, 4), (500, 501)]
     with Scratch(spark, "t") as scratch:
-        got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), scratch, "c").collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 500: 500, 501: 500}
+        got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), scratch, "c").collect()}
+        assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 500: 500, 501: 500}
+        assert components.connected_components(spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
