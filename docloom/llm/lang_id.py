@@ -9,13 +9,21 @@ A text's language is the one of the lowest cross-entropy per character.
 Models are fitted on a bounded sample: for each language, rows picked by the hash of their
 id at a rate that expects ``max_chars`` characters at most, and its first LEAST_ROWS rows by
 that hash in any case; of a text of more than max_chars / LEAST_ROWS characters a stretch is
-taken. A fifth of the rows, of two or more at least one, is held back to calibrate the score
-and the rejection: a text is rejected if its cross-entropy lies
-further above its language's usual one than that of any calibration text, by a margin that
-allows for its length.
-
-Defined results: a null text or one without letters is ``und`` with score 0 and rejected; so
-is every text if there is nothing to learn from. Ties go to the first language in order.
+taken. The table has a column for each language; beyond WIDE languages the characters of
+each go down with their number squared, which bounds the table. A language's model is built
+in a task of its own, the table in one task, and both are written to the shared folder; the
+driver only passes the finished arrays on to the broadcast.
+
+A fifth of the rows, of two or more at least one, is held back to calibrate the score and
+the rejection: a text is rejected if its cross-entropy lies further above its language's
+usual one than twice a high quantile of that language's calibration texts, by a margin that
+allows for its length. A few odd texts with a language's label do not move these figures.
+
+Defined results: a null or empty text or one without letters is ``und`` with score 0 and
+rejected; so is every text if there is nothing to learn from, as in an empty table; ties go
+to the first language in order; whole texts are read, however long; repeated rows get equal
+results and are sampled together, as the sample goes by id; rows with a null id, text or
+language are judged like others (a null language is not learned); other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,15 +39,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, utf8_buffer
+from docloom.llm.common import Scratch, trim_memory
 
 ORDER = 5
 #: Expected characters that the model of one language is fitted on at most.
 MAX_CHARS = 3_000_000
+#: Languages up to which each has max_chars characters.
+WIDE = 8
 #: Rows of a language that are sampled whatever their length.
 LEAST_ROWS = 10
 #: Least variance, in bits squared, that texts of one language are taken to have among them.
 LEAST_SPREAD = 0.06
+#: Deviations that a text may have in any case.
+LEAST_REACH = 8.0
 #: Characters scored at once.
 BLOCK = 1 << 17
 
@@ -91,7 +103,7 @@ class LanguageModels:
     shift: int
     unseen: np.ndarray  # [lang] log2 P of a character in no model
     limits: np.ndarray = None  # [lang, 3]: usual cross-entropy, its variance between texts, and per character
-    reach: float = 8.0
+    reach: np.ndarray = None  # [lang] deviations that a text of it may have
     heat: float = 1.0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -176,7 +188,7 @@ class LanguageModels:
         gap = (bits - low[:, None]) * (self.heat * np.sqrt(np.maximum(size, 1)))[:, None]
         score = 1 / np.exp2(-np.clip(gap, 0, 60)).sum(1)
         usual, between, each = self.limits[best].T
-        rejected = low > usual + self.reach * np.sqrt(between + each / np.maximum(size, 1))
+        rejected = low > usual + self.reach[best] * np.sqrt(between + each / np.maximum(size, 1))
         none = size == 0
         return np.where(none, -1, best), np.where(none, 0.0, score), rejected | none
 
@@ -192,7 +204,7 @@ def _hash_at(codes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 def build(counts: dict[str, Counter]) -> LanguageModels:
     """Models of each language's counts of ORDER-grams (strings of ORDER characters)."""
-    return _build({lang: (_codes("".join(c)), np.array(list(c.values()), np.float64)) for lang, c in counts.items()})
+    return _build({lang: _levels(_codes("".join(c)), np.array(list(c.values()), np.float64)) for lang, c in counts.items()})
 
 
 def _codes(grams: str) -> np.ndarray:
@@ -244,10 +256,10 @@ def _levels(codes: np.ndarray, counts: np.ndarray) -> tuple[dict[int, _Level], f
     return levels, levels[1].share[0] * floor
 
 
-def _build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
-    """Models of each language's ORDER-grams, given as rows of codes and their counts."""
-    langs = sorted(grams)
-    tables = [_levels(*grams[lang]) for lang in langs]
+def _build(levels_of: dict[str, tuple[dict[int, _Level], float]]) -> LanguageModels:
+    """Models of the levels of each language."""
+    langs = sorted(levels_of)
+    tables = [levels_of[lang] for lang in langs]
     union = {}  # of each n, the n-grams of all languages
     for n in range(1, ORDER + 1) if langs else ():
         keys, first = np.unique(np.concatenate([t[n].keys for t, _ in tables]), return_index=True)
@@ -271,11 +283,14 @@ def _build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
             at += len(keys)
     keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in union.values()]])
     order = np.argsort(keys)
-    keys = keys[order]
+    unseen = np.log2(np.array([floor for _, floor in tables])).astype(np.float32)
+    return _indexed(langs, keys[order], logp[order], back[order], unseen)
+
+
+def _indexed(langs: list[str], keys: np.ndarray, logp: np.ndarray, back: np.ndarray, unseen: np.ndarray) -> LanguageModels:
     bits = max(1, min(22, int(np.ceil(np.log2(max(len(keys), 2)))) + 1))
     start = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    unseen = np.log2(np.array([floor for _, floor in tables])).astype(np.float32)
-    return LanguageModels(langs, keys, logp[order], back[order], start, 64 - bits, unseen, np.tile([0.0, 1.0, 1.0], (len(langs), 1)))
+    return LanguageModels(langs, keys, logp, back, start, 64 - bits, unseen, np.tile([0.0, 1.0, 1.0], (len(langs), 1)), np.full(len(langs), LEAST_REACH))
 
 
 def _kneser_ney(top: Counter) -> tuple[dict[str, float], dict[str, float], float]:
@@ -306,14 +321,58 @@ def _kneser_ney(top: Counter) -> tuple[dict[str, float], dict[str, float], float
     return prob, weight, floor
 
 
-def _grams(text: pa.Array, lang: pa.Array):
-    out: dict[str, Counter] = {}
-    for t, name in zip(text.to_pylist(), lang.to_pylist(), strict=True):
-        codes = letters_of(t or "")
-        if len(codes):
-            s = np.concatenate([np.full(ORDER - 1, 32, np.uint32), codes]).astype("<u4").tobytes().decode("utf-32-le")
-            out.setdefault(name, Counter()).update(s[i : i + ORDER] for i in range(len(codes)))
-    return out
+def _fitted(texts: pa.Table) -> pa.Table:
+    """A row for each level of the model of one language."""
+    pad, parts, ends, at = np.full(ORDER - 1, 32, np.uint32), [], [], 0
+    for chunk in texts.column("text").chunks:
+        for text in chunk:
+            codes = letters_of(text.as_py() or "")
+            if len(codes):
+                parts += [pad, codes]
+                at += len(codes) + ORDER - 1
+                ends.append(at)
+    if not parts:
+        return pa.Table.from_pydict({name: [] for name in _LEVEL.names}, _LEVEL)
+    flat = np.concatenate(parts)
+    h = _hash(flat, ORDER)
+    inside = np.ones(len(h), bool)
+    for end in ends[:-1]:  # windows that run into the next text
+        inside[end - ORDER + 1 : end] = False
+    place = np.flatnonzero(inside)
+    _, first, counts = np.unique(h[place], return_index=True, return_counts=True)
+    levels, floor = _levels(flat[place[first][:, None] + np.arange(ORDER)], counts.astype(np.float64))
+    lang = texts.column("lang")[0].as_py()
+    rows = [{"lang": lang, "n": n, "floor": floor} | {k: np.ascontiguousarray(getattr(x, k)).tobytes() for k in ("codes", "keys", "prob", "contexts", "share")} for n, x in levels.items()]
+    trim_memory()
+    return pa.Table.from_pylist(rows, _LEVEL)
+
+
+_LEVEL = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("floor", pa.float64()), *[(k, pa.binary()) for k in ("codes", "keys", "prob", "contexts", "share")]])
+
+
+def _level_of(row: dict) -> _Level:
+    return _Level(np.frombuffer(row["codes"], np.uint32).reshape(-1, row["n"]), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["prob"], np.float64), np.frombuffer(row["contexts"], np.uint64), np.frombuffer(row["share"], np.float64))
+
+
+def _tabled(batches):
+    """The table of all languages, in pieces: (name of the array, number of the piece, its bytes)."""
+    levels_of: dict[str, tuple[dict[int, _Level], float]] = {}
+    for batch in batches:
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
+            levels_of.setdefault(row["lang"], ({}, row["floor"]))[0][row["n"]] = _level_of(row)
+    models = _build({lang: (dict(sorted(levels.items())), floor) for lang, (levels, floor) in levels_of.items()})
+    for name in ("keys", "logp", "back", "unseen"):
+        data = np.ascontiguousarray(getattr(models, name)).tobytes()
+        for seq, at in enumerate(range(0, max(len(data), 1), 4 << 20)):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq], pa.int32()), pa.array([data[at : at + (4 << 20)]], pa.binary())], ["name", "seq", "data"])
+    del models, levels_of
+    trim_memory()
+
+
+def _loaded(pieces: pa.Table, langs: list[str]) -> LanguageModels:
+    data = {name: b"".join(x for _, x in sorted((r["seq"], r["data"]) for r in pieces.filter(pc.equal(pieces["name"], name)).to_pylist())) for name in ("keys", "logp", "back", "unseen")}
+    return _indexed(langs, np.frombuffer(data["keys"], np.uint64), *(np.frombuffer(data[k], np.float32).reshape(-1, len(langs)) for k in ("logp", "back")), np.frombuffer(data["unseen"], np.float32))
 
 
 def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: int) -> DataFrame | None:
@@ -325,7 +384,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars:
         stats.setdefault(r["lang"], []).append(r)
     if not stats:
         return None
-    below = {}
+    below, max_chars = {}, max_chars if len(stats) <= WIDE else max(1, max_chars * WIDE * WIDE // len(stats) ** 2)
     for lang, parts in stats.items():
         first = sorted(r["first"] for r in parts)[:LEAST_ROWS][-1] + 1
         few = sum(r["rows"] for r in parts) <= LEAST_ROWS
@@ -359,32 +418,23 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: i
     if sample is None:
         return build({})
 
-    def counted(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                for lang, grams in _grams(part.column(0), part.column(1)).items():
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
-
     with Scratch(spark, "lang") as scratch:
         sample = _held(scratch.write(sample, "sample"))
-        fit = sample.where("not held").select("text", "lang")
-        totals = fit.mapInArrow(counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        grams = {}
-        for lang in pc.unique(totals["lang"]).to_pylist():
-            own = totals.filter(pc.equal(totals["lang"], lang))
-            grams[lang] = _codes(utf8_buffer(own["gram"])[0].tobytes().decode()), own["n"].to_numpy().astype(np.float64)
-        del totals
-        models = _build(grams)
-        if models.langs:
-            held = sample.where("held").select("lang", _bits("text", models, spark).alias("got")).select("lang", "got.bits", "got.size", "got.spread").toPandas()
-            calibrate(models, held)
+        levels = sample.where("not held").select("lang", "text").groupBy("lang").applyInArrow(_fitted, "lang string, n int, floor double, codes binary, keys binary, prob binary, contexts binary, share binary")
+        levels = scratch.write(levels, "levels")
+        langs = sorted(r["lang"] for r in levels.select("lang").distinct().collect())  # a row per language
+        if not langs:
+            return build({})
+        pieces = scratch.write(levels.repartition(1).mapInArrow(_tabled, "name string, seq int, data binary"), "table")
+        models = _loaded(pieces.toArrow(), langs)  # of the size that WIDE and max_chars bound
+        sent = spark.sparkContext.broadcast(models)
+        held = sample.where("held").select("lang", _bits(F.col("text"), sent).alias("got")).select("lang", "got.bits", "got.size", "got.spread").toArrow()
+        sent.destroy()
+        calibrate(models, held)
         return models
 
 
-def _bits(text: Column | str, models: LanguageModels, spark) -> Column:
-    sent = spark.sparkContext.broadcast(models)
-
+def _bits(text: Column, sent) -> Column:
     @F.arrow_udf("struct<bits: array<double>, size: bigint, spread: double>")
     def run(text: pa.Array) -> pa.Array:
         out = []
@@ -398,25 +448,24 @@ def _bits(text: Column | str, models: LanguageModels, spark) -> Column:
     return run(text)
 
 
-def calibrate(models: LanguageModels, held) -> None:
+def calibrate(models: LanguageModels, held: pa.Table) -> None:
     """Sets the score's heat and each language's limit from texts that were not fitted on."""
-    held = held[held["size"] > 0]
+    held = held.filter(pc.greater(held["size"], 0))
     if not len(held):
         return
-    bits, size = np.array(held["bits"].tolist()), held["size"].to_numpy(np.float64)
+    bits, size = np.array(held["bits"].to_pylist()), held["size"].to_numpy().astype(np.float64)
     best = bits.argmin(1)
-    low, spread = bits[np.arange(len(bits)), best], held["spread"].to_numpy(np.float64)
-    worst = models.reach
+    low, spread = bits[np.arange(len(bits)), best], held["spread"].to_numpy()
     for j in range(len(models.langs)):
         own = best == j
         pick = own if own.sum() >= 8 else np.ones(len(best), bool)
+        pick = pick & (low <= np.quantile(low[pick], 0.98))
         usual, each = float(np.average(low[pick], weights=size[pick])), max(float(spread[pick].mean()), 1e-3)
         between = max(float(np.average(np.square(low[pick] - usual), weights=np.sqrt(size[pick]))), LEAST_SPREAD)
         models.limits[j] = usual, between, each
         if own.any():
-            worst = max(worst, 2.0 * float(((low[own] - usual) / np.sqrt(between + each / size[own])).max()))
-    models.reach = worst
-    truth = np.array([models.langs.index(x) if x in models.langs else -1 for x in held["lang"]])
+            models.reach[j] = max(LEAST_REACH, 2 * float(np.quantile((low[own] - usual) / np.sqrt(between + each / size[own]), 0.98)))
+    truth = np.array([models.langs.index(x) if x in models.langs else -1 for x in held["lang"].to_pylist()])
     losses = []
     for heat in (0.25, 0.5, 1.0, 2.0, 4.0):
         models.heat = heat
@@ -429,7 +478,7 @@ def calibrate(models: LanguageModels, held) -> None:
 
 def identify(text: Column | str, models: LanguageModels, spark) -> Column:
     """struct<lang_pred, score, bits, rejected> of a text column."""
-    sent = spark.sparkContext.broadcast(models)
+    sent = spark.sparkContext.broadcast(models)  # of the size that max_chars and WIDE bound
 
     @F.arrow_udf("struct<lang_pred: string, score: double, bits: double, rejected: boolean>")
     def run(text: pa.Array) -> pa.Array:

@@ -82,6 +82,46 @@ def test_a_language_of_few_long_texts_is_learned(spark):
     assert lang_id.train(df, "doc_id", "text", "lang", max_chars=10000).langs == ["de", "en"]
 
 
+def test_query_against_brute_force(spark, tmp_path):
+    """op3_lang_id over a small table: each text's language by dictionaries of n-grams and plain recursion."""
+    from collections import Counter
+
+    random.seed(5)
+    say = lambda words, n: " ".join(random.choice(words.split()) for _ in range(n))
+    kinds = {"en": "the quick brown fox and the lazy dog of a man", "de": "der schnelle braune fuchs und der faule hund", "fr": "le renard brun rapide et le chien paresseux"}
+    rows = [(i, say(kinds[lang], random.randint(1, 60)), lang) for i, lang in enumerate(random.choices([*kinds], k=150))]
+    rows += [rows[3], rows[3], (151, None, "en"), (152, "1 2 !", "de"), (None, say(kinds["de"], 30), "de"), (153, say(kinds["fr"], 30), None), (154, "", "fr"), (155, say(kinds["en"], 5000), None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, bits string, got string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.lang_pred) for r in queries()["op3_lang_id"](spark, str(tmp_path)).collect())
+    import zlib
+
+    seen = df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    sample = lang_id._held(lang_id._sample(seen, "doc_id", "text", "lang", lang_id.MAX_CHARS)).where("not held").collect()
+    plain = lambda t: "".join(chr(c) for c in lang_id.letters_of(t or ""))
+    models = {}
+    for lang in kinds:
+        counts = Counter()
+        for r in sample:
+            if r.lang == lang:
+                padded = "    " + plain(r.text)
+                counts.update(padded[i : i + 5] for i in range(len(padded) - 4))
+        models[lang] = lang_id._kneser_ney(counts)
+
+    def bits(text, lang):
+        prob, weight, floor = models[lang]
+
+        def p(g):
+            return prob[g] if g in prob else floor if len(g) == 1 else weight.get(g[:-1], 1.0) * p(g[1:])
+
+        padded = "    " + text
+        return -sum(np.log2(p(padded[i : i + 5])) for i in range(len(text)))
+
+    want = [(str(i), min(sorted(kinds), key=lambda lang, t=plain(t): bits(t, lang)) if plain(t) else "und") for i, t, _ in rows]
+    assert got == sorted(want)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in queries()["op3_lang_id"](spark, str(tmp_path)).where("held_out is not null").collect())
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     m = quality_model.FactorisationMachine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
