@@ -57,7 +57,7 @@ def test_banded_distance(spark, most):
         assert min(r.d, most + 1) == min(lev(r.a, r.b), most + 1), r
 
 
-@pytest.mark.parametrize(("hot", "edits"), [(16, 1), (2, 1), (16, 2)])
+@pytest.mark.parametrize(("hot", "edits"), [(16, 1), (2, 1), (16, 2), (1, 2)])
 def test_against_brute_force(spark, monkeypatch, hot, edits):
     monkeypatch.setattr(L, "HOT", hot)
     random.seed(3)
@@ -85,6 +85,13 @@ def test_short_lines_are_compared_for_equality(spark):
     assert [(got[i].n_exact, got[i].n_near) for i in (1, 2, 3)] == [(0, 0), (2, 1), (1, 0)]
 
 
+def test_ties_and_a_long_line(spark):
+    long = "word " * 60000
+    rows = [(1, f"{long}x"), (2, f"{long}y\nsame same same same same same same same same 1"), (2, f"{long}y\nsame same same same same same same same same 1"), (3, "same same same same same same same same same 2\nsame same same same same same same same same 1")]
+    got = sorted((r.doc_id, r.text, r.kept) for r in L.dedup_lines(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")).collect())
+    assert got == [(1, f"{long}x", "k"), (2, "same same same same same same same same same 1", "k"), (2, "same same same same same same same same same 1", "k"), (3, "", "k")]
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "some words that make a line of more than forty characters")] * 2, "doc_id long, text string")
     assert "Python" not in L.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
