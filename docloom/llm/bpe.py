@@ -8,8 +8,15 @@ around the join is encoded again and grown until its outer tokens equal the toke
 both sides already had there. A sequence whose neighbouring tokens are each a valid
 encoding of their joined bytes is the encoding of the whole, so the result is exact.
 
-Defined results: a null text is the empty text; empty texts have no ids; repeated rows
-are encoded each; an output column replaces an input column of the same name.
+A stretch that the pre-tokeniser splits needs no tree: its pre-tokens are encoded one by one,
+as nothing merges across them. So a text of up to SPREAD characters is encoded where it is
+read, and only its pre-tokens of over LEAF / 4 characters go through the tree, in one task;
+the pieces of a longer text, and the leaves of its long pre-tokens, are encoded in parallel.
+The ids are the same either way.
+
+Defined results: a null text is the empty text; empty texts have no ids; repeated rows and
+rows with null ids are encoded each; an empty table gives an empty table; extra columns are
+kept, whatever their names, but an output column replaces an input column of the same name.
 """
 
 from __future__ import annotations
@@ -23,12 +30,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, fresh
 
 #: Bytes of a leaf of the tree; an unsplit stretch of more characters is halved.
 LEAF = 4096
 #: Characters of a document beyond which its pieces are encoded in different tasks.
-SPREAD = 1 << 20
+SPREAD = 1 << 18
 
 
 class ByteBpe:
@@ -190,11 +197,13 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids_col:
 
 
 def _spread(df: DataFrame, path: str, text_col: str, ids_col: str, spread: int) -> DataFrame:
+    df = df.drop(ids_col)
+    row, runs_col = fresh([*df.columns, ids_col], "row", "runs")
     with Scratch(df.sparkSession, "bpe") as scratch:
         scratch.kept.add("long")
-        rows = scratch.write(df.withColumn("__row", F.monotonically_increasing_id()), "long")
+        rows = scratch.write(df.withColumn(row, F.monotonically_increasing_id()), "long")
     if rows.isEmpty():
-        return rows.drop("__row").withColumn(ids_col, F.lit(None).cast("binary"))
+        return rows.drop(row).withColumn(ids_col, F.lit(None).cast("binary"))
     size = max(spread // 16, LEAF)
 
     @F.arrow_udf("array<struct<seq: int, joins: boolean, raw: boolean, data: binary>>")
@@ -222,9 +231,9 @@ def _spread(df: DataFrame, path: str, text_col: str, ids_col: str, spread: int)
             out.append(np.concatenate([bpe.join_all(g) for g in groups]).astype("<u4", copy=False).tobytes())
         return pa.array(out, pa.binary())
 
-    pieces = rows.select("__row", F.inline(cut(F.col(text_col)))).repartition("__row", "seq")
-    runs = pieces.select("__row", F.struct("seq", "joins", encode("raw", "data").alias("ids")).alias("run")).groupBy("__row").agg(F.array_sort(F.collect_list("run")).alias("runs"))  # the pieces of one text
-    return rows.join(runs, "__row").withColumn(ids_col, joined("runs")).drop("__row", "runs")
+    pieces = rows.select(row, F.inline(cut(F.col(text_col)))).repartition(row, "seq")
+    runs = pieces.select(row, F.struct("seq", "joins", encode("raw", "data").alias("ids")).alias(runs_col)).groupBy(row).agg(F.array_sort(F.collect_list(runs_col)).alias(runs_col))  # the pieces of one text
+    return rows.join(runs, row).withColumn(ids_col, joined(runs_col)).drop(row, runs_col)
 
 
 def cut_text(bpe: ByteBpe, text: str, size: int) -> list[dict]:

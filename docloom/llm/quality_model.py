@@ -11,7 +11,10 @@ the smallest hash of their id. It has (BUCKETS + STATS) * (1 + FACTORS) weights,
 the corpus, and is broadcast at that size.
 
 Defined results: null and empty texts have no words and zero statistics and still get a
-score; without any labelled row every score is 0.5; repeated rows get equal scores.
+score; without any labelled row, as in an empty table, every score is 0.5; a score of 0.5 is
+predicted as 1; whole texts are read, however long; repeated rows get equal scores. Of rows
+with one id the model takes one label (the least) and one text (that of the least hash); null
+ids, null labels and other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,8 +144,8 @@ def fit(feature: np.ndarray, value: np.ndarray, at: np.ndarray, label: np.ndarra
 def train(labelled: DataFrame, texts: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS) -> FactorisationMachine:
     """A model of label_col (0 or 1) of ``labelled`` from the texts of the same id."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    sample = spark.createDataFrame(rows.orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_rows).toPandas(), rows.schema)  # max_rows rows at most
+    rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    sample = spark.createDataFrame(rows.orderBy(F.xxhash64("id"), "id").limit(max_rows).toArrow(), rows.schema)  # max_rows rows at most
 
     def counted(batches):
         for batch in batches:
@@ -152,12 +155,13 @@ def train(labelled: DataFrame, texts: DataFrame, id_col: str, text_col: str, lab
                 f, x = f.astype(np.int32), x.astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["id", "label", "f", "x"])
 
-    found = texts.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__text", "__label")
-    got = found.mapInArrow(counted, found.select(F.col("__id").alias("id"), F.col("__label").alias("label"), F.lit(b"").alias("f"), F.lit(b"").alias("x")).schema).toPandas().sort_values(["id", "label"], kind="stable")
-    f, x = [np.frombuffer(b, np.int32) for b in got["f"]], [np.frombuffer(b, np.float32) for b in got["x"]]
+    found = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    found = found.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "label")
+    got = found.mapInArrow(counted, found.select("id", "label", F.lit(b"").alias("f"), F.lit(b"").alias("x")).schema).toArrow().sort_by("id")  # a row for each sampled id
+    f, x = [np.frombuffer(b.as_py(), np.int32) for b in got["f"]], [np.frombuffer(b.as_py(), np.float32) for b in got["x"]]
     at = np.concatenate([[0], np.cumsum([len(b) for b in f], dtype=np.int64)]).astype(np.int64)
     empty = np.zeros(0)
-    return fit(np.concatenate([empty.astype(np.int64), *f]), np.concatenate([empty, *x]), at, got["label"].to_numpy(np.float64))
+    return fit(np.concatenate([empty.astype(np.int64), *f]), np.concatenate([empty, *x]), at, got["label"].to_numpy().astype(np.float64))
 
 
 def score(text: Column | str, model: FactorisationMachine, spark) -> Column:

@@ -1,8 +1,9 @@
 """Token counts of whole texts without making their ids.
 
 Each task turns its documents into pre-token frequencies. A pre-token that is itself a
-vocabulary entry is one token and is summed at once (the vocabulary is a table of fixed
-size). The others become one row per pre-token and block of documents, with the
+vocabulary entry is one token and is summed at once: this departs from a join of all
+pre-tokens, but the vocabulary is a table of fixed size that each task holds, and its
+entries are most of a text. The others become one row per pre-token and block of documents, with the
 frequencies of the block's documents packed into it. These rows are exchanged by
 pre-token; there each distinct pre-token is merged once and its count joins all its rows.
 The products, summed by document within the task, are exchanged by block and added up.
@@ -10,8 +11,10 @@ The products, summed by document within the task, are exchanged by block and add
 A pre-token that many documents of a block hold is salted by block, so that no task gets
 all rows of a common one; it is then merged once for each salt.
 
-Defined results: a null text is empty and has 0 tokens; repeated rows are each counted;
-special strings count one token; output columns replace input columns of the same name.
+Defined results: a null or empty text has 0 tokens; repeated rows are each counted, and ids
+may be null; special strings count one token; whole texts are counted, however long; an empty
+table gives an empty table; extra columns are kept, but output columns replace input columns
+of the same name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.bpe import byte_bpe
-from docloom.llm.common import utf8_buffer
+from docloom.llm.common import fresh, trim_memory, utf8_buffer
 
 #: Documents (at most 65536) and bytes of text whose frequencies share one row per pre-token.
 BLOCK_DOCS, BLOCK_BYTES = 8192, 32 << 20
@@ -47,6 +50,11 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
+def _salt(block: int) -> int:
+    """1 to SALTS; a block's number is that of its first row, whose low bits are alike in all partitions."""
+    return 1 + ((block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % SALTS
+
+
 def _frequencies(path: str):
     """Rows of documents (piece null, doc set) and rows of pre-tokens (pairs set)."""
 
@@ -54,10 +62,19 @@ def _frequencies(path: str):
         bpe = byte_bpe(path)
         known = {t.decode() for t in bpe.ranks if _is_text(t)}
         base, docs, packed, size = None, 0, {}, 0
+        held, before = Counter(), 0  # documents with each common pre-token, and documents, of the blocks so far
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal before
             n = len(packed)
-            salt = [base % SALTS if len(v) > 2 * COMMON * docs else 0 for v in packed.values()]
+            before += docs
+            salt = []
+            for piece, v in packed.items():  # a pre-token is salted by its share of all that the task has read
+                if len(v) > 2 * COMMON * docs or piece in held:
+                    held[piece] += len(v) // 2
+                salt.append(_salt(base) if held.get(piece, 0) > COMMON * before else 0)
+            for piece in [x for x, c in held.items() if c <= COMMON * before]:
+                del held[piece]
             pairs = pa.array([np.array(v, np.uint16).tobytes() for v in packed.values()], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(packed, pa.string()), pa.array(salt, pa.int32()), pa.array(np.full(n, base or 0), pa.int64()), pairs, pa.nulls(n, kind)], ["piece", "salt", "block", "pairs", "doc"])
 
@@ -87,12 +104,14 @@ def _frequencies(path: str):
                 docs, size = docs + len(part), size + sum(sizes)
                 doc = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), part.column(2)], ["at", "known", "n_bytes", "rest"])
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array([base % SALTS] * n, pa.int32()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.binary()), doc], ["piece", "salt", "block", "pairs", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array([_salt(base)] * n, pa.int32()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.binary()), doc], ["piece", "salt", "block", "pairs", "doc"])
                 if docs + 256 > BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield flush(doc.type)
                     base, docs, packed, size = None, 0, {}, 0
         if packed:
             yield flush(doc.type)
+        packed = {}
+        trim_memory()
 
     return run
 
@@ -151,6 +170,7 @@ def _products(path: str):
                     np.add.at(sums[slots[int(own)]], pairs["doc"][pick], np.repeat(np.array(counts, np.int64)[rows], sizes[rows]) * pairs["n"][pick])
         if kind is not None:
             yield from flush(kind)
+        trim_memory()
 
     return run
 
@@ -180,7 +200,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """df (without its text) with out_col, the number of tokens of each whole text, and n_bytes, its UTF-8 length."""
     others = [c for c in df.columns if c not in (text_col, out_col, "n_bytes")]
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("__")).alias("rest"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias(fresh(others, "none")[0])).alias("rest"))
     rest = rows.schema["rest"].dataType
     doc = T.StructType().add("at", "integer").add("known", "long").add("n_bytes", "long").add("rest", rest)
     freq = rows.mapInArrow(_frequencies(path), T.StructType().add("piece", "string").add("salt", "integer").add("block", "long").add("pairs", "binary").add("doc", doc))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from docloom.llm import bpe
 from docloom.llm.queries import vocabulary
-from docloom.llm.token_counts import count_tokens
+from docloom.llm.token_counts import _is_text, count_tokens
 
 PATH = vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
@@ -46,10 +46,12 @@ def test_pieces_are_those_of_the_library(text):
 @pytest.mark.parametrize("spread", [1 << 20, 2000])
 def test_documents_long_or_short(spark, spread):
     rows = [(i, t, "old") for i, t in enumerate(TEXTS)] + [(None, "x y", None), (3, " ", "old")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")  # a clashing column is replaced
+    rows = [(*r, "r", "w", "q") for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, runs string, row string, seq string")  # a clashing column is replaced
     got = bpe.encode_documents(df, PATH, spread=spread).withColumn("back", bpe.decode_ids(F.col("ids"), PATH)).collect()
     assert len(got) == len(rows)
     for r in got:
+        assert (r.runs, r.row, r.seq) == ("r", "w", "q")
         assert np.frombuffer(r.ids, "<u4").tolist() == ids_of(r.text)
         assert r.back == (r.text or "")
 
@@ -63,6 +65,20 @@ def test_token_counts(spark):
     assert got == sorted((str(i), len(ids_of(t)), len((t or "").encode())) for i, t, _ in rows)
 
 
+def test_vocabulary_entries_that_are_pretokens_are_one_token():
+    own = bpe.byte_bpe(PATH)
+    known = [t.decode() for t in own.ranks if _is_text(t)]
+    known = [t for t in known if t and own.pieces(t) == [t]]
+    assert len(known) > 40000 and all(len(x.ids) == 1 for x in LIBRARY.encode_batch(known, add_special_tokens=False))
+
+
+def test_blocks_of_all_partitions_are_salted_apart():
+    from docloom.llm import token_counts
+
+    salts = {token_counts._salt(p << 33) for p in range(1000)}
+    assert len(salts) > 800 and 0 not in salts
+
+
 def test_frequencies_beyond_16_bits(spark):
     df = spark.createDataFrame([(1, " qzxv" * 70000)], "doc_id long, text string")
     assert count_tokens(df, PATH).first().n_tokens == 70000 * len(ids_of(" qzxv"))

@@ -143,9 +143,58 @@ def test_quality_on_held_out_rows(spark):
     assert ((rows.score >= 0.5) == (rows.predicted == 1)).all()
 
 
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """op7_quality_model over a small table: features by plain counting, all pairs of them by their products."""
+    import math
+    import re
+    from collections import Counter
+
+    from docloom.llm import textvec
+
+    random.seed(8)
+    texts = [" ".join(random.choices(("Fine prose words here", "## 12 | x !! $", "a b\nc, d.")[i % 3].split(" "), k=random.randint(1, 30))) for i in range(60)] + ["", None, "one", "é É é"]
+    rows = [(i, t, "x", 1.5) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1.5), (None, "null id", "y", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, id string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0, 0) for i in range(40)] + [(3, 1, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    m = quality_model.train(seen, spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text", "quality")
+
+    def brute(text):
+        raw = (text or "").encode()
+        fold = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+        words = Counter(re.findall(rb"[^\x20\x09-\x0D]+", fold))
+        buckets = Counter()
+        for w, n in words.items():
+            data = np.frombuffer(w, np.uint8)
+            buckets[int(textvec.words_of(data, np.array([0, len(data)]))[0][0] >> np.uint64(48))] += n
+        x = {b: math.log2(1 + n) for b, n in buckets.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        x = {b: v / norm for b, v in x.items()}
+        n, k = max(len(raw), 1), max(sum(words.values()), 1)
+        if raw:
+            kinds = [math.sqrt(sum(quality_model._KIND[c] == j for c in raw) / n) for j in range(9)]
+            stats = [*kinds, len(buckets) / k, max(buckets.values(), default=0) / k, len(raw) / k / 16, math.log2(1 + sum(words.values())) / 16, math.log2(1 + len(raw)) / 16]
+            x |= {quality_model.BUCKETS + j: v for j, v in enumerate(stats)}
+        y = m.w0 + sum(m.w[i] * v for i, v in x.items())
+        f = sorted(x)
+        y += sum(float(m.v[a] @ m.v[b]) * x[a] * x[b] for i, a in enumerate(f) for b in f[i + 1 :])
+        return 1 / (1 + math.exp(-y))
+
+    got = queries()["op7_quality_model"](spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, t, *_ in rows:
+        want[str(i), round(brute(t), 4)] += 1
+    assert len(got) == len(rows)
+    for r in got:
+        near = [k for k in want if k[0] == str(r.doc_id) and abs(k[1] - r.score) < 2e-4 and want[k]]
+        assert near, (r, [k for k in want if k[0] == str(r.doc_id)])
+        want[near[0]] -= 1
+
+
 def test_quality_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
-    texts = spark.createDataFrame([(1, "good words here"), (2, "## || ##"), (3, None), (4, ""), (5, "w" * 300000)], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "good words here"), (2, "## || ##"), (3, None), (4, ""), (5, "w" * 300000)], "doc_id long, text string").withColumns({"id": F.lit("x"), "label": F.lit("y"), "f": F.lit(1)})
     for known in (labels, labels.limit(0)):
         model = quality_model.train(known, texts, "doc_id", "text", "quality")
         got = [r.s for r in texts.select(quality_model.score("text", model, spark).alias("s")).collect()]
