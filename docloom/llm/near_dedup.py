@@ -7,24 +7,20 @@ Documents are linked if the Jaccard similarity of their sets is at least ``perce
 1. One pass makes each document's set size, set fingerprint and signature of BANDS * ROWS
    minimum hashes. Documents of equal sets are one class and go on as one row.
 2. Rows that agree on a band are members of a bucket, whose head is its least row. Members
-   are compared with heads only: first each row with the head it shares most buckets with,
-   then, where they are not connected yet, with its other heads. Links found are contracted
-   into components after each round.
-3. A bucket whose members still lie in several components is open. If it has few members
-   outside its largest component (MINOR at most), these are compared with the others.
-   Otherwise its members are entered again under each two, then three, of the open buckets
-   they share, which splits rows that merely have a passage in common, and the rounds are
-   repeated there; at DEPTH buckets heads are compared and removed one by one until no bucket is open.
-   So no task and no join makes all pairs of a large bucket.
+   are compared with heads only, and the links found are contracted into components.
+3. A bucket whose members still lie in several components is open. Rows of open buckets are
+   compared beyond their heads where they share one of their rarest shingles (by the number of
+   such rows that hold it): two sets that reach the threshold must share one among as many as
+   their sizes allow to differ, so no link is lost, and rows that merely have a passage in
+   common do not meet. So neither a large group of copies nor a common passage makes all pairs.
 4. Every comparison is a star: a head, and the rows it is compared with, in groups of STAR.
    Signatures travel first: a task compares them batch by batch and drops a pair once the
    posterior probability that its similarity reaches the threshold is below MISS. The texts
    of the survivors follow, and the link is confirmed on their full sets.
 5. Connected components of all links give each document its component.
 
-At similarity 0.85 a pair shares no band with probability (1 - 0.85**8)**48 = 2e-7, only one
-with 4e-6 and only two with 4e-5; the latter count only where all of these buckets are large
-and open. Elements are compared as 64-bit hashes: two sets of n elements share one by chance
+At similarity 0.85 a pair shares no band with probability (1 - 0.85**8)**48 = 2e-7.
+Elements are compared as 64-bit hashes: two sets of n elements share one by chance
 with probability n**2 / 2**64, which moves a similarity by 1 / n.
 
 Defined results: null texts and texts without words are alone in their component; a null
@@ -52,10 +48,8 @@ from docloom.llm.components import connected_components
 BANDS, ROWS = 48, 8
 #: Signature values compared at once, and the probability at which a pair is given up.
 BATCH, MISS = 32, 1e-7
-#: Members outside the largest component of a bucket that are compared with all others, and buckets that a key joins at most.
-MINOR, DEPTH = 16, 3
-#: Rows that are compared with one copy of a head.
-STAR = 64
+#: Rows that are compared with one copy of a head, and ratio of set sizes that share a key of a rare shingle.
+STAR, RATIO = 64, 1.04
 #: Row numbers that are broadcast; beyond, both sides are exchanged.
 MOST_ROWS = 1 << 20
 
@@ -213,76 +207,66 @@ def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, size: int, percen
     return scratch.write(_dealt(like, sets, F.col("text"), scratch).mapInArrow(_linked(size, percent), "head bigint, row bigint").select(F.col("head").alias("a"), F.col("row").alias("b")), name)
 
 
-class _Linker:
-    """Links found so far, and the component of every row that has one."""
-
-    def __init__(self, sigs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch):
-        self.given, self.scratch, self.round = (sigs, sets, size, percent), scratch, 0
-        self.links: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Compares pairs (head, row) that are not in one component and contracts what is linked."""
-        pairs = self.scratch.write(self._apart(pairs), "pairs")
-        if pairs.isEmpty():
-            return
-        self.round += 1
-        found = _links(pairs, *self.given, self.scratch, f"links-{self.round}")
-        # Components are made from the roots so far and the new links between them.
-        self.links = found if self.roots is None else found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.roots = connected_components(self.links, self.scratch, f"roots-{self.round}")
-
-    def components(self, rows: DataFrame, row: str, name: str) -> DataFrame:
-        """rows with the component of a column; a row without links is its own."""
-        if self.roots is None:
-            return rows.withColumn(name, F.col(row))
-        known = self.roots.select(F.col("node").alias(row), F.col("root").alias(name))
-        return rows.join(known, row, "left").withColumn(name, F.coalesce(name, row))
-
-    def _apart(self, pairs: DataFrame) -> DataFrame:
-        if self.roots is None:
-            return pairs
-        return self.components(self.components(pairs, "head", "c1"), "row", "c2").where("c1 <> c2").select("head", "row")
-
-    def open(self, members: DataFrame, name: str) -> DataFrame:
-        """The members (key, band, row, head) of buckets of several components, with comp, and minor, the
-        number of members outside the bucket's largest component, major."""
-        known = self.scratch.write(self.components(members, "row", "comp"), f"{name}-known")
-        several = known.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-        several = several.where(F.col("all") > F.col("top.n")).select("key", (F.col("all") - F.col("top.n")).alias("minor"), F.col("top.comp").alias("major"))
-        return self.scratch.write(known.join(several, "key"), name)
-
-
-def _headed(members: DataFrame) -> DataFrame:
-    """members (key, band, row) of buckets of two rows or more, with the head."""
-    heads = members.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    return members.join(heads, "key").select("key", "band", "row", "head")
-
-
-def _connect(linker: _Linker, members: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(node, root) of every row that is linked to another; None if none is."""
-    shared = scratch.write(members.where("row <> head").groupBy("row", "head").count(), "shared")
-    linker.compare(shared.groupBy("row").agg(F.max(F.struct("count", (-F.col("head")).alias("first"))).alias("best")).select((-F.col("best.first")).alias("head"), "row"))
-    linker.compare(shared.select("head", "row"))
-    level, base = 1, None
-    while True:
-        now = linker.open(members, f"open-{level}")
-        if now.isEmpty():
-            return linker.roots
-        few = now.where(F.col("minor") <= MINOR).where("row <> head").select("key", "row", "comp", "major")
-        one, two = few.where("comp <> major").select("key", F.col("row").alias("head"), F.col("comp").alias("c")), few.select("key", "row", "comp", "major")
-        linker.compare(one.join(two, "key").where("c <> comp and (comp = major or head < row)").select("head", "row").distinct())
-        hot = now.where(F.col("minor") > MINOR)
-        if hot.isEmpty():
-            return linker.roots
-        if level < DEPTH:
-            base = base if base is not None else hot.select("row", F.col("band").alias("more"), F.col("key").alias("key2"))
-            members = hot.select("key", "band", "row").join(base, "row").where("more > band").select(F.xxhash64("key", "key2").alias("key"), F.col("more").alias("band"), "row")
-        else:
-            members = hot.where("row <> head").select("key", "band", "row")
-        level += 1
-        members = scratch.write(_headed(members), f"members-{level}")
-        linker.compare(members.where("row <> head").select("head", "row").distinct())
+def _with_root(rows: DataFrame, roots: DataFrame, row: str, name: str) -> DataFrame:
+    """rows with the component of a column; a row without links is its own."""
+    return rows.join(roots.select(F.col("node").alias(row), F.col("root").alias(name)), row, "left").withColumn(name, F.coalesce(name, row))
+
+
+def _connect(members: DataFrame, sigs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of every row that is linked to another."""
+    given = (sigs, sets, size, percent, scratch)
+    stars = scratch.write(members.where("row <> head").select("head", "row").distinct(), "stars")
+    links = _links(stars, *given, "links-1")
+    roots = connected_components(links, scratch, "roots-1")
+    apart = _with_root(_with_root(stars, roots, "head", "c1"), roots, "row", "c2").where("c1 <> c2").select("head", "row")
+    open_keys = members.join(scratch.write(apart, "apart"), ["head", "row"], "left_semi").select("key").distinct()
+    rows = scratch.write(_with_root(members.join(open_keys, "key", "left_semi").select("row").distinct(), roots, "row", "comp"), "open")
+    if rows.isEmpty():
+        return roots
+    pairs = scratch.write(_rare_pairs(rows, sets, size, percent, scratch), "rare-pairs")
+    more = _links(pairs, *given, "links-2").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(more, scratch, "roots-2")
+
+
+def _shingled(size: int):
+    """(row, comp, n, shingle) of (row, comp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8_buffer(batch.column(2))
+            for a, b in textvec.blocks(offsets, textvec.BLOCK):
+                words, at = textvec.words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold=True)
+                shingles, at = textvec.shingles_of(words, at, size)
+                n = np.diff(at)
+                row, comp = (np.repeat(batch.column(i).slice(a, b - a).to_numpy(), n) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(comp), pa.array(np.repeat(n, n)), pa.array(shingles.view(np.int64))], ["row", "comp", "n", "shingle"])
+        trim_memory()
+
+    return run
+
+
+def _rare_pairs(rows: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (head, row) of different components among rows (row, comp) that may reach the threshold by their rarest shingles.
+
+    If sets of m <= n elements reach it, they share at least ``least`` = percent (m + n) / (100 + percent)
+    elements, so the first shared one in any order of shingles is among the first m - least + 1 of the
+    one and n - least + 1 of the other, and the elements from there on must be enough for ``least``.
+    """
+    texts = sets.join(_small(rows, MOST_ROWS), "row").select("row", "comp", "text")
+    shingles = scratch.write(texts.mapInArrow(_shingled(size), "row bigint, comp bigint, n bigint, shingle bigint"), "shingles")
+    held = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = shingles.join(held, "shingle").groupBy("row", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("found"))  # the shingles of one text
+    n, alone = F.col("n"), F.col("n") - F.size("found")  # shingles that no other row holds come first
+    entries = ranked.select("row", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("found", 1, F.greatest(F.floor(n * (100 - percent) / 100) + 1 - alone, F.lit(0)).cast("int"))).alias("i", "x"))
+    entries = scratch.write(entries.select("row", "comp", "n", (F.col("alone") + F.col("i") + 1).alias("at"), "x.shingle"), "entries")
+    least = lambda m: F.ceil(percent * (m + n) / (100 + percent) - 1e-9)
+    kind = lambda m: F.floor(F.log(m) / float(np.log(RATIO)) - 1e-9)
+    # The smaller set stands under its own size class, the larger one under all that its place allows.
+    one = entries.where(F.col("at") <= n - least(n) + 1).select("shingle", kind(n).alias("kind"), F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("m"), F.col("at").alias("at_a"))
+    two = entries.select("shingle", "row", "comp", "n", "at", F.explode(F.sequence(kind(n * percent / 100), kind(n))).alias("kind"))
+    two = two.where(F.col("at") <= n - least(F.floor(F.pow(F.lit(RATIO), F.col("kind")))) + 1)
+    fits = (F.col("ca") != F.col("comp")) & (F.col("m") <= n) & (100 * F.col("m") >= percent * n) & (1 + F.least(F.col("m") - F.col("at_a"), n - F.col("at")) >= least(F.col("m")))
+    return two.join(one, ["shingle", "kind"]).where(fits).select(F.least("a", "row").alias("head"), F.greatest("a", "row").alias("row")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
@@ -322,13 +306,12 @@ def _find(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, ca
     classes = scratch.write(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
     # Sets of n elements can be similar without being equal only if n / (n + 1) reaches the threshold.
     reps = classes.where(F.col("n") * (100 - percent) >= percent).select(F.col("rep").alias("row"))
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", band.alias("band", "key"))
-    members = scratch.write(_headed(buckets), "members")
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
+    buckets = sets.select("row", "sig").join(reps, "row", "left_semi").select("row", band.alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("row").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
+    members = scratch.write(buckets.join(heads, "key").select("key", "row", "head"), "members")
     sigs = scratch.write(sets.select("row", "n", "sig").join(_small(members.select("row").distinct(), MOST_ROWS), "row", "left_semi"), "sigs")
-    roots = _connect(_Linker(sigs, sets.select("row", "text"), size, percent, scratch), members, scratch)
-    if roots is None:
-        roots = df.sparkSession.createDataFrame([], "node bigint, root bigint")
+    roots = _connect(members, sigs, sets.select("row", "text"), size, percent, scratch)
     # The class of a row, then the least id and row of all classes of its component.
     linked = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "rep", "least", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("many"))
     of_root = linked.where("many").groupBy("root").agg(F.min("least").alias("root_least"))

@@ -62,14 +62,31 @@ def test_against_brute_force(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-@pytest.mark.parametrize(("minor", "depth", "n"), [(0, 3, 25), (0, 1, 4)])
-def test_open_buckets_are_split(spark, monkeypatch, minor, depth, n):
-    """With no members that may be compared with all, buckets go through keys of several buckets, or heads are removed one by one."""
-    monkeypatch.setattr(N, "MINOR", minor)
-    monkeypatch.setattr(N, "DEPTH", depth)
-    rows = boilerplate(n)
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+def test_open_buckets_go_by_rare_shingles(spark, monkeypatch):
+    """Heads that are like none of their bucket: all links are found by rare shingles, and no others are compared."""
+    rows = boilerplate(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = []
+    plain = N._rare_pairs
+    monkeypatch.setattr(N, "_rare_pairs", lambda *a: compared.append(plain(*a).count()) or plain(*a))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    assert len({c for _, _, c in got}) == 40 and compared and compared[0] < 3 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_shingles_lose_no_pair(spark, seed):
+    from docloom.llm.common import Scratch
+
+    rows = [(i, t) for i, (_, t) in enumerate(boilerplate(8) + corpus(seed)) if shingles(t)]
+    sets = spark.createDataFrame(rows, "row long, text string")
+    with Scratch(spark, "t") as scratch:
+        got = {(r.head, r.row) for r in N._rare_pairs(sets.selectExpr("row", "row comp"), sets, 5, 85, scratch).collect()}
+    own = {i: shingles(t) for i, t in rows}
+    for i, x in own.items():
+        for j, y in own.items():
+            if i < j and x != y and 100 * len(x & y) >= 85 * len(x | y):
+                assert (i, j) in got
 
 
 def boilerplate(n):
