@@ -38,6 +38,44 @@ def test_tiles_are_those_of_a_naive_search(doc, item):
     assert sum(k for _, _, k in tiles) == naive(doc, item, 3) or len(set(map(tuple, [doc]))) == 1 and abs(sum(k for _, _, k in tiles) - naive(doc, item, 3)) <= 3
 
 
+def test_many_equal_tokens_take_little_memory():
+    import tracemalloc
+
+    doc, item = np.full(200_000, 7, np.uint64), np.concatenate([np.full(300, 7, np.uint64), [np.uint64(9)], np.full(200, 7, np.uint64)])
+    tracemalloc.start()
+    tiles = D.tile(doc, item)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 300), (300, 301, 200)] and peak < 100 << 20
+
+
+def test_long_tokens_are_compared_whole(spark):
+    long = "x" * (D.CHARS + 10)
+    item = f"{long}ab {long}cd {long}ef {long}gh {long}ij"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, item.replace("ab ", "zz ").replace("cd ", "zz ").replace("gh ", "zz ")), (3, f"so {item} ends")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in D.find_leaks(docs, bench).collect()) == [1, 3]
+
+
+def test_items_of_few_tokens_leak_whole(spark):
+    bench = spark.createDataFrame([(1, "forty two"), (2, "one, two, three"), (3, "four five six seven"), (4, "?!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "It is Forty-Two!"), (2, "two forty"), (3, "one two"), (4, "and one two three"), (5, "four five six"), (6, "four five six seven")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()) == [(1, 1), (4, 2), (6, 3)]
+
+
+def test_common_seeds_are_taken_in_parts(monkeypatch):
+    random.seed(6)
+    words = [f"w{i}" for i in range(12)]
+    items = [" ".join(random.choices(words[:4], k=12)) for _ in range(40)]
+    texts = [" ".join(random.choices(words, k=200)) + " " + random.choice(items) for _ in range(12)]
+    whole = D.Items(items).leaks(texts, 0.5)
+    monkeypatch.setattr(D, "PAIRS", 3)
+    assert whole and D.Items(items).leaks(texts, 0.5) == whole
+    hashes = [D.tokens_of([t])[0].tolist() for t in [*texts, *items]]
+    want = [(d, i) for d in range(12) for i in range(40) if naive(hashes[d], hashes[12 + i], D.SEED) >= 0.5 * 12]
+    assert [(d, i) for d, i, _, _ in whole] == want
+
+
 def test_leaks(spark):
     random.seed(1)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
@@ -58,13 +96,13 @@ def test_leaks(spark):
         (9, "a " * 3000),
     ]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(10, None), (11, ""), (12, "a b c"), (13, "a a a a a a")], "item_id long, text string")
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, item_id string, leaks string")
     want = sorted(map(str, [(1, 0), (2, 1), (3, 2), (8, 4), (8, 5), (8, 4), (None, 0), (9, 13)]))
     for tokens in (1 << 20, 40):  # one block of items, or several
         got = D.find_leaks(docs, bench, block_tokens=tokens).collect()
         assert sorted(str((r.doc_id, r.item_id)) for r in got) == want
-    kept = D.without_leaks(docs, bench).collect()
-    assert sorted(r.doc_id for r in kept) == [4, 5, 6, 7]
+        kept = D.without_leaks(docs, bench, block_tokens=tokens).collect()
+        assert sorted((r.doc_id, r.leaks) for r in kept) == [(i, "y") for i in (4, 5, 6, 7)]
     assert D.find_leaks(docs, bench.limit(0)).count() == 0 and D.find_leaks(docs.limit(0), bench).count() == 0
 
 
