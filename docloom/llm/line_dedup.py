@@ -56,6 +56,8 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
     Columns of the dynamic programme are bit vectors over the band of diagonals -most .. most;
     bit k of a vector belongs to diagonal k - most. Characters beyond either end match nothing.
+    A column's least value is at least that of its last row less its upward steps; once that
+    exceeds ``most``, so does the distance, and the remaining columns are passed over.
     """
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     width = 2 * most + 1
@@ -76,10 +78,12 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
         bit = F.call_function("shiftleft", lit(1), F.greatest(F.lit(0), state["n"] - 1 - j + most))  # the last row's place once the band reaches it
         inside = j + most < state["n"]
         score = F.when(inside, state["score"] + F.when(d0.bitwiseAND(lit(1 << (width - 1))) == 0, 1).otherwise(0)).otherwise(state["score"] + F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0))
-        return F.struct(state["s"].alias("s"), state["t"].alias("t"), state["n"].alias("n"), hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(lit(mask))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("score"))
+        upward = hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(lit(mask)))
+        over = score - F.bit_count(upward) > most
+        return F.when(state["over"], state).otherwise(F.struct(state["s"].alias("s"), state["t"].alias("t"), state["n"].alias("n"), upward.alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("score"), over.alias("over")))
 
-    first = F.struct(s.alias("s"), t.alias("t"), n.alias("n"), lit(mask & ~((1 << most) - 1)).alias("vp"), lit(0).alias("vn"), F.least(F.lit(most), n).alias("score"))
-    run = F.aggregate(F.sequence(F.lit(0), m - 1), first, step, lambda x: x["score"])
+    first = F.struct(s.alias("s"), t.alias("t"), n.alias("n"), lit(mask & ~((1 << most) - 1)).alias("vp"), lit(0).alias("vn"), F.least(F.lit(most), n).alias("score"), F.lit(False).alias("over"))
+    run = F.aggregate(F.sequence(F.lit(0), m - 1), first, step, lambda x: F.when(x["over"], F.lit(most + 1)).otherwise(x["score"]))
     return F.when(m - n > most, F.lit(most + 1)).when(n <= 0, m).otherwise(run)
 
 
