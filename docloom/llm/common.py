@@ -60,6 +60,13 @@ def trim_memory() -> None:
     _trimmer()(0)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; nothing happens if it is already gone."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Exception):
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage or to be read more than once.
 
@@ -94,11 +101,8 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            with contextlib.suppress(Exception):  # a folder that is already gone
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.paths.pop(name))
 
 
 def crc32_of_id(column: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import lang_id, quality_model, quality_rules, warc
 from docloom.llm.bpe import decode_ids, encode_documents
-from docloom.llm.common import crc32_of_id, read_table
+from docloom.llm.common import Scratch, crc32_of_id, read_table, remove
 from docloom.llm.decontamination import find_leaks
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
@@ -29,7 +29,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(pages, path, "page_id", "url", "html")
     kind = pages.schema["page_id"].dataType
     read = warc.read_records(index, path, payload=False)
-    return read.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    out = read.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    with Scratch(spark, "records") as scratch:  # what is returned is narrow; the archives go
+        out = scratch.write(out, "records", keep=True)
+        remove(spark, path)
+        return out
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

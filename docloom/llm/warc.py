@@ -10,22 +10,29 @@ and parses and verifies the records.
 An archive is named by the task attempt that wrote it, and the index names only archives
 of attempts that were committed, so a task that runs again leaves no wrong record behind.
 
-Defined results: a null payload is empty; a null URL writes no target header; a row with a
-null id is a response; repeated rows of the smallest id are all responses; other columns
-are not archived.
+Archives are read and written by Arrow's file systems. The folder's URI is resolved by Hadoop
+first (a view to the store behind it, s3a to s3); a store that Arrow can't open is refused
+before any work.
+
+Defined results: a null payload is empty and a record of 0 bytes like any other; a null URL
+writes no target header; a row with a null id is a response; of equal payloads the smallest id
+is the response, and repeated rows of it are all responses; payloads are archived whole, of any
+length, a record at a time; an empty table gives an empty index and no records; other columns
+are not archived, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, shared_dir, utf8_buffer
@@ -33,7 +40,7 @@ from docloom.llm.common import Scratch, shared_dir, utf8_buffer
 #: Size at which a task begins another archive; gap and size up to which ranges are read together.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 1 << 16, 8 << 20
 #: Bytes of an archive that one reading task takes.
-SPAN_BYTES = 64 << 20
+SPAN_BYTES = 16 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -75,6 +82,22 @@ def parse_record(data: bytes) -> tuple[dict[str, str], int, bytes]:
     return fields, size, payload
 
 
+def _store(spark: SparkSession, path: str) -> str:
+    """The URI by which Arrow opens the folder of a Hadoop path; an error if it has no file system for it."""
+    from pyarrow import fs
+
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    uri = re.sub(r"^s3[an]:", "s3:", store.resolvePath(folder).toString())
+    uri = re.sub(r"^file:/(?!/)", "file:///", uri)
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception as e:
+        raise ValueError(f"archives can't be kept in {path}: Arrow has no file system for {uri}") from e
+    return uri
+
+
 def _roles(df: DataFrame, id_col: str, payload_col: str, min_bytes: int, scratch: Scratch) -> DataFrame:
     """(id, digest, refers_to) of the rows that are revisits."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -86,13 +109,13 @@ def _roles(df: DataFrame, id_col: str, payload_col: str, min_bytes: int, scratch
 def write_archives(df: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes the archives below path and returns their index, which is written beside them."""
     spark = df.sparkSession
+    uri = _store(spark, path)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
+        store, root = fs.FileSystem.from_uri(uri)
         task = TaskContext.get()
         out, name, at, count = None, None, 0, 0
         for batch in batches:
@@ -130,12 +153,17 @@ def write_archives(df: DataFrame, path: str, id_col: str, url_col: str, payload_
 
 def read_records(index: DataFrame, path: str, payload: bool = True) -> DataFrame:
     """The records of an index, or of any part of it: id, url, record_type, refers_to, payload_bytes,
-    payload_digest and, if wanted, payload (null for a revisit)."""
+    payload_digest and, if wanted, payload (null for a revisit).
+
+    Byte ranges are dealt out by about SPAN_BYTES of an archive; their number follows the bytes
+    that the index names, not the size of the index.
+    """
+    uri = _store(index.sparkSession, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = fs.FileSystem.from_uri(uri)
         for batch in batches:
             places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
             i = 0
@@ -163,7 +191,8 @@ def read_records(index: DataFrame, path: str, payload: bool = True) -> DataFrame
 
     schema = "id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string" + ", payload binary" * payload
     span = F.floor(F.col("offset") / SPAN_BYTES)
-    return index.select("file", "offset", "length").repartition("file", span).sortWithinPartitions("file", "offset").mapInArrow(read, schema)
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // SPAN_BYTES)
+    return index.select("file", "offset", "length").repartition(int(tasks), "file", span).sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def archive_dir(spark) -> str:
