@@ -64,8 +64,9 @@ def check_shards(rows, got, shards):
 def test_shards_are_near_equal(spark):
     random.seed(2)
     rows = [(i, "w" * random.randint(0, 400)) for i in range(3000)] + [(i, "hot text " * 20) for i in range(3000, 5000)] + [(None, None)] * 20 + [(7, "")] * 5
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("old")).repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("old"), "k1": F.lit("x"), "part": F.lit("y")}).repartition(5)
     got = sharding.shard(df, shards=8, part_bytes=30000).collect()
+    assert {(r.k1, r.part) for r in got} == {("x", "y")}
     sizes = check_shards(rows, got, 8)
     mean = sum(sizes) / 8
     assert max(abs(x - mean) for x in sizes) <= 0.002 * mean + 500
@@ -76,6 +77,28 @@ def test_shards_are_near_equal(spark):
         assert len(of) == 1 or sum(r.size for r in got if r.text == text) > 0.002 * mean
 
 
+def test_splitters_of_many_parts(spark):
+    """Each splitter is as near its target as the tolerance or the keys allow; few keys are looked at."""
+    random.seed(3)
+    rows = [(random.choice([7, 7, 7, random.getrandbits(63) - (1 << 62)]), random.getrandbits(64) - (1 << 63), random.randint(1, 99)) for _ in range(4000)] + [(9, 9, 5000)] * 3
+    keys = spark.createDataFrame(rows, "k1 long, k2 long, size long")
+    total, parts = sum(r[2] for r in rows), 200
+    seen = []
+    counted = sharding._counted
+    sharding._counted = lambda k, at, t: seen.append(len(at)) or counted(k, at, t)
+    try:
+        got = sharding.find_splitters(keys, parts, max(1, int(0.05 * total / parts)), total)
+    finally:
+        sharding._counted = counted
+    assert got == sorted(got) and len(got) == parts - 1 and max(seen) <= 6 * parts
+    for i, at in enumerate(got):
+        below, own = sum(r[2] for r in rows if r[:2] < at), sum(r[2] for r in rows if r[:2] == at)
+        before = max((r[:2] for r in rows if r[:2] < at), default=None)
+        target = total * (i + 1) // parts
+        miss = abs(below - target)
+        assert miss <= 0.05 * total / parts + 1 or miss <= max(own, sum(r[2] for r in rows if r[:2] == before)), (i, at)
+
+
 def test_few_equal_and_no_rows(spark):
     for rows in ([], [(1, "a")], [(1, "same")] * 30, [(i, None) for i in range(9)]):
         got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
