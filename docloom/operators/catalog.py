@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalar import basename, iso_time, total_pages, truncate
 from docloom.schema import DEFAULT_CATEGORY
+from docloom.store import cut
 
 #: Keys up to which a lookup is a literal list in the scan's filter.
 LITERAL_KEYS = 1000
@@ -168,23 +169,62 @@ def with_root(docs: DataFrame) -> DataFrame:
     return docs.join(parents, "parent_doc_id", "left")
 
 
-def version_chain(docs: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(doc_id, ancestor, depth): each document with itself and all its earlier versions.
+def version_chain(docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ancestor, depth): each start (doc_id) with itself and all its earlier versions, to the end of the chain.
 
-    Pointer doubling: a round joins every document's reach with that of the document it has
-    reached, so a chain of n versions takes log2(n) joins. A cycle ends where it returns.
+    Starts are, unless given, the documents that no other one follows, which makes a row for each
+    document of an unbranched chain. Pointer doubling: a round joins what a start has reached with
+    what that reaches in as many steps, so a chain of n versions takes log2(n) rounds; each is
+    written, and they end when nothing more is reached. A missing version ends the walk, a cycle
+    where it returns; the documents of a cycle that nothing follows from outside are no default starts.
     """
-    link = docs.select("doc_id", F.col("previous_doc_id").alias("next")).join(docs.select(F.col("doc_id").alias("next"), F.lit(True).alias("there")), "next", "left").select("doc_id", F.when(F.col("there"), F.col("next")).alias("next"))
-    reach = link.select("doc_id", F.col("doc_id").alias("ancestor"), F.lit(0).alias("depth"))
-    jump, step = link.where("next is not null"), 1
-    while step <= max_depth:
+    link = docs.select("doc_id", F.col("previous_doc_id").alias("next")).join(docs.select(F.col("doc_id").alias("next")), "next", "left_semi").select("doc_id", "next")
+    if starts is None:
+        starts = docs.select("doc_id").join(link.select(F.col("next").alias("doc_id")), "doc_id", "left_anti")
+    reach = cut(starts.select("doc_id", F.col("doc_id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")))
+    jump, step, size = cut(link), 1, reach.count()
+    while True:
         further = reach.join(jump.select(F.col("doc_id").alias("ancestor"), "next"), "ancestor").select("doc_id", F.col("next").alias("ancestor"), (F.col("depth") + step).alias("depth"))
-        reach = reach.unionByName(further).groupBy("doc_id", "ancestor").agg(F.min("depth").alias("depth"))
-        two = jump.join(jump.select(F.col("doc_id").alias("next"), F.col("next").alias("far")), "next").select("doc_id", F.col("far").alias("next"))
-        jump, step = two, step * 2
-        if step <= max_depth and jump.isEmpty():
-            break
-    return reach.where(F.col("depth") <= max_depth)
+        reach = cut(reach.unionByName(further).groupBy("doc_id", "ancestor").agg(F.min("depth").alias("depth")))
+        before, size = size, reach.count()
+        if size == before:
+            return reach
+        jump = cut(jump.join(jump.select(F.col("doc_id").alias("next"), F.col("next").alias("far")), "next").select("doc_id", F.col("far").alias("next")))
+        step *= 2
+
+
+def same_names(docs: DataFrame, others: DataFrame, name: Column) -> DataFrame:
+    """(doc_id, same): how many of others have the file name of each document, in any case; without any, no row.
+
+    Names are counted before they are joined, so a common name makes a row for each document only.
+    """
+    held = others.groupBy(F.lower(name).alias("name")).agg(F.count("*").alias("same"))
+    return docs.select("doc_id", F.lower(name).alias("name")).join(held, "name").select("doc_id", "same")
+
+
+# -- named projections
+
+#: Columns of each view of an entity; those that a table lacks are left out.
+VIEWS = {
+    "element": ("element_id", "sequence_order", "element_type", "text", "structured_data", "asset_data", "source_location", "metadata"),
+    "chunk": ("chunk_id", "doc_id", "title", "content", "content_hash", "knowledge_type", "category", "status", "asset_refs", "source_refs", "created_at", "updated_at", "metadata"),
+    "hit": ("chunk_id", "doc_id", "doc_title", "title", "content", "category", "knowledge_type", "source_refs", "asset_refs"),
+}
+
+
+def view(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a view, in its order. A hit has no status and no vector."""
+    return df.select(*[c for c in VIEWS[name] if c in df.columns])
+
+
+def chunk_detail(chunks: DataFrame, assets: DataFrame) -> DataFrame:
+    """Chunks in full, with the type and place of each of their assets."""
+    return with_assets(chunks, assets)
+
+
+def random_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows in random order: the least hashes of key and seed, so the same ones for a seed; for another seed others."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
 # -- counts

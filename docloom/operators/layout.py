@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalar import overlap_area
 
+#: Height of the bands that boxes are matched in.
+BAND = 32.0
+
+
+def _banded(df: DataFrame, top: str, bottom: str) -> DataFrame:
+    """df once for each band that a vertical extent touches, with band."""
+    band = lambda c: F.floor(F.col(c) / BAND).cast("bigint")
+    return df.where(F.col(top) <= F.col(bottom)).withColumn("__band", F.explode(F.sequence(band(top), band(bottom))))
+
 
 def best_overlap(rects: DataFrame, spans: DataFrame, keys: list[str], rect_id: str, span_id: str, least: float = 0.1) -> DataFrame:
     """(keys, rect, span, share): for each rectangle the span of which it covers most, at least a tenth. Both: x0, y0, x1, y1."""
     r = rects.select(*keys, rect_id, *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     s = spans.select(*keys, span_id, "x0", "y0", "x1", "y1")
-    near = r.join(s, keys).where("x0 < r_x1 and x1 > r_x0 and y0 < r_y1 and y1 > r_y0")
+    # Two boxes that overlap meet in a band, and count in the first they share.
+    near = _banded(r, "r_y0", "r_y1").join(_banded(s, "y0", "y1"), [*keys, "__band"]).where("x0 < r_x1 and x1 > r_x0 and y0 < r_y1 and y1 > r_y0")
+    near = near.where(F.col("__band") == F.greatest(F.floor(F.col("r_y0") / BAND), F.floor(F.col("y0") / BAND)))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     shared = overlap_area(tuple(map(F.col, ("r_x0", "r_y0", "r_x1", "r_y1"))), tuple(map(F.col, ("x0", "y0", "x1", "y1"))))
     rated = near.withColumn("share", F.when(area > 0, shared / area).otherwise(0.0)).where(F.col("share") >= least)
@@ -22,11 +33,10 @@ def best_overlap(rects: DataFrame, spans: DataFrame, keys: list[str], rect_id: s
 
 def outside_ranges(blocks: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks whose vertical extent touches none of the ranges of their page."""
-    r = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("y0").alias("__y0"), F.col("y1").alias("__y1"))
-    on = (F.col("y0") <= F.col("__y1")) & (F.col("y1") >= F.col("__y0"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return blocks.join(r, on, "left_anti")
+    extents = _banded(blocks.select(*keys, "y0", "y1").distinct(), "y0", "y1")
+    r = _banded(ranges.select(*keys, F.col("y0").alias("__y0"), F.col("y1").alias("__y1")), "__y0", "__y1")
+    touched = extents.join(r, [*keys, "__band"]).where("y0 <= __y1 and y1 >= __y0").select(*keys, "y0", "y1").distinct()
+    return blocks.join(touched, [*keys, "y0", "y1"], "left_anti").select(*blocks.columns)
 
 
 def repeated_lines(blocks: DataFrame, keys: list[str], bucket: float = 10.0, pages: int = 3) -> DataFrame:

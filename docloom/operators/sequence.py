@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import cosine
 
 
+#: Rows of a sheet that are matched with merged ranges together.
+BAND = 64
+
+
 def _along(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
 
@@ -20,13 +25,35 @@ def sections(elements: DataFrame, level: int, keys: list[str] | None = None, ord
 
 
 def heading_paths(elements: DataFrame, order: str = "seq") -> DataFrame:
-    """(doc_id, seq, section_path) of every element: the headings that stand above it."""
-    from docloom.functions.scalar import section_path
+    """(doc_id, seq, section_path) of every element: the headings that stand above it.
+
+    A document's headings are folded once into their paths; an element then takes the path of
+    the last heading up to it.
+    """
+    title = (F.col("element_type") == "title") & F.col("heading_level").isNotNull()
+    heads = elements.where(title).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("heading_level").cast("int").alias("level"), F.col("text").alias("title")))).alias("heads"))  # the headings of one document
+    level, names, at = F.col("heads.level"), F.col("heads.title"), F.col("heads.at")
+    paths = heads.select("doc_id", F.inline(F.arrays_zip(at.alias(order), _paths()(level, names).alias("__path"))))
+    w = _along(["doc_id"], order).rowsBetween(Window.unboundedPreceding, 0)
+    none = F.array().cast("array<string>")
+    return elements.join(paths, ["doc_id", order], "left").withColumn("section_path", F.coalesce(F.last("__path", ignorenulls=True).over(w), none)).drop("__path").select(*[c for c in elements.columns if c != "section_path"], "section_path")
+
+
+def _paths():
+    """The path at each heading of a list of levels and one of titles: a heading cuts the path to fewer than its level and is appended."""
 
-    w = _along(["doc_id"], order)
-    title = F.col("element_type") == "title"
-    seen = F.collect_list(F.when(title, F.struct(F.col("heading_level").alias("level"), F.col("text").alias("title")))).over(w)
-    return elements.withColumn("__seen", seen).withColumn("section_path", section_path(F.col("__seen.level"), F.col("__seen.title"))).drop("__seen")
+    @F.arrow_udf("array<array<string>>")
+    def run(levels: pa.Array, titles: pa.Array) -> pa.Array:
+        out = []
+        for own, names in zip(levels.to_pylist(), titles.to_pylist(), strict=True):
+            path, paths = [], []
+            for level, name in zip(own or [], names or [], strict=True):
+                path = [*path[: max(level - 1, 0)], name]
+                paths.append(path)
+            out.append(paths)
+        return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return run
 
 
 def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -37,14 +64,23 @@ def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def regions(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Rectangles of row runs and column runs that hold at least one cell; cells: row, col."""
-    rows, cols = islands(cells, keys, "row"), islands(cells, keys, "col")
-    both = rows.select(*keys, F.col("first").alias("r0"), F.col("last").alias("r1")).join(cols.select(*keys, F.col("first").alias("c0"), F.col("last").alias("c1")), keys)
-    inside = cells.select(*[F.col(k).alias(f"__{k}") for k in keys], "row", "col")
-    on = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return both.join(inside, on, "left_semi")
+    """Rectangles of row runs and column runs that hold at least one cell; cells: row, col.
+
+    Each cell is told the runs of its row and its column by equality, so rectangles without cells are never made.
+    """
+
+    def runs(value: str, first: str, last: str) -> DataFrame:
+        marked = cells.select(*keys, value).distinct().withColumn("__run", F.col(value) - F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
+        w = Window.partitionBy(*keys, "__run")
+        return marked.select(*[F.col(k).alias(f"__{value}_{k}") for k in keys], F.col(value).alias(f"__{value}"), F.min(value).over(w).alias(first), F.max(value).over(w).alias(last))
+
+    out = cells.select(*keys, "row", "col")
+    for value, first, last in (("row", "r0", "r1"), ("col", "c0", "c1")):
+        on = F.col(value) == F.col(f"__{value}")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{value}_{k}"))
+        out = out.join(runs(value, first, last), on)
+    return out.select(*keys, "r0", "r1", "c0", "c1").distinct()
 
 
 def row_batches(rows: DataFrame, keys: list[str], order: str, size: int = 5) -> DataFrame:
@@ -66,8 +102,10 @@ def neighbour_similarity(df: DataFrame, keys: list[str], order: str, vector: str
 
 def breakpoints(df: DataFrame, keys: list[str], order: str, share: float = 0.3) -> DataFrame:
     """df (with similarity) with threshold and section: cut after rows whose similarity is at most the sorted list's element at int(n * share)."""
-    sorted_ = F.array_sort(F.collect_list("similarity"))
-    limits = df.groupBy(*keys).agg(sorted_.alias("__s")).select(*keys, F.get("__s", F.floor(F.size("__s") * share).cast("int")).alias("threshold"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("similarity"))
+    numbered = df.where("similarity is not null").select(*keys, "similarity", place.alias("__place"))
+    wanted = numbered.groupBy(*keys).agg((F.floor(F.count("*") * share) + 1).alias("__place"))
+    limits = numbered.join(wanted, [*keys, "__place"]).select(*keys, F.col("similarity").alias("threshold"))
     both = df.join(limits, keys, "left")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.when(F.col("similarity") <= F.col("threshold"), 1).otherwise(0)
@@ -107,11 +145,13 @@ def pack_budget(chars: Column, limit: int, overlap: float = 0.2) -> Column:
 def fill_merged(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
     """Cells inside a merged range (r0, c0, r1, c1) take the value of its first cell."""
     first = cells.select(*keys, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("__top"))
-    ranges = merges.join(first, [*keys, "r0", "c0"], "left")
-    on = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    band = lambda c: F.floor(F.col(c) / BAND).cast("bigint")
+    # A range stands under each band of rows that it touches; a cell under its own.
+    ranges = merges.join(first, [*keys, "r0", "c0"], "left").withColumn("__band", F.explode(F.sequence(band("r0"), band("r1"))))
+    on = (F.col("c.__band") == F.col("m.__band")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
     for k in keys:
         on = on & (F.col(f"m.{k}") == F.col(f"c.{k}"))
-    both = cells.alias("c").join(ranges.alias("m"), on, "left")
+    both = cells.withColumn("__band", band("row")).alias("c").join(ranges.alias("m"), on, "left")
     return both.select(*[F.col(f"c.{k}") for k in keys], "row", "col", F.when(F.col("m.r0").isNotNull(), F.col("m.__top")).otherwise(F.col("c.value")).alias("value"))
 
 

@@ -143,3 +143,46 @@ def section_title_path(sections: DataFrame) -> DataFrame:
     """(doc_id, section, path): the first heading path of each section that is not empty."""
     first = F.min(F.when(F.size("section_path") > 0, F.struct("seq", "section_path")))
     return sections.groupBy("doc_id", "section").agg(first.alias("f")).select("doc_id", "section", F.array_join("f.section_path", " > ").alias("path"))
+
+
+def model_input(elements: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, input): a document's elements in order as JSON: element_id, type, text, and where they have one the heading
+    level, language and the descriptions of their assets (assets: element_id, placeholder, description)."""
+    rows = elements
+    if assets is not None:
+        told = assets.where("description is not null").groupBy("element_id").agg(F.array_sort(F.collect_list(F.struct("placeholder", "description"))).alias("assets"))
+        rows = rows.join(told, "element_id", "left")
+    more = [c for c in ("language", "assets") if c in rows.columns]
+    one = F.struct("seq", "element_id", F.col("element_type").alias("type"), "text", "heading_level", *more)
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))  # the elements of one document
+    return lists.select("doc_id", F.to_json(F.transform("rows", lambda r: r.dropFields("seq"))).alias("input"))
+
+
+def with_links(text: Column, links: Column) -> Column:
+    """Markdown text with links (array<struct<anchor, uri>>) set in, one after another: an anchor that is linked
+    already stays, else its first place becomes a link, else the link is put on a line at the end. Links without
+    an anchor, and places other than http(s), are passed over."""
+
+    def one(text: Column, link: Column) -> Column:
+        anchor, made = F.btrim(link["anchor"]), F.concat(F.lit("["), F.btrim(link["anchor"]), F.lit("]("), link["uri"], F.lit(")"))
+        at = F.position(anchor, text)
+        set_in = F.concat(F.substring(text, F.lit(1), at - 1), made, F.substring(text, at + F.length(anchor), F.length(text)))
+        none = (F.coalesce(anchor, F.lit("")) == "") | ~F.coalesce(link["uri"].rlike("^https?://"), F.lit(False)) | F.contains(text, F.concat(F.lit("["), anchor, F.lit("]")))
+        return F.when(F.coalesce(none, F.lit(True)), text).when(at > 0, set_in).otherwise(F.concat(text, F.lit("\n"), made))
+
+    return F.aggregate(links, text, one)
+
+
+def with_images(text: Column, images: Column) -> Column:
+    """Markdown text whose pictures (![alt](place)) are shown by what is stored: images is array<struct<path, uri>>; one
+    whose path is not stored is removed."""
+    cut_up = F.split(text, r"(?=!\[[^\]]*\]\([^)]*\))")
+
+    def one(part: Column) -> Column:
+        path = F.regexp_extract(part, r"^!\[[^\]]*\]\(([^)]*)\)", 1)
+        uri = F.get(F.filter(images, lambda i: i["path"] == path), 0)["uri"]
+        alt, rest = F.regexp_extract(part, r"^!\[([^\]]*)\]", 1), F.regexp_replace(part, r"^!\[[^\]]*\]\([^)]*\)", "")
+        shown = F.concat(F.lit("!["), alt, F.lit("]("), uri, F.lit(")"), rest)
+        return F.when(part.startswith("![") & (path != ""), F.coalesce(shown, rest)).otherwise(part)
+
+    return F.array_join(F.transform(cut_up, one), "")

@@ -76,3 +76,50 @@ def linked_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth:
     rows = links.withColumnRenamed("doc_id", "parent_doc_id").join(parents, "parent_doc_id")
     error = F.when(F.col("kind").isNull(), "unsupported_document_type").when(F.lit(depth) >= max_depth, "too deep")
     return rows.select(sha256_id("doc", F.col("parent_doc_id").cast("string"), F.col("original_uri")).alias("doc_id"), "parent_doc_id", "root_doc_id", "asset_id", F.col("original_uri").alias("source_uri"), F.col("kind").alias("source_type"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), error.alias("error_message"))
+
+
+def child_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth: int = 3) -> DataFrame:
+    """Document links with outcome. assets: as linked_documents, with data and fetch_error.
+
+    failed: not fetched (download_failed: why), of no known suffix, or too deep; reused: a live document holds the
+    content, whose place (storage_uri) and id (existing_id) the asset takes, or an earlier link of this batch does;
+    child: a new document, queued as a job of its own. One content makes one child.
+    """
+    live = docs.where(F.col("status").isin("active", "processing")).groupBy("source_hash").agg(F.min(F.struct("doc_id", "source_uri")).alias("__live"))
+    rows = linked_documents(assets, docs, depth, max_depth).drop("parent_doc_id").withColumnRenamed("doc_id", "child_id")
+    rows = assets.where("asset_type = 'document_link'").join(rows.withColumnRenamed("error_message", "__why"), "asset_id", "left")
+    missing = F.col("data").isNull()
+    error = F.when(missing, F.concat(F.lit("download_failed: "), F.coalesce("fetch_error", F.lit("empty")))).otherwise(F.col("__why"))
+    rows = rows.withColumns({"error_message": error, "source_hash": F.when(~missing, content_hash(F.col("data")))}).join(live, "source_hash", "left")
+    first = F.min(F.when(F.col("error_message").isNull(), F.struct("asset_id", "child_id"))).over(Window.partitionBy("source_hash"))
+    rows = rows.withColumn("__first", first)
+    again = F.col("__first.asset_id") < F.col("asset_id")
+    outcome = F.when(F.col("error_message").isNotNull(), "failed").when(F.col("__live").isNotNull() | again, "reused").otherwise("child")
+    rows = rows.withColumn("outcome", outcome)
+    taken = F.col("outcome") == "reused"
+    existing = F.when(taken, F.coalesce(F.col("__live.doc_id").cast("string"), F.col("__first.child_id")))
+    job = F.when(F.col("outcome") == "child", sha256_id("job", F.col("child_id")))
+    return rows.withColumns({"storage_uri": F.when(taken, F.col("__live.source_uri")), "existing_id": existing, "job_id": job, "status": F.when(F.col("outcome") == "failed", "failed").otherwise("ready")}).drop("__why", "__live", "__first")
+
+
+#: Bytes of a part in which a file is put into the store.
+PART = 10 << 20
+
+
+def parts_of(files: DataFrame, key: str = "doc_id", data: str = "content", size: int = PART) -> DataFrame:
+    """(key, part, data) of each file: parts of ``size`` bytes from 0, the last one shorter; an empty file has one empty part."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / size).cast("int"))
+    return files.select(key, data, F.explode(F.sequence(F.lit(0), n - 1)).alias("part")).select(key, "part", F.substring(F.col(data), F.col("part") * size + 1, F.lit(size)).alias("data"))
+
+
+def store_records(judged: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records of uploads with a stored file: source_uri, doc_id, file_name, size, title, category; ids whose placeholder is to go).
+
+    judged: uploads with outcome (as upload gives); stored: doc_id, source_uri or null, error_message. What was not
+    stored is compensated: its document must not stay, and its outcome is failed.
+    """
+    both = judged.where("outcome = 'success'").join(stored, "doc_id", "left")
+    done = both.where("source_uri is not null")
+    title = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    category = F.col("category") if "category" in judged.columns else F.lit(None).cast("string")
+    return done.select("source_uri", "doc_id", "file_name", "size", title.alias("title"), category.alias("category")), both.where("source_uri is null").select("doc_id")

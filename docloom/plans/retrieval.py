@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import seams
+from docloom.functions.codecs import decoded
+from docloom.functions.scalar import strip_placeholders
+from docloom.schema import DEFAULT_CATEGORY, KNOWLEDGE_TYPES
+from docloom.store import cut
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
+#: Query vectors that are broadcast at once, and items that they are multiplied with at once.
+QUERY_BLOCK, TILE = 1024, 1024
 SCALE = 6
+#: Terms of queries up to which the postings' scan is filtered by a list.
+LITERAL_TERMS = 1000
 
 
 @dataclass(frozen=True)
@@ -53,13 +59,14 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, item_id: str, vect
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col(vector).cast("array<double>")).toArrow()
         if not len(own) and out is not None:
             continue
-        names = own.column(0).combine_chunks()
-        matrix = _unit(_matrix(own.column(1)))
-        sent = spark.sparkContext.broadcast((names, matrix))
+        sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), _unit(_matrix(own.column(1)))))
         found = items.select(item_id, F.col(vector).cast("array<double>")).mapInArrow(_best(sent, k), f"query_id {kind}, {item_id} {id_type}, score double")
-        out = found if out is None else out.unionByName(found)
-    ranked = rank(out, k, F.col("score").desc(), F.col(item_id))
-    return ranked.where("score > 0") if positive else ranked
+        ranked = rank(found, k, F.col("score").desc(), F.col(item_id))
+        if blocks > 1:  # so that one block's vectors are held at a time
+            ranked = cut(ranked)
+            sent.destroy()
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.where("score > 0") if positive else out
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -75,31 +82,23 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _best(sent, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
-        held_id, held_score = [], []
+        held_id, held_score = None, None  # the best k so far of each query
         for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
-                if not len(queries):
-                    continue
+            for i in range(0, len(batch) if len(queries) else 0, TILE):
+                part = batch.slice(i, TILE)
                 scores = np.round(queries @ _unit(_matrix(part.column(1))).T, SCALE) + 0.0
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                held_id = ids if not len(held_id) else np.concatenate([held_id, ids])
-                held_score = scores if not len(held_score) else np.concatenate([held_score, scores], 1)
-                if held_score.shape[1] > 4 * k + 8192:
-                    yield from _cut(names, held_id, held_score, k)
-                    held_id, held_score = [], []
-        if len(held_score):
-            yield from _cut(names, held_id, held_score, k)
+                ids = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), scores.shape)
+                if held_id is not None:
+                    ids, scores = np.concatenate([held_id, ids], 1), np.concatenate([held_score, scores], 1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                held_id, held_score = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        if held_id is not None:
+            query = np.repeat(np.arange(len(held_score)), held_score.shape[1])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(held_id.ravel()), pa.array(held_score.ravel())], ["query_id", "item", "score"])
 
     return run
 
 
-def _cut(names: pa.Array, ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    query = np.repeat(np.arange(len(scores)), order.shape[1])
-    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ids[order.ravel()]), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "item", "score"])
-
-
 # -- BM25
 
 def postings(docs: DataFrame, id_col: str, text: str, tokenize: Callable[[Column], Column] = seams.tokens) -> DataFrame:
@@ -113,15 +112,19 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str, text: st
     """(query_id, id, score, rank) of queries (query_id, query) over docs.
 
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are those of docs.
-    Only terms of the queries are counted, so nothing but their postings is exchanged.
+    Only terms of the queries are counted, so nothing but their postings is exchanged. For more
+    than one search of the same documents, store their postings: write_bm25_index.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     words = docs.select(id_col, tokenize(F.col(text)).alias("__words"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("__words")).alias("avgdl"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     rows = words.select(id_col, F.size("__words").alias("dl"), F.explode("__words").alias("term"))
     rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
     tf = rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return _scored(asked, tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats, k, id_col, config)
+
+
+def _scored(asked: DataFrame, tf: DataFrame, df: DataFrame, stats: DataFrame, k: int, id_col: str, config: SearchConfig) -> DataFrame:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = tf.join(df, "term").join(F.broadcast(stats))  # one row
     part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
@@ -130,6 +133,35 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str, text: st
     return rank(scores, k, F.col("score").desc(), F.col(id_col))
 
 
+def write_bm25_index(docs: DataFrame, path: str, id_col: str, text: str, tokenize: Callable[[Column], Column] = seams.tokens) -> None:
+    """Stores postings, term counts and corpus figures below path, for any number of searches.
+
+    Postings are ranged and sorted by term and id: a frequent term takes several files, and the
+    least and greatest term of a file's row groups let a search skip those without its terms.
+    """
+    words = docs.select(id_col, tokenize(F.col(text)).alias("__words"))
+    words.agg(F.count("*").alias("n_docs"), F.avg(F.size("__words")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    rows = postings(docs, id_col, text, tokenize)
+    rows.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def search_bm25_index(queries: DataFrame, path: str, k: int, id_col: str, config: SearchConfig = SearchConfig(), tokenize: Callable[[Column], Column] = seams.tokens) -> DataFrame:
+    """As bm25_topk, over a stored index: reads the postings of the queries' terms only."""
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+    stats, terms, tf = (spark.read.parquet(f"{path}/{name}") for name in ("stats", "terms", "postings"))
+    wanted = asked.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(LITERAL_TERMS + 1).collect()]
+    if len(few) <= LITERAL_TERMS:
+        terms, tf = (x.where(F.col("term").isin(few)) for x in (terms, tf))
+    else:
+        terms, tf = (x.join(wanted, "term", "left_semi") for x in (terms, tf))
+    return _scored(asked, tf, terms, stats, k, id_col, config)
+
+
 # -- fusion
 
 def rrf(vector: DataFrame, bm25: DataFrame, id_col: str, k: int = 60) -> DataFrame:
@@ -183,11 +215,46 @@ def post_filter(results: DataFrame, condition: Column, k: int) -> DataFrame:
 
 # -- index rows
 
-def index_rows(chunks: DataFrame, docs: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
-    """Index rows of active chunks: title and document title up to 512 characters, content up to 65535."""
+def index_rows(chunks: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], category: str | None = None, limit: int | None = None, key: str = "chunk_id") -> DataFrame:
+    """Index rows of active chunks, of a category and the first ``limit`` by key if given: title and document
+    title up to 512 characters, content up to 65535. The vector is that of the whole content without placeholders."""
     side = docs.select("doc_id", F.substring("title", 1, 512).alias("doc_title"))
-    rows = chunks.where("status = 'active'").join(side, "doc_id", "left")
-    return rows.withColumns({"title": F.substring("title", 1, 512), "dense_vector": embed(F.col("content"))}).withColumn("content", F.substring("content", 1, 65535))
+    rows = chunks.where("status = 'active'")
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    if limit is not None:
+        rows = rows.orderBy(key).limit(limit)
+    rows = rows.join(side, "doc_id", "left")
+    return rows.withColumns({"title": F.substring("title", 1, 512), "dense_vector": embed(F.btrim(strip_placeholders(F.col("content"))))}).withColumn("content", F.substring("content", 1, 65535))
+
+
+def reindex(index: DataFrame, chunks: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], size: int) -> tuple[DataFrame, DataFrame]:
+    """(the index with the chunks' rows anew, outcomes (chunk_id, outcome)): failed where the vector has another
+    size, whose rows in the index stay as they were; succeeded otherwise, with zeros where there is no vector."""
+    rows = cut(index_rows(chunks, docs, embed).withColumn("outcome", F.when(F.size("dense_vector") == size, "succeeded").when(F.col("dense_vector").isNull(), "succeeded").otherwise("failed")))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
+    new = rows.where("outcome = 'succeeded'").withColumn("dense_vector", F.coalesce("dense_vector", zeros))
+    new = new.select(*[c for c in index.columns if c in new.columns])
+    kept = index.join(new.select("chunk_id"), "chunk_id", "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True), rows.select("chunk_id", "outcome")
+
+
+def merged_fields(vector: DataFrame, bm25: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
+    """(query_id, id, fields) of both lists: a result of both has the fields of the BM25 list, null ones too."""
+    one = lambda df, name: df.select("query_id", id_col, F.struct(*fields).alias(name))
+    both = one(vector, "__v").join(one(bm25, "__t"), ["query_id", id_col], "full")
+    return both.select("query_id", id_col, F.coalesce("__t", "__v").alias("f")).select("query_id", id_col, "f.*")
+
+
+def decoded_results(rows: DataFrame, refs: dict[str, str]) -> DataFrame:
+    """Results with the given columns of JSON text as values of their types, empty where the JSON is bad or
+    missing; an unknown knowledge_type is declarative, a missing status active and category the default."""
+    values = {c: decoded(F.col(c), kind) for c, kind in refs.items()}
+    if "knowledge_type" in rows.columns:
+        values["knowledge_type"] = F.when(F.col("knowledge_type").isin(*KNOWLEDGE_TYPES), F.col("knowledge_type")).otherwise("declarative")
+    for name, default in (("status", "active"), ("category", DEFAULT_CATEGORY)):
+        values[name] = F.coalesce(name, F.lit(default)) if name in rows.columns else F.lit(default)
+    return rows.withColumns(values)
 
 
 def checked_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
@@ -214,6 +281,9 @@ def pair_similarities(queries: DataFrame, items: DataFrame, item_id: str, by: st
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), own.column(1).combine_chunks(), _unit(_matrix(own.column(2)))))
         found = rows.mapInArrow(_similar(sent, same), f"{by} {fields[by]}, similarity double, pairs bigint" if same else f"query_id {fields['query_id']}, similarity double")
+        if blocks > 1:
+            found = cut(found)
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, lifecycle, parsing, retrieval, sequence
+from docloom.queries import catalog, lifecycle, parsing, retrieval, sequence, service
 
 
 def _parts():
-    return (catalog, lifecycle, sequence, retrieval, parsing)
+    return (catalog, lifecycle, sequence, retrieval, parsing, service)
 
 
 def queries() -> dict:

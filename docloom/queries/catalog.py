@@ -71,9 +71,7 @@ def time_range_filter(spark, d):
 @query("filename_match", f"WITH {T.DOCUMENTS} SELECT a.doc_id, count(*) AS same FROM docs a JOIN docs b ON lower(regexp_extract(a.source_uri, '[^/]*$')) = lower(regexp_extract(b.source_uri, '[^/]*$')) WHERE b.status = 'active' GROUP BY a.doc_id")
 def filename_match(spark, d):
     docs = T.documents(spark, d)
-    names = docs.select("doc_id", F.lower(S.basename(F.col("source_uri"))).alias("name"))
-    live = docs.where("status = 'active'").select(F.lower(S.basename(F.col("source_uri"))).alias("name"))
-    return names.join(live, "name").groupBy("doc_id").agg(F.count("*").alias("same"))
+    return C.same_names(docs, docs.where("status = 'active'"), S.basename(F.col("source_uri")))
 
 
 @query("count_by_status", f"WITH {T.DOCUMENTS} SELECT status, count(*) AS count FROM docs GROUP BY status")
@@ -120,7 +118,15 @@ def root_resolution(spark, d):
 
 @query("version_chain", f"WITH RECURSIVE {T.DOCUMENTS}, chain AS (SELECT doc_id, doc_id AS ancestor, 0 AS depth FROM docs UNION ALL SELECT c.doc_id, d.previous_doc_id, c.depth + 1 FROM chain c JOIN docs d ON d.doc_id = c.ancestor JOIN docs p ON p.doc_id = d.previous_doc_id) SELECT doc_id, ancestor, CAST(depth AS BIGINT) AS depth FROM chain")
 def version_chain(spark, d):
-    return C.version_chain(T.documents(spark, d)).select("doc_id", "ancestor", F.col("depth").cast("bigint").alias("depth"))
+    docs = T.documents(spark, d)
+    return C.version_chain(docs, docs.select("doc_id")).select("doc_id", "ancestor", "depth")
+
+
+@query("version_history", "WITH RECURSIVE v AS (SELECT doc_id, CASE WHEN doc_id % 1300 <> 0 THEN doc_id - 1 END AS prev FROM documents), chain AS (SELECT doc_id, doc_id AS ancestor, 0 AS depth FROM v WHERE doc_id NOT IN (SELECT prev FROM v WHERE prev IS NOT NULL) UNION ALL SELECT c.doc_id, p.doc_id, c.depth + 1 FROM chain c JOIN v ON v.doc_id = c.ancestor JOIN v p ON p.doc_id = v.prev) SELECT doc_id, ancestor, CAST(depth AS BIGINT) AS depth FROM chain")
+def version_history(spark, d):
+    """Chains of up to 1300 versions, each from its newest one."""
+    docs = T.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 1300 != 0, F.col("doc_id") - 1).alias("previous_doc_id"))
+    return C.version_chain(docs)
 
 
 @query("cleanup_anti", f"WITH {T.CHUNKS} SELECT doc_id, count(*) AS chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE status = 'failed') GROUP BY doc_id")
@@ -156,10 +162,13 @@ def soft_delete_cascade(spark, d):
     return M.follow_documents(T.chunks(spark, d), after).join(after.select("doc_id", "previous_status"), "doc_id").select("chunk_id", "status", "previous_status")
 
 
-@query("restore_roundtrip", f"WITH {T.DOCUMENTS} SELECT doc_id, CASE WHEN status = 'active' THEN 'active' WHEN status = 'deleted' THEN 'processing' ELSE 'processing' END AS status FROM docs WHERE category = 'es'")
+@query("restore_roundtrip", f"WITH {T.DOCUMENTS} SELECT doc_id, CASE WHEN status = 'active' THEN 'active' WHEN status = 'deleted' THEN 'processing' ELSE 'processing' END AS status, category <> 'es' AND status = 'deleted' AS still FROM docs WHERE category = 'es' UNION ALL SELECT doc_id, status, status = 'deleted' FROM docs WHERE category = 'fr'")
 def restore_roundtrip(spark, d):
-    docs = T.documents(spark, d).where("category = 'es'")
-    return M.restore(M.soft_delete(docs, docs), docs).select("doc_id", "status")
+    """Deleting and restoring Spanish documents; French ones, some deleted before, are left alone."""
+    docs = T.documents(spark, d).where("category in ('es', 'fr')")
+    asked = docs.where("category = 'es'")
+    after = M.restore(M.soft_delete(docs, asked), asked)
+    return after.select("doc_id", "status", (F.col("status") == "deleted").alias("still"))
 
 
 @query("content_hash_dedup", "WITH u AS (SELECT doc_id, 'sha256:' || sha256(text) AS h FROM documents), live AS (SELECT h, min(doc_id) AS id FROM u WHERE doc_id % 3 = 0 GROUP BY h) SELECT u.doc_id, CASE WHEN live.id IS NOT NULL OR first_id < u.doc_id THEN 'duplicate' ELSE 'success' END AS outcome, coalesce(live.id, CASE WHEN first_id < u.doc_id THEN first_id END) AS existing_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_id FROM u WHERE doc_id % 3 <> 0) u LEFT JOIN live ON live.h = u.h")

@@ -90,7 +90,7 @@ _WORDS = "words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N
 _BM25 = _WORDS + ", asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM words), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT a.query_id, t.doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (1 - 0.75 + 0.75 * t.dl / st.a))), 6) AS score FROM asked a JOIN tf t ON t.term = a.term JOIN df ON df.term = a.term, st GROUP BY 1, 2), bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 30)"
 
 
-def _asked(spark, d):
+def asked(spark, d):
     return T.table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
@@ -102,15 +102,15 @@ def bm25_postings(spark, d):
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm25")
 def bm25_topk(spark, d):
-    return R.bm25_topk(_asked(spark, d), T.table(spark, d, "documents"), 30, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
+    return R.bm25_topk(asked(spark, d), T.table(spark, d, "documents"), 30, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
 
 
-def _corpus(spark, d):
+def corpus(spark, d):
     """Documents with the embedding of the same id, and queries with that of theirs."""
     vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = T.table(spark, d, "documents").select("doc_id", "text", "lang").join(vectors, "doc_id", "left")
-    asked = _asked(spark, d).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
-    return asked, docs
+    asked_ = asked(spark, d).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    return asked_, docs
 
 
 _DENSE = f"dense AS (SELECT * FROM ({_top(f'SELECT q.vec_id AS query_id, i.vec_id AS doc_id, {_COS} AS score FROM vecs q JOIN benchmark b ON b.item_id = q.vec_id AND b.item_id % 20 = 0, vecs i JOIN documents d ON d.doc_id = i.vec_id', 30, 'score DESC, doc_id')}) WHERE score > 0)"
@@ -119,20 +119,20 @@ _FUSED = f"WITH {_BM25}, {_VEC}, {_DENSE}, fused AS (SELECT * FROM (SELECT *, ro
 
 @query("rrf_fusion", _FUSED + " SELECT query_id, doc_id, vector, bm25, rrf, fused_rank FROM fused")
 def rrf_fusion(spark, d):
-    asked, docs = _corpus(spark, d)
-    return R.hybrid_search(asked, docs, "doc_id", "text", debug=True)["fused"].select("query_id", "doc_id", "vector", "bm25", "rrf", "fused_rank")
+    queries, docs = corpus(spark, d)
+    return R.hybrid_search(queries, docs, "doc_id", "text", debug=True)["fused"].select("query_id", "doc_id", "vector", "bm25", "rrf", "fused_rank")
 
 
 @query("hybrid_search", _FUSED + " SELECT query_id, doc_id, rrf AS score, fused_rank AS rank, (SELECT count(*) FROM fused g WHERE g.query_id = f.query_id) AS total_count FROM fused f WHERE fused_rank <= 5")
 def hybrid_search(spark, d):
-    asked, docs = _corpus(spark, d)
-    return R.hybrid_search(asked, docs, "doc_id", "text").select("query_id", "doc_id", "score", "rank", "total_count")
+    queries, docs = corpus(spark, d)
+    return R.hybrid_search(queries, docs, "doc_id", "text").select("query_id", "doc_id", "score", "rank", "total_count")
 
 
 @query("hybrid_vector_only", f"WITH {_VEC}, {_DENSE} SELECT query_id, doc_id, round(1.0 / (60 + rank), 9) AS score, rank FROM dense WHERE rank <= 5")
 def hybrid_vector_only(spark, d):
-    asked, docs = _corpus(spark, d)
-    return R.hybrid_search(asked, docs, "doc_id", "text", hybrid=False).select("query_id", "doc_id", "score", "rank")
+    queries, docs = corpus(spark, d)
+    return R.hybrid_search(queries, docs, "doc_id", "text", hybrid=False).select("query_id", "doc_id", "score", "rank")
 
 
 _TERMS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
@@ -141,14 +141,14 @@ _RATED = f", rated AS (SELECT f.*, CAST(len(list_intersect({_TERMS.format('b.tex
 
 @query("rerank_overlap", _FUSED + _RATED + " SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fused_rank) AS rank FROM rated) WHERE rank <= 5")
 def rerank_overlap(spark, d):
-    asked, docs = _corpus(spark, d)
-    return R.hybrid_search(asked, docs, "doc_id", "text", scorer=seams.overlap_score).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    queries, docs = corpus(spark, d)
+    return R.hybrid_search(queries, docs, "doc_id", "text", scorer=seams.overlap_score).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("rerank_all_or_nothing", _FUSED + _RATED + ", parts AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN s END AS part, bool_and(doc_id % 2 = 0) OVER (PARTITION BY query_id) AS every FROM rated) SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN every THEN part ELSE rrf END DESC, CASE WHEN every THEN part ELSE 0 END DESC, fused_rank) AS rank FROM parts) WHERE rank <= 5")
 def rerank_all_or_nothing(spark, d):
-    asked, docs = _corpus(spark, d)
-    texts = R.hybrid_search(asked, docs, "doc_id", "text", debug=True)["fused"].join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "query"), "query_id")
+    queries, docs = corpus(spark, d)
+    texts = R.hybrid_search(queries, docs, "doc_id", "text", debug=True)["fused"].join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
     score = F.when(F.col("doc_id") % 2 == 0, seams.overlap_score(F.col("query"), F.col("text")))
     return R.rerank(texts, score, 5, "doc_id").select("query_id", "doc_id", "rank")
 
@@ -174,8 +174,8 @@ def eval_relevant(spark, d):
 
 @query("eval_metrics", _FUSED + f", {_REL}, top AS (SELECT query_id, list(doc_id ORDER BY fused_rank) AS r FROM fused GROUP BY 1), exp AS (SELECT query_id, list(doc_id) AS e FROM rel GROUP BY 1), m AS (SELECT top.query_id, r, e, len(list_intersect(r[1:5], e)) AS hits, (SELECT min(f.fused_rank) FROM fused f WHERE f.query_id = top.query_id AND list_contains(exp.e, f.doc_id)) AS first FROM top LEFT JOIN exp ON exp.query_id = top.query_id) SELECT query_id, CASE WHEN e IS NOT NULL THEN round(hits / 5.0, 6) END AS precision, CASE WHEN e IS NOT NULL THEN round(hits / CAST(len(e) AS DOUBLE), 6) END AS recall, CASE WHEN e IS NOT NULL THEN round(coalesce(1.0 / first, 0), 6) END AS mrr, CASE WHEN e IS NOT NULL THEN CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END END AS hit FROM m")
 def eval_metrics(spark, d):
-    asked, docs = _corpus(spark, d)
-    found = R.hybrid_search(asked, docs, "doc_id", "text", debug=True)["fused"]
+    queries, docs = corpus(spark, d)
+    found = R.hybrid_search(queries, docs, "doc_id", "text", debug=True)["fused"]
     lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fused_rank", "doc_id"))), lambda x: x["doc_id"]).alias("results"))
     labels = relevant(spark, d).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
     both = lists.join(labels, "query_id", "left")

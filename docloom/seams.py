@@ -6,6 +6,9 @@ Each is a function of columns with a deterministic default, and a caller may pas
 from __future__ import annotations
 
 import hashlib
+import html
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,63 @@ def hashing_embedding(size: int = 64):
     return lambda text: embed(tokens(strip_placeholders(text)))
 
 
+def unescape(text: Column) -> Column:
+    """HTML entities decoded, all named and numeric ones."""
+
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([html.unescape(t) if t and "&" in t else t for t in text.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def describe(kind: str, data: Column) -> Column:
+    """A text for the bytes of an image or a video; none without a model."""
+    if kind not in ("image", "video"):
+        raise ValueError(f"nothing describes a {kind}")
+    return F.lit(None).cast("string")
+
+
+def asked_json(model, prompt: Column, required: tuple[str, ...] = (), attempts: int = 4) -> Column:
+    """struct<json, attempts, error> of a model's answer to a prompt: asked again, up to so many times in all, while the
+    answer holds no JSON object or lacks a required key. model(prompts, attempt) gives an answer for each prompt,
+    or None where it failed, which is an error at once and not asked again."""
+
+    @F.arrow_udf("struct<json: string, attempts: int, error: string>")
+    def run(prompt: pa.Array) -> pa.Array:
+        prompts = prompt.to_pylist()
+        out: list[dict] = [{"json": None, "attempts": 0, "error": "no prompt"} for _ in prompts]
+        left = [i for i, p in enumerate(prompts) if p is not None]
+        for attempt in range(1, attempts + 1):
+            if not left:
+                break
+            again = []
+            for i, answer in zip(left, model([prompts[i] for i in left], attempt), strict=True):
+                found, error = (None, "no answer") if answer is None else _object_in(answer, required)
+                out[i] = {"json": found, "attempts": attempt, "error": error}
+                if error and answer is not None:
+                    again.append(i)
+            left = again
+        return pa.array(out, pa.struct([("json", pa.string()), ("attempts", pa.int32()), ("error", pa.string())]))
+
+    return run(prompt)
+
+
+def _object_in(answer: str, required: tuple[str, ...]) -> tuple[str | None, str | None]:
+    """(the JSON object of an answer, None) or (None, what is wrong)."""
+    fenced = re.search(r"```(?:json)?\s*(.*?)```", answer, re.S)
+    braces = re.search(r"\{.*\}", answer, re.S)
+    text = fenced[1].strip() if fenced else braces[0] if braces else answer.strip()
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        return None, f"no JSON: {e}"
+    if not isinstance(value, dict):
+        return None, "not an object"
+    lacking = [k for k in required if k not in value]
+    return (None, f"lacks {', '.join(lacking)}") if lacking else (text, None)
+
+
 def rewrite_query(query: Column) -> Column:
     """struct<rewritten_query, keywords, intent>: the query trimmed, its distinct tokens, no intent."""
     return F.struct(F.btrim(query).alias("rewritten_query"), F.array_distinct(tokens(query)).alias("keywords"), F.lit(None).cast("string").alias("intent"))

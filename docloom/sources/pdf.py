@@ -6,7 +6,7 @@ PDF files into spans is left to whatever reader a deployment has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalar import is_page_number, normalize_text
@@ -34,14 +34,25 @@ def without_margins(blocks: DataFrame) -> DataFrame:
 
 
 def merged(blocks: DataFrame) -> DataFrame:
-    """Neighbouring blocks of one font whose gap is at most max(1.5 sizes, 2) as one."""
-    w = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block")
-    before = F.lag(F.struct("y1", "size", "bold")).over(w)
-    fits = (F.abs(F.col("size") - before["size"]) < 0.5) & (F.col("bold") == before["bold"]) & (F.col("y0") - before["y1"] <= F.greatest(F.col("size") * 1.5, F.lit(2.0)))
-    rows = blocks.withColumn("fresh", F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w))
-    one = F.struct("y0", "x0", "block", "text", "size", "bold")
-    grouped = rows.groupBy("doc_id", "page", "run").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_sort(F.collect_list(one)).alias("parts"))
-    return grouped.select("doc_id", "page", F.col("run").alias("block"), "x0", "y0", "x1", "y1", F.col("parts")[0]["size"].alias("size"), F.col("parts")[0]["bold"].alias("bold"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+    """Blocks of a page in reading order, neighbours joined: a block joins the one before if its font is within 0.5 of
+    that of the first block joined, equally bold, and the gap to the last one at most max(1.5 of that font, 2).
+
+    A fold over each page's blocks, as a block is compared with what was joined so far.
+    """
+    one = F.struct("y0", "x0", "block", "x1", "y1", "size", "bold", "text")
+    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(one)).alias("parts"))  # the blocks of one page
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double,size:double,bold:boolean,text:string>>"
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        gap = F.greatest(F.when(last["size"] > 0, last["size"] * 1.5).otherwise(12.0), F.lit(2.0))
+        fits = (F.size(acc) > 0) & (F.abs(last["size"] - x["size"]) < 0.5) & (last["bold"] == x["bold"]) & (x["y0"] - last["y1"] <= gap)
+        own = F.struct(x["x0"].cast("double").alias("x0"), x["y0"].cast("double").alias("y0"), x["x1"].cast("double").alias("x1"), x["y1"].cast("double").alias("y1"), x["size"].cast("double").alias("size"), x["bold"].alias("bold"), x["text"].alias("text"))
+        both = F.struct(F.least(last["x0"], own["x0"]).alias("x0"), last["y0"].alias("y0"), F.greatest(last["x1"], own["x1"]).alias("x1"), own["y1"].alias("y1"), last["size"].alias("size"), last["bold"].alias("bold"), F.concat(last["text"], F.lit(" "), own["text"]).alias("text"))
+        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(own)))
+
+    folded = F.aggregate("parts", F.array().cast(kind), joined)
+    return pages.select("doc_id", "page", F.posexplode(folded).alias("n", "b")).select("doc_id", "page", (F.col("n") + 1).cast("bigint").alias("block"), "b.*")
 
 
 def layout_elements(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
