@@ -25,6 +25,7 @@ LINK_DOCUMENT_SUFFIXES = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pp
 SOURCE_TYPE_BY_SUFFIX = {".md": "markdown", ".markdown": "markdown", ".txt": "txt", ".docx": "docx", ".xlsx": "xlsx", ".html": "html", ".htm": "html", ".pdf": "pdf", ".pptx": "pptx"}
 VIDEO_URL = r"(?i)https?://[^\s\])<\"']*(?:youtube\.com|youtu\.be|vimeo\.com|\.mp4|\.webm|\.mov|\.m4v)[^\s\])<\"']*"
 HTTP_URL = r"(?i)https?://[^\s\])<\"']+"
+PAGE_NUMBER = r"^(?:\d+|[ivxlcdmIVXLCDM]+|\d+\s*/\s*\d+|-\s*\d+\s*-|第\s*\d+\s*页?)$"
 PLACEHOLDER = r"\{\{(?:image|doc|video|web|res):\d+\}\}"
 
 
@@ -135,7 +136,7 @@ def code_language(css_class: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    return strip(text).rlike(r"^(?:\d{1,4}|[ivxlcdmIVXLCDM]+|\d+\s*/\s*\d+|-\s*\d+\s*-|第\s*\d+\s*页)$")
+    return strip(text).rlike(PAGE_NUMBER)
 
 
 def sha256_id(prefix: str, *parts: Column) -> Column:

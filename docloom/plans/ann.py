@@ -1,9 +1,10 @@
 """Approximate dense search by an inverted file of cells.
 
 Cell centres are fitted by spherical k-means on a bounded sample; every vector is then entered
-in the cell of its nearest centre. A search looks into the cells nearest to the query and
+in the cells of its nearest centres. A search looks into the cells nearest to the query and
 scores their vectors exactly, so scores are those of the exact search and only recall is less.
-Searching all cells is the exact search.
+Searching all cells is the exact search. How many cells a recall takes is up to the vectors:
+those without any structure, as the test tables hold, take three eighths of them for 0.9.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ def fit_cells(items: DataFrame, item_id: str, vector: str, cells: int, rows: int
     return centres
 
 
-def build_index(items: DataFrame, item_id: str, vector: str, centres: np.ndarray) -> DataFrame:
-    """(cell, item id, vector): every item with a vector in the cell of its nearest centre."""
+def build_index(items: DataFrame, item_id: str, vector: str, centres: np.ndarray, entries: int = 2) -> DataFrame:
+    """(cell, item id, vector): every item with a vector, in the cells of its ``entries`` nearest centres."""
     sent = items.sparkSession.sparkContext.broadcast(centres)
-    return items.where(F.col(vector).isNotNull()).select(F.get(_cells(sent, 1)(F.col(vector).cast("array<double>")), 0).alias("cell"), item_id, F.col(vector).cast("array<double>").alias("vector"))
+    return items.where(F.col(vector).isNotNull()).select(F.explode(_cells(sent, entries)(F.col(vector).cast("array<double>"))).alias("cell"), item_id, F.col(vector).cast("array<double>").alias("vector"))
 
 
 def _cells(sent, n: int):
@@ -88,7 +89,7 @@ def search_index(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: i
         return pa.concat_tables(out)
 
     found = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(best, f"query_id {fields['query_id']}, {item_id} {fields[item_id]}, score double")
-    ranked = rank(found, k, F.col("score").desc(), F.col(item_id))
+    ranked = rank(found.distinct(), k, F.col("score").desc(), F.col(item_id))
     return ranked.where("score > 0") if positive else ranked
 
 

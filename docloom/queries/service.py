@@ -163,7 +163,7 @@ def bm25_stored_topk(spark, d):
 
 
 #: Cells of the query's index, and those that a search looks into.
-CELLS, PROBES = 64, 16
+CELLS, PROBES = 64, 24
 
 
 @query("vector_topk_cells")

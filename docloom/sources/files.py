@@ -12,6 +12,7 @@ from docloom.sources.html import parse_html
 from docloom.sources.markdown import parse_markdown
 from docloom.sources.model import Registry
 from docloom.sources.office import parse_docx, parse_pptx, parse_xlsx
+from docloom.sources.pdf import parse_pdf
 
 
 def default_registry() -> Registry:
@@ -21,6 +22,7 @@ def default_registry() -> Registry:
     out.register(parse_docx, "docx")
     out.register(parse_xlsx, "xlsx")
     out.register(parse_pptx, "pptx")
+    out.register(parse_pdf, "pdf")
     return out
 
 

@@ -60,6 +60,18 @@ class Builder:
                 self.assets[n - 1]["element_seq"] = seq
         return seq
 
+    def own_last(self) -> None:
+        """Assets belong to the last element that refers to them, as Word documents have it, instead of the first."""
+        for e in self.elements:
+            for ref in e["refs"]:
+                self.assets[ref["asset"] - 1]["element_seq"] = e["seq"]
+
+    def own_orphans(self) -> None:
+        """Assets that no element refers to belong to the first element, as in workbooks."""
+        for a in self.assets:
+            if a["element_seq"] is None and self.elements:
+                a["element_seq"] = self.elements[0]["seq"]
+
     def result(self) -> dict:
         return {"elements": self.elements, "assets": self.assets, "error": None}
 

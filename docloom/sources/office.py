@@ -72,6 +72,16 @@ def table_text(rows: list[list[str]]) -> str:
 
 # -- Word
 
+def field_link(instruction: str) -> tuple[str, str]:
+    """(URL, file name) of a field's instruction: a drive's file with its name, else the first link in it and its last part."""
+    place, name = re.search(r"\\tdfu\s+(\S+)", instruction), re.search(r"\\tdfn\s+(\S+)", instruction)
+    if place and name:
+        return place[1], name[1]
+    quoted = re.search(r'(?i)(?:HYPERLINK|INCLUDEPICTURE)\s+"(https?://[^"]+)"', instruction)
+    found = quoted[1] if quoted else m[0] if (m := re.search(r"https?://\S+", instruction)) else ""
+    return (found, found.partition("?")[0].rpartition("/")[2] or "file") if found else ("", "")
+
+
 class _Word:
     def __init__(self, content: bytes):
         self.package, self.out = Package(content), Builder()
@@ -83,6 +93,7 @@ class _Word:
         self.styles = {attr(s, "styleId"): (attr(n, "val") or "") if (n := child(s, "name")) is not None else "" for s in styles if local(s.tag) == "style"} if styles is not None else {}
         self.items: list[str] = []
         self.item_refs: list[tuple[str, int]] = []
+        self.embedded = 0
 
     def read(self) -> dict:
         for node in self.body:
@@ -91,7 +102,11 @@ class _Word:
             elif local(node.tag) == "tbl":
                 self.close_list()
                 self.table(node)
+            if self.embedded:
+                self.close_list()
+                self.objects()
         self.close_list()
+        self.out.own_last()
         return self.out.result()
 
     def level(self, node: ET.Element) -> int:
@@ -134,15 +149,41 @@ class _Word:
             refs.append((mark, self.out.asset(kind, uri, label, data)))
             parts.append(mark)
 
+        fields: list[dict] = []  # open ones, outermost first
+
+        def close(f: dict) -> None:
+            url, label = field_link(f["instr"])
+            told = "".join(f["told"])
+            if url:
+                refer(link_kind(label) if suffix(label) else link_kind(url), url, told.strip() or label)
+            else:
+                put(told)
+
+        def put(text: str) -> None:
+            if not fields:
+                parts.append(text)
+            elif fields[-1]["result"]:
+                fields[-1]["told"].append(text)
+
         def walk(n: ET.Element) -> None:
             name = local(n.tag)
             if name == "t":
-                parts.append(n.text or "")
+                put(n.text or "")
             elif name in ("tab", "br", "cr"):
-                parts.append("\t" if name == "tab" else "\n")
+                put("\t" if name == "tab" else "\n")
+            elif name == "fldChar":
+                kind = attr(n, "fldCharType")
+                if kind == "begin":
+                    fields.append({"instr": "", "told": [], "result": False})
+                elif kind == "separate" and fields:
+                    fields[-1]["result"] = True
+                elif kind == "end" and fields:
+                    close(fields.pop())
             elif name == "instrText":
-                if found := HTTP.search(n.text or ""):
-                    refer(link_kind(found[0]), found[0])
+                if fields:
+                    fields[-1]["instr"] += n.text or ""
+                else:
+                    close({"instr": n.text or "", "told": []})
             elif name == "hyperlink" and attr(n, "id") in self.links:
                 label, url = "".join(t.text or "" for t in all_of(n, "t")), self.links[attr(n, "id")][0]
                 refer(text_type(label) if text_type(label) != "web_link" else link_kind(url), url, label)
@@ -150,15 +191,23 @@ class _Word:
                 place, outside = self.links[attr(n, "embed")]
                 refer("image_link" if outside else "image", place, data=None if outside or place not in self.package.names else self.package.zip.read(place))
             elif name == "OLEObject":
-                parts.append(self.out.placeholder("unknown"))
+                self.embedded += 1
             elif name != "pPr":
                 for c in n:
                     walk(c)
 
         for c in node:
             walk(c)
+        while fields:  # a field that the paragraph does not end
+            close(fields.pop())
         return "".join(parts), refs
 
+    def objects(self) -> None:
+        """An unknown element for each embedded object since the last call."""
+        for _ in range(self.embedded):
+            self.out.add("unknown", "")
+        self.embedded = 0
+
     def table(self, node: ET.Element) -> None:
         rows: list[list[str]] = []
         refs: list[tuple[str, int]] = []
@@ -230,6 +279,7 @@ def parse_xlsx(content: bytes) -> dict:
         root = package.xml(part)
         if root is not None:
             _sheet(out, sheet.get("name", ""), number, root, package.links(part), strings)
+    out.own_orphans()
     return out.result()
 
 
@@ -343,7 +393,8 @@ def _slide(out: Builder, number: int, root: ET.Element, package: Package, links:
     shapes = [s for _, _, s in sorted(((_place(s), i, s) for i, s in enumerate(_shapes(child(root, "cSld", "spTree")))), key=lambda x: x[:2])]
     kind_of = lambda s: attr(next(iter(all_of(s, "ph")), ET.Element("x")), "type") or ("body" if all_of(s, "ph") else "")
     read = {id(s): _lines(s, out, links) for s in shapes if local(s.tag) == "sp"}
-    titled = next((s for s in shapes if kind_of(s) in ("title", "ctrTitle") and read.get(id(s), ([],))[0]), None) or next((s for s in shapes if read.get(id(s), ([],))[0]), None)
+    told = [s for s in shapes if read.get(id(s), ([],))[0]]
+    titled = next((s for s in told if kind_of(s) in ("title", "ctrTitle")), told[0] if told else None)
     out.path = []
     if titled is not None:
         lines, refs = read[id(titled)]

@@ -1,16 +1,25 @@
-"""Elements of page layouts: from a table of text spans to titles, paragraphs and links.
+"""PDF files to elements: as a parser of one file, and as operators over a table of text spans.
 
-spans: doc_id, page, block, line, span, x0, y0, x1, y1, text, size, bold, page_height. Decoding
-PDF files into spans is left to whatever reader a deployment has.
+spans: doc_id, page, block, line, span, x0, y0, x1, y1, text, size, bold, page_height, as
+``decoded_spans`` makes them from files. Both ways follow the same rules.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.scalar import is_page_number, normalize_text
+from docloom.functions.scalar import PAGE_NUMBER, PLACEHOLDER, is_page_number, normalize_text
 from docloom.operators.layout import best_overlap, heading_level, outside_ranges
+from docloom.sources.model import Builder
+from docloom.sources.office import link_kind, table_json, table_text
+from docloom.sources.pdf_bytes import Page, PdfFile, Span
 
 EDGE, SMALL, SHORT, PAGES = 0.15, 10.0, 100, 3
 
@@ -70,3 +79,212 @@ def links_of(links: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, page, link, span, share): for each link's rectangle the span of which it covers most, at least a tenth."""
     numbered = spans.withColumn("place", F.col("block") * 1000000 + F.col("line") * 1000 + F.col("span"))
     return best_overlap(links, numbered, ["doc_id", "page"], "link", "place")
+
+
+# -- files
+
+SPANS = "doc_id string, page int, block int, line int, span int, x0 double, y0 double, x1 double, y1 double, text string, size double, bold boolean, page_height double"
+
+
+def decoded_spans(docs: DataFrame) -> DataFrame:
+    """SPANS of PDF files (doc_id, content): what the operators above take. A file that can't be read has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                try:
+                    pages = PdfFile(batch.column(1)[i].as_py() or b"").pages()
+                except Exception:  # its failure is a row of parse_pdf
+                    continue
+                rows = [[batch.column(0)[i].as_py(), p.number, b, n, k, s.x0, s.y0, s.x1, s.y1, s.text, s.size, s.bold, p.height] for p in pages for b, block in enumerate(_blocks(p.spans)) for n, line in enumerate(block) for k, s in enumerate(line)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *[pa.int32()] * 4, *[pa.float64()] * 4, pa.string(), pa.float64(), pa.bool_(), pa.float64()], strict=True)], [x.split()[0] for x in SPANS.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("string"), F.col("content").cast("binary")).mapInArrow(run, SPANS)
+
+
+def _blocks(spans: list[Span]) -> list[list[list[Span]]]:
+    """Spans as lines (of one height, left to right) and lines as blocks (no gap of over 0.6 of the font between them)."""
+    lines: list[list[Span]] = []
+    for s in sorted(spans, key=lambda s: (s.y1, s.x0)):
+        if lines and abs(lines[-1][0].y1 - s.y1) <= 0.3 * max(s.size, 1) and s.x0 - max(x.x1 for x in lines[-1]) <= 4 * max(s.size, 1):
+            lines[-1].append(s)
+        else:
+            lines.append([s])
+    blocks: list[list[list[Span]]] = []
+    for line in lines:
+        line.sort(key=lambda s: s.x0)
+        top, size = min(s.y0 for s in line), max(s.size for s in line)
+        if blocks:
+            before = blocks[-1][-1]
+            beside = min(line[-1].x1, before[-1].x1) > max(line[0].x0, before[0].x0)
+            if beside and -0.5 * size <= top - max(s.y1 for s in before) <= 0.6 * size and abs(before[0].size - line[0].size) < 0.5 and before[0].bold == line[0].bold:
+                blocks[-1].append(line)
+                continue
+        blocks.append([line])
+    return blocks
+
+
+@dataclass
+class _Block:
+    page: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    size: float
+    bold: bool
+    spans: list[Span]
+
+    @property
+    def text(self) -> str:
+        return " ".join("".join(s.text for s in line) for line in _lines_of(self.spans)).strip()
+
+
+def _lines_of(spans: list[Span]) -> list[list[Span]]:
+    out: list[list[Span]] = []
+    for s in spans:
+        if out and abs(out[-1][0].y1 - s.y1) <= 0.3 * max(s.size, 1):
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
+def _page_blocks(page: Page) -> list[_Block]:
+    out = []
+    for block in _blocks(page.spans):
+        flat = [s for line in block for s in line]
+        out.append(_Block(page.number, min(s.x0 for s in flat), min(s.y0 for s in flat), max(s.x1 for s in flat), max(s.y1 for s in flat), sum(s.size for s in flat) / len(flat), any(s.bold for s in flat), flat))
+    return [b for b in sorted(out, key=lambda b: (b.y0, b.x0)) if b.text]
+
+
+def _margins(pages: list[Page], blocks: list[_Block]) -> list[_Block]:
+    """Blocks without running heads and feet: edge texts at one height on PAGES pages, and small page numbers."""
+    height = {p.number: p.height for p in pages}
+    at_edge = lambda b: b.y1 <= height[b.page] * EDGE or b.y0 >= height[b.page] * (1 - EDGE)
+    seen: dict[tuple, set[int]] = {}
+    for b in blocks:
+        if at_edge(b):
+            seen.setdefault((int(b.y0 // 10), b.text), set()).add(b.page)
+    number = lambda b: b.size <= SMALL and len(b.text) <= SHORT and re.match(PAGE_NUMBER, b.text)
+    return [b for b in blocks if not (at_edge(b) and (len(seen[int(b.y0 // 10), b.text]) >= PAGES or number(b)))]
+
+
+def _joined(blocks: list[_Block]) -> list[_Block]:
+    """As merged: a fold along the page."""
+    out: list[_Block] = []
+    for b in blocks:
+        a = out[-1] if out else None
+        if a and abs(a.size - b.size) < 0.5 and a.bold == b.bold and b.y0 - a.y1 <= max(a.size * 1.5 if a.size > 0 else 12.0, 2.0):
+            out[-1] = _Block(a.page, min(a.x0, b.x0), a.y0, max(a.x1, b.x1), b.y1, a.size, a.bold, a.spans + b.spans)
+        else:
+            out.append(b)
+    return out
+
+
+def _level(b: _Block) -> int:
+    """Heading level by font: large short texts, and bold ones of 12 to 13 points; 0 for a paragraph."""
+    if len(b.text) > 80:
+        return 0
+    if b.size >= 14:
+        return 1 if b.size >= 18 else 2 if b.size >= 16 else 3
+    return 3 if 12 <= b.size <= 13 and b.bold else 0
+
+
+def _tables(page: Page) -> list[tuple[tuple, list[list[str]]]]:
+    """(box, rows of cell texts) of grids of ruled lines with two rows and two columns at least."""
+    flat = [(min(a, c), b, max(a, c)) for a, b, c, d in page.lines if abs(b - d) < 1 and abs(a - c) > 8]
+    tall = [(a, min(b, d), max(b, d)) for a, b, c, d in page.lines if abs(a - c) < 1 and abs(b - d) > 4]
+    groups: list[list] = []
+    for x0, y, x1 in sorted(set(flat), key=lambda r: r[1]):  # horizontal rules that verticals tie together
+        for g in groups:
+            if any(x0 - 2 <= x <= x1 + 2 and top - 2 <= g[-1][1] and y <= end + 2 for x, top, end in tall):
+                g.append((x0, y, x1))
+                break
+        else:
+            groups.append([(x0, y, x1)])
+    out = []
+    for g in groups:
+        ys = _apart([y for _, y, _ in g])
+        left, right = min(r[0] for r in g), max(r[2] for r in g)
+        xs = _apart([x for x, top, end in tall if left - 2 <= x <= right + 2 and top < ys[-1] and end > ys[0]])
+        if len(xs) < 3 or len(ys) < 3:
+            continue
+        inside = lambda s, a, b, c, d: a <= (s.x0 + s.x1) / 2 < c and b <= (s.y0 + s.y1) / 2 < d
+        rows = [[" ".join(s.text.strip() for s in sorted(page.spans, key=lambda s: (s.y1, s.x0)) if inside(s, a, b, c, d)) for a, c in zip(xs, xs[1:], strict=False)] for b, d in zip(ys, ys[1:], strict=False)]
+        if any(any(r) for r in rows):
+            out.append(((xs[0], ys[0], xs[-1], ys[-1]), rows))
+    return out
+
+
+def _apart(values: list[float]) -> list[float]:
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] > 3:
+            out.append(v)
+    return out
+
+
+def _shared(a: tuple, b: Span) -> float:
+    """Share of a span that a rectangle covers."""
+    width, height = min(a[2], b.x1) - max(a[0], b.x0), min(a[3], b.y1) - max(a[1], b.y0)
+    area = (b.x1 - b.x0) * (b.y1 - b.y0)
+    return width * height / area if width > 0 and height > 0 and area > 0 else 0.0
+
+
+def parse_pdf(content: bytes) -> dict:
+    """Elements and assets of a PDF file: outline titles, headings by font, paragraphs, tables, pictures (each once),
+    links at the span they cover most. Empty, encrypted and unreadable files, and those without text, are errors."""
+    if not content:
+        raise ValueError("the file is empty")
+    file = PdfFile(content)
+    pages = file.pages()
+    if not pages:
+        raise ValueError("the file has no pages")
+    out, told = Builder(), {}
+    for level, title, number in file.outline():
+        told.setdefault(number, []).append((level, title))
+    blocks: dict[int, list[_Block]] = {}
+    for b in _margins(pages, [b for p in pages for b in _page_blocks(p)]):
+        blocks.setdefault(b.page, []).append(b)
+    for page in pages:
+        _page_elements(out, page, blocks.get(page.number, []), sorted(told.get(page.number, []), key=lambda x: x[0]))
+    if not any(e["element_type"] != "unknown" and not re.fullmatch(PLACEHOLDER, e["text"]) for e in out.elements):
+        raise ValueError("no text layer: a scanned file" if any(p.images for p in pages) else "no text")
+    return out.result()
+
+
+def _page_elements(out: Builder, page: Page, blocks: list[_Block], titles: list[tuple[int, str]]) -> None:
+    tables = _tables(page)
+    free = [b for b in blocks if not any(b.y0 <= box[3] and b.y1 >= box[1] for box, _ in tables)]
+    for level, title in titles:
+        out.title(title, level, page=page.number)
+    named = {re.sub(r"\s+", " ", t) for _, t in titles}
+    links: dict[int, list[str]] = {}
+    for uri, box in page.links:
+        if not re.match(r"https?://", uri):
+            continue
+        share, i = max(((_shared(box, s), -k) for k, s in enumerate(page.spans)), default=(0.0, 0))
+        if share >= 0.1:
+            links.setdefault(id(page.spans[-i]), []).append(uri)
+    pieces = [(b.y0, b.x0, "text", b) for b in _joined(free)] + [(box[1], box[0], "table", rows) for box, rows in tables] + [(box[1], box[0], "image", data) for data, box in page.images]
+    for _, _, kind, x in sorted(pieces, key=lambda p: p[:2]):
+        if kind == "table":
+            out.add("table", table_text(x), structured_data=table_json("", x[0], x[1:]), page=page.number)
+        elif kind == "image":
+            number = out.asset("image", hashlib.sha256(x).hexdigest(), data=x)
+            if out.assets[number - 1]["element_seq"] is None:
+                mark = out.placeholder("image")
+                out.add("paragraph", mark, [(mark, number)], page=page.number)
+        elif re.sub(r"\s+", " ", x.text) not in named:
+            refs = []
+            for s in x.spans:
+                for uri in links.get(id(s), []):
+                    kind_of = link_kind(uri)
+                    refs.append((out.placeholder(kind_of), out.asset(kind_of, uri, s.text.strip())))
+            text = " ".join([x.text, *[mark for mark, _ in refs]])
+            if level := _level(x):
+                out.title(text, level, refs=refs, page=page.number)
+            else:
+                out.add("paragraph", text, refs, page=page.number)

@@ -133,11 +133,51 @@ def test_patch_and_missing(spark):
 def test_version_chain_stops_at_gaps_and_cycles(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 99), (6, 7), (7, 6)]
     got = {}
-    for r in catalog.version_chain(spark.createDataFrame(rows, "doc_id long, previous_doc_id long")).collect():
+    docs = spark.createDataFrame(rows, "doc_id long, previous_doc_id long")
+    for r in catalog.version_chain(docs, docs.select("doc_id")).collect():
         got.setdefault(r.doc_id, set()).add((r.ancestor, r.depth))
     assert got[4] == {(4, 0), (3, 1), (2, 2), (1, 3)} and got[5] == {(5, 0)} and got[6] == {(6, 0), (7, 1)}
 
 
+def test_long_version_chains_end_at_their_first_version(spark):
+    docs = spark.createDataFrame([(i, i - 1 if i % 130 else None) for i in range(390)], "doc_id long, previous_doc_id long")
+    got = catalog.version_chain(docs)
+    assert got.count() == 390 and {r.doc_id for r in got.select("doc_id").distinct().collect()} == {129, 259, 389}
+    assert got.where("depth = doc_id - ancestor").count() == 390 and got.agg({"depth": "max"}).first()[0] == 129
+
+
+def test_heading_paths_are_those_of_a_walk(spark):
+    import random
+
+    random.seed(3)
+    rows = [(d, i, random.choice(["title", "paragraph"]), f"t{i}", random.choice([1, 2, 3, 4, None])) for d in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, element_type string, text string, heading_level int")
+    got = {(r.doc_id, r.seq): r.section_path for r in sequence.heading_paths(df).collect()}
+    paths = {}
+    for d, i, kind, text, level in rows:
+        path = paths.setdefault(d, [])
+        if kind == "title" and level:
+            while len(path) >= level:
+                path.pop()
+            path.append(text)
+        assert got[d, i] == path
+
+
+def test_cells_that_no_run_holds_together(spark):
+    cells = spark.createDataFrame([("s", r, c) for r, c in [(1, 1), (2, 2), (4, 1), (9, 9)]] + [(None, 5, 5)], "sheet string, row int, col int")
+    got = {(r.sheet, r.r0, r.r1, r.c0, r.c1) for r in sequence.regions(cells, ["sheet"]).collect()}
+    assert got == {("s", 1, 2, 1, 2), ("s", 4, 4, 1, 2), ("s", 9, 9, 9, 9), (None, 5, 5, 5, 5)}
+
+
+def test_stored_rows(spark):
+    from docloom.functions import codecs
+
+    rows = spark.createDataFrame([("c", None, "{bad", None, '{"a": "1"}', None), ("d", "relational", '[{"asset_id": "x"}, null]', "[]", "[1]", "deleted")], "chunk_id string, knowledge_type string, asset_refs string, source_refs string, metadata string, status string")
+    one, two = codecs.from_row(rows, "chunks").orderBy("chunk_id").collect()
+    assert (one.knowledge_type, one.asset_refs, one.source_refs, one.metadata, one.status) == ("declarative", [], [], {"a": "1"}, "active")
+    assert (two.knowledge_type, [a.asset_id for a in two.asset_refs], two.source_refs, two.metadata, two.status) == ("relational", ["x"], [], {}, "deleted")
+
+
 def test_upload_of_equal_files(spark):
     docs = spark.createDataFrame([(10, "h1", "active"), (11, "h2", "deleted")], "doc_id long, source_hash string, status string")
     new = spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h2"), (4, "h3")], "doc_id long, source_hash string")

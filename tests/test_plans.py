@@ -84,3 +84,60 @@ def test_pairs_of_queries_with_all_rows(spark):
     got = R.weighted_summary(R.pair_similarities(queries, rows, "vec_id", "label"), "label").collect()
     assert [(r.label, r.pairs) for r in got] == [(0, 5 * 45 + 10)]
     assert R.pair_similarities(queries, rows, "vec_id", "label", same=False).select("query_id").distinct().count() == 5
+
+
+def test_model_answers_are_asked_for_again(spark):
+    from docloom import seams
+
+    def model(prompts, attempt):
+        return [None if p == "down" else "no" if attempt < int(p) else '```json\n{"a": 1, "n": %d}\n```' % attempt for p in prompts]
+
+    rows = spark.createDataFrame([("1",), ("3",), ("9",), ("down",), (None,)], "p string")
+    got = {r.p: r.a for r in rows.select("p", seams.asked_json(model, F.col("p"), ("a",)).alias("a")).collect()}
+    assert [(got[p].attempts, got[p].json, got[p].error and got[p].error[:9]) for p in ("1", "3", "9", "down", None)] == [(1, '{"a": 1, "n": 1}', None), (3, '{"a": 1, "n": 3}', None), (4, None, "no JSON: "), (1, None, "no answer"), (0, None, "no prompt")]
+    lacking = spark.createDataFrame([("1",)], "p string").select(seams.asked_json(model, F.col("p"), ("a", "z")).alias("a")).first().a
+    assert lacking.error == "lacks z" and lacking.attempts == 4
+
+
+def test_cells_give_most_of_the_exact_results(spark):
+    from docloom.plans import ann
+    from docloom.queries import service
+
+    d = "/root/testdata/sf0.01"
+    items = spark.read.parquet(f"{d}/embeddings.parquet")
+    queries = items.where("vec_id % 20 = 0").select(items.vec_id.alias("query_id"), "embedding")
+    exact = R.vector_topk(queries, items, 30, "vec_id").cache()
+    found = service.vector_topk_cells(spark, d)
+    figures = ann.recall(found, exact, "vec_id").agg({"recall": "avg"}).first()[0]
+    assert figures >= 0.9
+    both = found.join(exact.withColumnRenamed("score", "s"), ["query_id", "vec_id"])
+    assert both.where("score <> s").count() == 0
+    centres = ann.fit_cells(items, "vec_id", "embedding", 8)
+    index = ann.build_index(items, "vec_id", "embedding", centres)
+    assert index.count() == 2 * items.where("embedding is not null").count() and index.select("vec_id").distinct().count() * 2 == index.count()
+    whole = ann.search_index(queries, index, centres, 30, "vec_id", 8)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    queries = items.where("vec_id % 20 = 0").select(items.vec_id.alias("query_id"), "embedding")
+    whole = sorted(map(tuple, R.vector_topk(queries, items, 4, "vec_id").collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "TILE", 16)
+    assert sorted(map(tuple, R.vector_topk(queries, items, 4, "vec_id").collect())) == whole
+
+
+def test_parts_and_records_of_uploads(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x" * 25)), ("b", bytearray())], "doc_id string, content binary")
+    got = {(r.doc_id, r.part): bytes(r.data) for r in I.parts_of(files, size=10).collect()}
+    assert got == {("a", 0): b"x" * 10, ("a", 1): b"x" * 10, ("a", 2): b"x" * 5, ("b", 0): b""}
+    judged = spark.createDataFrame([("a", "r.v.pdf", 25, "success"), ("b", "s", 0, "success"), ("c", "t", 1, "failed")], "doc_id string, file_name string, size long, outcome string")
+    done, gone = I.store_records(judged, spark.createDataFrame([("a", "s/a"), ("b", None)], "doc_id string, source_uri string"))
+    assert [(r.source_uri, r.title) for r in done.collect()] == [("s/a", "r.v")] and [r.doc_id for r in gone.collect()] == ["b"]
+
+
+def test_pictures_of_a_layout(spark):
+    text = "a ![one](images/1.png) b ![x](gone.png)c ![](images/2.png)"
+    images = F.array(F.struct(F.lit("images/1.png").alias("path"), F.lit("s/1").alias("uri")), F.struct(F.lit("images/2.png").alias("path"), F.lit("s/2").alias("uri")))
+    assert spark.range(1).select(X.with_images(F.lit(text), images)).first()[0] == "a ![one](s/1) b c ![](s/2)"

@@ -142,3 +142,18 @@ def test_eval_files(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"items": items}))
     got = {r.query: r.doc_id for r in files.read_eval_items(spark, str(tmp_path / "x.json")).collect()}
     assert got == {"q": "d", "s": "e"}
+
+
+def test_docx_fields_and_objects():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    run = lambda x: f"<w:r>{x}</w:r>"
+    mark = lambda k: run(f'<w:fldChar w:fldCharType="{k}"/>')
+    instr = lambda t: run(f"<w:instrText>{t}</w:instrText>")
+    text = lambda t: run(f"<w:t>{t}</w:t>")
+    one = text("see ") + mark("begin") + instr('HYPERLINK "https://a.org/f.pdf?x=1"') + mark("separate") + text("the file") + mark("end") + text(" now")
+    two = mark("begin") + instr(r"WD \\tdfu https://d.org/1 \\tdfn clip.mov") + mark("end")
+    three = mark("begin") + instr("PAGE") + mark("separate") + text("7") + mark("end") + run("<w:object><o:OLEObject xmlns:o='o'/></w:object>")
+    body = "".join(f"<w:p>{p}</w:p>" for p in (one, two, three))
+    got = parse_docx(package(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'}))
+    assert shown(got) == [("paragraph", "see {{doc:1}} now"), ("paragraph", "{{video:1}}"), ("paragraph", "7"), ("unknown", "")]
+    assert [(a["asset_type"], a["original_uri"], a["display_text"]) for a in got["assets"]] == [("document_link", "https://a.org/f.pdf?x=1", "the file"), ("video_link", "https://d.org/1", "clip.mov")]
