@@ -54,6 +54,50 @@ def profile(items: DataFrame) -> DataFrame:
     return one(items, "source", F.col("source")).unionByName(one(per_doc, "per_doc", bucket)).unionByName(one(items, "labels", F.size("expected")))
 
 
+def profile_summary(items: DataFrame) -> DataFrame:
+    """One row: items, documents, and the least, greatest and mean number of items of a document."""
+    per_doc = items.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return per_doc.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.count("*").alias("documents"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 1).alias("mean"))
+
+
+def run(items: DataFrame, results: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """A row for each item (key, expected): the metrics of its results (key, results, error). An item whose search
+    failed, or that has no results row, has an error and null metrics; it counts as failed, not as found nothing."""
+    both = items.join(results, key, "left")
+    error = F.when(F.col("results").isNull(), F.coalesce("error", F.lit("no results"))).otherwise(F.col("error"))
+    failed = error.isNotNull()
+    figures = {name: F.when(~failed, F.round(value, 6)) for name, value in metrics(F.col("results"), F.col("expected"), k).items()}
+    return both.select(key, error.alias("error"), *[v.alias(n) for n, v in figures.items()])
+
+
+def run_record(rows: DataFrame, params: dict[str, str], now: str) -> DataFrame:
+    """One row of the history: averages over rows with labels, and how many queries succeeded and failed."""
+    names = ("precision", "recall", "mrr", "hit")
+    figures = F.create_map(*[x for n in names for x in (F.lit(n), F.round(F.avg(n), 6))])
+    search = F.create_map(*[F.lit(x) for kv in sorted(params.items()) for x in kv]) if params else F.create_map().cast("map<string,string>")
+    failed = F.count_if(F.col("error").isNotNull())
+    return rows.agg(F.lit(now).alias("timestamp"), search.alias("search_params"), figures.alias("metrics"), F.count("*").cast("int").alias("query_count"), (F.count("*") - failed).cast("int").alias("success_count"), failed.cast("int").alias("failure_count"))
+
+
+def chosen_documents(docs: DataFrame, mode: str, value: str | None = None) -> DataFrame:
+    """The documents that an evaluation set is generated for: one by id (doc), those of a category, or all; only active ones."""
+    live = docs.where("status = 'active'")
+    if mode == "doc":
+        return live.where(F.col("doc_id").cast("string") == value)
+    if mode == "category":
+        return live.where(F.col("category") == value)
+    if mode != "all":
+        raise ValueError(f"unknown mode {mode}")
+    return live
+
+
+def generation_list(docs: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, title, chunks, items) of each active document: what there is to ask about, and what is asked already."""
+    count = lambda t, name: t.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = chosen_documents(docs, "all").select("doc_id", "title").join(count(chunks, "chunks"), "doc_id", "left").join(count(items, "items"), "doc_id", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chunks", "items")})
+
+
 def append_history(record: DataFrame, path: str) -> None:
     record.write.mode("append").json(path)
 

@@ -237,20 +237,29 @@ def text_functions(spark, d):
     return T.table(spark, d, "documents").select("doc_id", S.token_estimate(F.length(text)).alias("tokens"), S.truncate(text, 250, "…").alias("shown"), S.strip_placeholders(F.concat(F.lit("{{image:"), F.col("doc_id").cast("string"), F.lit("}} "), text)).alias("plain"), S.normalize_text(text).alias("flat"))
 
 
-@query("blob_keys", "SELECT page_id, substr(h, 1, 2) || '/' || h || '.pdf' AS key, 'minio' AS bucket FROM (SELECT page_id, sha256(html) AS h FROM pages)")
+@query("blob_keys", "SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN substr(h, 1, 2) || '/' || h || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '' END END AS key, CASE WHEN page_id % 7 <> 0 THEN 'b' || page_id % 5 END AS bucket, page_id % 7 <> 0 AS valid FROM (SELECT page_id, sha256(html) AS h FROM pages)")
 def blob_keys(spark, d):
-    h = F.sha2(F.col("html").cast("binary"), 256)
-    uri = F.concat(F.lit("minio://minio/"), S.blob_key(h, F.lit("application/pdf")))
-    return T.table(spark, d, "pages").select("page_id", S.parse_store_uri(uri)["key"].alias("key"), S.parse_store_uri(uri)["bucket"].alias("bucket"))
+    """Places of contents of a known, another and no known type in several buckets; some of another store."""
+    i = F.col("page_id")
+    mime = F.when(i % 3 == 0, "application/pdf").when(i % 3 == 1, "image/png").otherwise("x/unknown")
+    key = S.blob_key(F.sha2(F.col("html").cast("binary"), 256), mime)
+    uri = F.concat(F.when(i % 7 == 0, "other").otherwise("minio"), F.lit("://b"), (i % 5).cast("string"), F.lit("/"), key)
+    return T.table(spark, d, "pages").select("page_id", S.parse_store_uri(uri).alias("u")).select("page_id", "u.key", "u.bucket", "u.valid")
 
 
 _MAGIC = ["89504E470D0A1A0A00000000", "FFD8FFE000104A4649460001", "474946383961010001000000", "524946460000000057454250", "424D00000000000000000000", "000000186674797069736F6D", "000000146674797071742020", "1A45DFA30100000000000000", "524946460000000041564920", "0A203C68746D6C3E00000000"]
 _TYPES = ["image/png", "image/jpeg", "image/gif", "image/webp", "image/bmp", "video/mp4", "video/quicktime", "video/webm", "video/avi", "html"]
 
 
-@query("mime_sniff", "SELECT doc_id, list_extract([" + ", ".join(f"'{x}'" for x in _TYPES) + "], CAST(doc_id % 10 AS BIGINT) + 1) AS kind FROM documents")
+_HEX = f"hex(unhex(concat(list_extract([{', '.join(repr(x) for x in _MAGIC)}], CAST(doc_id % 10 AS BIGINT) + 1)[1:24 - 2 * (doc_id // 10 % 4)])) || encode(text))"
+
+
+@query("mime_sniff", f"WITH h AS (SELECT doc_id, {_HEX} AS h FROM documents), k AS (SELECT doc_id, h, h[1:24] AS a, length(h) >= 24 AS f FROM h) SELECT doc_id, CASE WHEN a LIKE '89504E470D0A1A0A%' THEN 'image/png' WHEN a LIKE 'FFD8FF%' THEN 'image/jpeg' WHEN a LIKE '474946383761%' OR a LIKE '474946383961%' THEN 'image/gif' WHEN a LIKE '52494646________57454250' THEN 'image/webp' WHEN a LIKE '424D%' THEN 'image/bmp' WHEN a LIKE '________6674797071742020%' THEN 'video/quicktime' WHEN f AND a LIKE '________66747970%' THEN 'video/mp4' WHEN a LIKE '1A45DFA3%' THEN 'video/webm' WHEN a LIKE '52494646________41564920' THEN 'video/avi' WHEN regexp_matches(h[1:400], '^(20|09|0A|0B|0C|0D)*3C') THEN 'html' END AS kind FROM k")
 def mime_sniff(spark, d):
-    data = F.unhex(F.get(F.array(*map(F.lit, _MAGIC)), (F.col("doc_id") % 10).cast("int")))
+    """First bytes of files of many kinds, whole or cut short by up to three bytes, before the documents' texts."""
+    i = F.col("doc_id")
+    head = F.substring(F.get(F.array(*map(F.lit, _MAGIC)), (i % 10).cast("int")), F.lit(1), F.lit(24) - 2 * (F.floor(i / 10) % 4).cast("int"))
+    data = F.concat(F.unhex(head), F.col("text").cast("binary"))
     return T.table(spark, d, "documents").select("doc_id", F.coalesce(S.sniff_image(data), S.sniff_video(data), F.when(S.looks_like_html(data), "html")).alias("kind"))
 
 

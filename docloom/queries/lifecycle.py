@@ -73,10 +73,12 @@ def upload_summary(spark, d):
     return C.upload_summary(T.documents(spark, d).withColumn("outcome", outcome))
 
 
-@query("health_rollup", "SELECT event_type, CASE WHEN bool_or(value > 99.5) THEN 'degraded' ELSE 'ok' END AS status FROM events GROUP BY 1")
+@query("health_rollup", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' OR value IS NULL) > 0 THEN 'degraded' ELSE 'ok' END AS status, count(*) AS checks FROM events GROUP BY 1")
 def health_rollup(spark, d):
-    rows = T.table(spark, d, "events").withColumn("status", F.when(F.col("value") > 99.5, "error").otherwise("ok"))
-    return C.health(rows.groupBy("event_type")).select("event_type", "status")
+    """Each user's events as checks, of which errors and those without a value fail."""
+    bad = (F.col("event_type") == "error") | F.col("value").isNull()
+    rows = T.table(spark, d, "events").withColumn("status", F.when(bad, "error").otherwise("ok"))
+    return C.health(rows.groupBy("user_id")).join(rows.groupBy("user_id").agg(F.count("*").alias("checks")), "user_id")
 
 
 @query("display_formats", "SELECT o_orderkey AS id, CASE WHEN k < 1024 THEN k || ' B' WHEN k < 1048576 THEN format('{:,.1f}', k / 1024) || ' KB' ELSE format('{:,.1f}', k / 1048576) || ' MB' END AS size, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at FROM (SELECT *, o_orderkey * 640 AS k FROM orders)")
@@ -84,11 +86,16 @@ def display_formats(spark, d):
     return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.byte_size(F.col("o_orderkey") * 640).alias("size"), S.iso_time(F.col("o_orderdate")).alias("at"))
 
 
-@query("answer_json", "SELECT item_id, text AS content FROM benchmark")
+@query("answer_json", "SELECT item_id, CASE WHEN item_id % 5 = 1 THEN 2 ELSE 1 END AS chunks, text AS content FROM benchmark WHERE item_id % 5 <> 3 AND item_id % 5 <> 4")
 def answer_json(spark, d):
-    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("chunks")))
-    rows = T.table(spark, d, "benchmark").select("item_id", S.json_in_text(F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\ndone"))).alias("j"))
-    return rows.where(S.has_keys(F.col("j"), ("chunks",))).select("item_id", F.from_json("j", X.ANSWER)["chunks"][0]["content"].alias("content"))
+    """Answers with JSON in a fence, in prose, alone, broken, and without the key that is asked for."""
+    one = F.struct(F.col("text").alias("content"))
+    k = F.col("item_id") % 5
+    body = F.to_json(F.struct(F.when(k == 1, F.array(one, one)).otherwise(F.array(one)).alias("chunks")))
+    answer = F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\ndone {x}"))).when(k == 1, F.concat(F.lit("It is "), body, F.lit(" as asked"))).when(k == 2, body).when(k == 3, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(F.replace(body, F.lit('"chunks"'), F.lit('"parts"')))
+    rows = T.table(spark, d, "benchmark").select("item_id", S.json_in_text(answer).alias("j"))
+    found = F.from_json("j", X.ANSWER)["chunks"]
+    return rows.where(S.has_keys(F.col("j"), ("chunks",))).select("item_id", F.size(found).alias("chunks"), found[0]["content"].alias("content"))
 
 
 @query("query_rewrite", "SELECT item_id, trim(text) AS rewritten_query, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS keywords FROM benchmark")

@@ -10,6 +10,7 @@ from docloom.functions import scalar as S
 from docloom.operators import catalog as C
 from docloom.operators import mutations as M
 from docloom.plans import ann
+from docloom.plans import evaluation as E
 from docloom.plans import extraction as X
 from docloom.plans import ingest as I
 from docloom.plans import retrieval as R
@@ -225,3 +226,28 @@ def unescaped_text(spark, d):
     """Every character of a text written as an entity of some kind, and read again."""
     text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("é"), F.lit("&eacute;")), F.lit("."), F.lit("&#46;"))
     return T.table(spark, d, "documents").select("doc_id", seams.unescape(F.replace(text, F.lit(","), F.lit("&#x2c;"))).alias("text"))
+
+
+@query("eval_run", _BOTH + f", {RQ._REL}, top AS (SELECT query_id, list(doc_id ORDER BY fused_rank) AS r FROM fused WHERE query_id % 40 <> 0 GROUP BY 1), exp AS (SELECT query_id, list(doc_id) AS e FROM rel GROUP BY 1), m AS (SELECT b.item_id AS query_id, r, e, len(list_intersect(r[1:5], e)) AS hits FROM benchmark b LEFT JOIN top ON top.query_id = b.item_id LEFT JOIN exp ON exp.query_id = b.item_id WHERE b.item_id % 20 = 0) SELECT query_id, CASE WHEN query_id % 40 = 0 THEN 'down' WHEN r IS NULL THEN 'no results' END AS error, CASE WHEN r IS NOT NULL AND e IS NOT NULL THEN round(hits / 5.0, 6) END AS precision, CASE WHEN r IS NOT NULL AND e IS NOT NULL THEN CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END END AS hit FROM m")
+def eval_run(spark, d):
+    """Searches of which some failed: their rows have an error and no metrics."""
+    queries, docs = RQ.corpus(spark, d)
+    found = R.hybrid_search(queries, docs, "doc_id", "text", debug=True)["fused"].where("query_id % 40 <> 0")
+    lists = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fused_rank", "doc_id"))), lambda x: x["doc_id"]).alias("results"))  # fusion_top_k of a query
+    asked = T.table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"))
+    results = asked.join(lists, "query_id", "left").withColumn("error", F.when(F.col("query_id") % 40 == 0, "down"))
+    labels = RQ.relevant(spark, d).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
+    return E.run(asked.join(labels, "query_id", "left"), results, 5).select("query_id", "error", "precision", "hit")
+
+
+@query("eval_summary", f"WITH {RQ._ITEMS}, p AS (SELECT doc_id, count(*) AS n FROM items GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS items, count(*) AS documents, min(n) AS least, max(n) AS most, round(avg(n), 1) AS mean FROM p")
+def eval_summary(spark, d):
+    return E.profile_summary(RQ._items(spark, d))
+
+
+@query("cjk_terms", "WITH t AS (SELECT item_id, '中文检索' || item_id || ' Mix和 ' || text AS x FROM benchmark), w AS (SELECT item_id, x, 4 + 1 AS han, 3 AS pairs, len(regexp_extract_all(lower(regexp_replace(x, '[中文检索和]+', ' ', 'g')), '[\\p{L}\\p{N}]+')) AS other FROM t) SELECT item_id, CAST(han + pairs + other AS BIGINT) AS terms, true AS pair FROM w")
+def cjk_terms(spark, d):
+    """Runs of Han characters as characters and pairs, beside words."""
+    text = F.concat(F.lit("中文检索"), F.col("item_id").cast("string"), F.lit(" Mix和 "), F.col("text"))
+    terms = seams.cjk_tokens(text)
+    return T.table(spark, d, "benchmark").select("item_id", F.size(terms).cast("bigint").alias("terms"), (F.array_contains(terms, "文检") & F.array_contains(terms, "和") & ~F.array_contains(terms, "文索")).alias("pair"))

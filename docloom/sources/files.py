@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,33 @@ def read_uris(rows: DataFrame, uri: str, fetch: dict[str, Callable[[Column], Col
     return rows.withColumns({"content": content, "error": error})
 
 
+def fetcher(get: Callable[[str, float], bytes], timeout: float = 30.0):
+    """A fetcher of http(s) URLs for read_uris: get(url, seconds) gives the bytes or raises. An empty URL, one of another
+    scheme, an empty answer and a failure give no content; fetch_errors tells why."""
+
+    @F.arrow_udf("struct<content: binary, error: string>")
+    def run(uri: pa.Array) -> pa.Array:
+        out = []
+        for u in uri.to_pylist():
+            if not u or not re.match("https?://", u):
+                out.append({"content": None, "error": f"not an http URL: {u or ''}"})
+                continue
+            try:
+                data = get(u, timeout)
+                out.append({"content": data, "error": None} if data else {"content": None, "error": "empty"})
+            except Exception as e:  # a failure is a value
+                out.append({"content": None, "error": f"{type(e).__name__}: {e}"[:2000]})
+        return pa.array(out, pa.struct([("content", pa.binary()), ("error", pa.string())]))
+
+    return run
+
+
+def download(rows: DataFrame, uri: str, get: Callable[[str, float], bytes], timeout: float = 30.0) -> DataFrame:
+    """rows with data and fetch_error of their http(s) URLs."""
+    got = rows.withColumn("__got", fetcher(get, timeout)(F.col(uri)))
+    return got.withColumns({"data": F.col("__got.content"), "fetch_error": F.col("__got.error")}).drop("__got")
+
+
 def share_page_json(html: Column, variable: str) -> Column:
     """The value of a JavaScript object in a page as JSON text: calls unwrapped, hex escapes and trailing commas mended."""
     raw = F.regexp_extract(html, rf"(?s){variable}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1)
@@ -60,8 +89,11 @@ def share_page_json(html: Column, variable: str) -> Column:
     return F.nullif(F.regexp_replace(out, r",\s*([}\]])", "$1"), F.lit(""))
 
 
-def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of evaluation files: those without a query or without any label are left out."""
+def read_eval_items(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
+    """Items of evaluation files: those without a query or without any label are left out. With a document's id, of
+    the files below path whose names begin with it."""
+    if doc_id is not None:
+        path = f"{path.rstrip('/')}/{re.sub(r'([*?{}[\]\\])', r'\\\1', doc_id)}*.json"
     rows = spark.read.option("multiLine", "true").schema("items ARRAY<STRUCT<query: STRING, expected_chunk_ids: ARRAY<STRING>, expected_content_contains: ARRAY<STRING>, doc_id: STRING, source_doc_id: STRING, doc_version: INT, source: STRING>>").json(path)
     items = rows.select(F.explode("items").alias("i")).select("i.*")
     labels = F.coalesce(F.size("expected_chunk_ids"), F.lit(0)) + F.coalesce(F.size("expected_content_contains"), F.lit(0))
