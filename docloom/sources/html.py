@@ -127,65 +127,86 @@ class _Reader:
             self.walk(node)
 
     def list(self, node: Node) -> None:
-        items = node.own("li")
-        if not items:
-            return
-        parent = self.out.add("list", "", structured_data=json.dumps({"ordered": node.name == "ol"}))
-        for item in items:
-            nested = item.own("ul", "ol")
-            item.kids = [k for k in item.kids if k not in nested]
-            text, refs = inner_text(item), self.linked(item)
+        """A list and its items in reading order, each item before the lists inside it."""
+        work: list[tuple[Node, int | None]] = [(node, None)]
+        while work:
+            node, parent = work.pop()
+            if parent is None:
+                items = node.own("li")
+                if items:
+                    parent = self.out.add("list", "", structured_data=json.dumps({"ordered": node.name == "ol"}))
+                    work += [(item, parent) for item in reversed(items)]
+                continue
+            inner = node.own("ul", "ol")
+            node.kids = [k for k in node.kids if k not in inner]
+            text, refs = inner_text(node), self.linked(node)
             if text or refs:
                 self.out.add("paragraph", text, refs, parent_seq=parent)
-            for inner in nested:
-                self.list(inner)
+            work += [(n, None) for n in reversed(inner)]
 
     def table(self, node: Node) -> None:
-        nested = [n for n in node.below() if n.name == "table"]
-        _detach(node, nested)
-        caption = next((flat(c.strings()) for c in node.own("caption")), "")
-        rows, refs = [], []
+        inner = [n for n in node.below() if n.name == "table"]
+        _detach(node, inner)
         lines = [n for n in node.below() if n.name == "tr"]
-        for line in lines:
-            cells = []
-            for cell in line.own("th", "td"):
-                own = self.linked(cell)
-                refs += own
-                cells.append({"text": inner_text(cell), "metadata": {"tag": cell.name, "rowspan": span_of(cell, "rowspan"), "colspan": span_of(cell, "colspan")}})
-            if cells:
-                rows.append(cells)
-        if rows:
-            head = node.find("thead")
-            first = head.find("tr") if head else None
-            at = min(lines.index(first), len(rows) - 1) if first in lines else 0
-            headers, body = [c["text"] for c in rows[at]], rows[:at] + rows[at + 1 :]
-            table = {"table": {"caption": caption, "headers": [{"text": h} for h in headers], "rows": [{"cells": r} for r in body], "metadata": {"row_count": len(rows), "header_row_index": at}}}
-            shown = [caption, " | ".join(headers), *(" | ".join(c["text"] for c in r) for r in body)]
-            self.out.add("table", "\n".join(x for x in shown if x.strip()), list({n: (p, n) for p, n in reversed(refs)}.values())[::-1], structured_data=json.dumps(table, ensure_ascii=False))
-        for inner in nested:
-            self.table(inner)
+        grid = [cells for cells in (line.own("th", "td") for line in lines) if cells]
+        if grid:
+            caption = " ".join(flat(c.strings()) for c in node.own("caption")[:1])
+            self.out.add("table", **_table_parts(caption, grid, _header_place(node, lines, len(grid))), refs=_once(ref for row in grid for cell in row for ref in self.linked(cell)))
+        for n in inner:
+            self.table(n)
 
     def linked(self, node: Node) -> list[tuple[str, int]]:
         """References of the resources in a tag and of video URLs in its text, each asset once."""
-        refs = [r for n in node.below() if n.name in RESOURCES for r in self.resource(n)]
-        refs += [("", self.out.asset("video_link", url)) for url in HTTP.findall(flat(node.strings())) if is_video(url)]
-        return list({n: (p, n) for p, n in reversed(refs)}.values())[::-1]
+        refs = [r for n in node.below() for r in self.resource(n)]
+        return _once([*refs, *(("", self.out.asset("video_link", url)) for url in HTTP.findall(flat(node.strings())) if is_video(url))])
 
     def resource(self, node: Node) -> list[tuple[str, int]]:
-        url = node.attrs.get({"a": "href", "object": "data"}.get(node.name, "src"), "").strip()
-        if not url:
-            return []
-        url, label = absolute(url, self.base), ""
-        if node.name == "img":
-            label = node.attrs.get("alt", "")
-            kind = text_type(label) if label else "image_link"
-        elif node.name in ("video", "source") or node.name == "iframe" and is_video(url):
-            kind = "video_link"
-        elif node.name in ("iframe", "embed", "object") or is_attachment(url):
-            kind = "document_link"
-        else:
+        """The reference of a tag that stands for something elsewhere; none for other tags and links to pages."""
+        place = node.attrs.get(ADDRESS.get(node.name, ""), "").strip()
+        if not place:
             return []
-        return [(self.out.placeholder(kind), self.out.asset(kind, url, label))]
+        url = absolute(place, self.base)
+        label = node.attrs.get("alt", "") if node.name == "img" else ""
+        kind = asset_kind(node.name, url, label)
+        return [(self.out.placeholder(kind), self.out.asset(kind, url, label))] if kind else []
+
+
+#: The attribute that holds the address of what a tag stands for.
+ADDRESS = dict.fromkeys(("img", "video", "source", "iframe", "embed"), "src") | {"a": "href", "object": "data"}
+
+
+def asset_kind(tag: str, url: str, label: str) -> str | None:
+    """Type of asset: a picture's by its text, films by their tag or frame, frames and attachments as documents."""
+    if tag == "img":
+        return text_type(label) if label else "image_link"
+    film = {"video": True, "source": True, "iframe": is_video(url)}.get(tag, False)
+    framed = tag in ("iframe", "embed", "object")
+    return "video_link" if film else "document_link" if framed or is_attachment(url) else None
+
+
+def _once(refs) -> list[tuple[str, int]]:
+    """References without repeated assets; the first of each counts."""
+    out: dict[int, tuple[str, int]] = {}
+    for mark, asset in refs:
+        out.setdefault(asset, (mark, asset))
+    return [*out.values()]
+
+
+def _header_place(node: Node, lines: list[Node], rows: int) -> int:
+    """Which row holds the headers: the first line of a head, if it has one, else the first."""
+    head = node.find("thead")
+    first = head.find("tr") if head else None
+    return min(next((i for i, line in enumerate(lines) if line is first), 0), rows - 1)
+
+
+def _table_parts(caption: str, grid: list[list[Node]], at: int) -> dict:
+    """Text and data of a table whose headers are in row ``at``."""
+    texts = [[inner_text(cell) for cell in row] for row in grid]
+    cells = [[{"text": t, "metadata": {"tag": cell.name, "rowspan": span_of(cell, "rowspan"), "colspan": span_of(cell, "colspan")}} for t, cell in zip(own, row, strict=True)] for own, row in zip(texts, grid, strict=True)]
+    rest = [i for i in range(len(grid)) if i != at]
+    data = {"caption": caption, "headers": [{"text": t} for t in texts[at]], "rows": [{"cells": cells[i]} for i in rest], "metadata": {"row_count": len(grid), "header_row_index": at}}
+    shown = [caption, *(" | ".join(texts[i]) for i in (at, *rest))]
+    return {"text": "\n".join(line for line in shown if line.strip()), "structured_data": json.dumps({"table": data}, ensure_ascii=False)}
 
 
 def _detach(node: Node, gone: list[Node]) -> None:
@@ -195,18 +216,13 @@ def _detach(node: Node, gone: list[Node]) -> None:
 
 
 def language_of(node: Node | None) -> str | None:
-    for c in node.attrs.get("class", "").split() if node else []:
-        for mark in ("language-", "lang-"):
-            if c.startswith(mark):
-                return c[len(mark) :]
-    return None
+    found = re.search(r"(?:^|\s)lang(?:uage)?-(\S*)", node.attrs.get("class", "")) if node else None
+    return found[1] if found else None
 
 
 def span_of(node: Node, name: str) -> int:
-    try:
-        return max(1, int(node.attrs.get(name) or 1))
-    except ValueError:
-        return 1
+    digits = re.fullmatch(r"\s*\+?(\d+)\s*", node.attrs.get(name, ""))
+    return max(1, int(digits[1])) if digits else 1
 
 
 def parse_html(content: bytes, base: str = "") -> dict:
