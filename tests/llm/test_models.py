@@ -71,6 +71,26 @@ def test_language_edge_cases(spark):
     assert {r.got.lang_pred for r in odd.select(lang_id.identify("text", none, spark).alias("got")).collect()} == {"und"}
 
 
+def test_ties_between_languages_go_to_the_first(spark):
+    rows = [(i, "the same words for all of us", lang) for i in range(20) for lang in ("bb", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = lang_id.train(df, "doc_id", "text", "lang")
+    got = spark.createDataFrame([("the same words",)] * 2, "text string").select(lang_id.identify("text", models, spark).alias("g")).collect()
+    assert [(r.g.lang_pred, r.g.score) for r in got] == [("aa", 0.5)] * 2
+
+
+def test_an_odd_calibration_text_does_not_let_others_pass(spark):
+    random.seed(9)
+    say = lambda words, n: " ".join(random.choice(words.split()) for _ in range(n))
+    rows = [(i, say("the quick brown fox and the lazy dog of a man", 40), "en") for i in range(300)]
+    odd = [(1000 + i, say("zxq vwk jjq qzz xkk", 30), "en") for i in range(3)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    for extra in (df, df.where("doc_id < 1000")):
+        models = lang_id.train(extra, "doc_id", "text", "lang")
+        got = spark.createDataFrame([("bcd fgh jkl mnp rst vwx " * 8,), ("the lazy fox and a man of the quick dog",)], "text string").select(lang_id.identify("text", models, spark).alias("g")).collect()
+        assert [r.g.rejected for r in got] == [True, False]
+
+
 def test_a_language_of_few_long_texts_is_learned(spark):
     say = lambda words, n: " ".join(random.choice(words.split()) for _ in range(n))
     random.seed(2)

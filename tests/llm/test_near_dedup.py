@@ -143,6 +143,16 @@ def test_one_of_each_group_stays(spark):
     assert all(r.more == (r.doc_id and r.doc_id * 2) for r in got)
 
 
+def test_long_texts_ties_and_clashing_names(spark):
+    long = " ".join(f"w{i * 7919 % 200003}" for i in range(150000))
+    rows = [(7, long), (5, long + " end"), (5, long + " end"), (3, "other " + long[: len(long) // 2]), (9, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (8, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, row string, rest string, root string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 8, False)]
+    kept = N.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 5, 8] and {(r.row, r.rest, r.root) for r in kept} == {("x", "y", "z")}
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
