@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, lifecycle, parsing, retrieval, sequence, service
+from docloom.queries import catalog, details, lifecycle, parsing, retrieval, sequence, service
 
 
 def _parts():
-    return (catalog, lifecycle, sequence, retrieval, parsing, service)
+    return (catalog, lifecycle, sequence, retrieval, parsing, service, details)
 
 
 def queries() -> dict:
