@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,26 @@ def trim_memory() -> None:
     _trimmer()(0)
 
 
+def trim_driver(spark: SparkSession, collect: bool = False) -> None:
+    """Has the driver's JVM give native memory that it no longer uses back to the system, as far as it can.
+
+    Plans, their compilation and the threads of exchanges leave much of it behind. With
+    ``collect`` garbage goes first, and with it the broadcasts and shuffles of finished plans.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    if collect:
+        gc.collect()
+        jvm.System.gc()
+    with contextlib.suppress(Exception):  # a JVM without this command keeps its memory
+        of = jvm.java.lang.Class.forName
+        kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = of(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    trim_memory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder; nothing happens if it is already gone."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,6 +107,7 @@ class Scratch:
     def __exit__(self, *exc) -> None:
         for name in [n for n in self.paths if n not in self.kept]:
             self.drop(name)
+        trim_driver(self.spark, collect=True)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -95,6 +117,7 @@ class Scratch:
         if keep:
             self.kept.add(name)
         df.write.options(**{"compression": "zstd"} | options).mode("overwrite").parquet(self.path(name))
+        trim_driver(self.spark)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
