@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalar import basename, iso_time, total_pages, truncate
@@ -257,6 +258,19 @@ def health(checks) -> DataFrame:
     return checks.agg(F.when(F.bool_or(F.col("status") == "error"), "degraded").otherwise("ok").alias("status"))
 
 
+def probe(spark: SparkSession, checks: dict[str, Callable[[], object]]) -> DataFrame:
+    """(service, status, error, seconds): each check is called once; one that raises is an error, told in 200 characters."""
+    rows = []
+    for name, check in checks.items():
+        began, error = time.perf_counter(), None
+        try:
+            check()
+        except Exception as e:  # a service that is down is a row
+            error = f"{type(e).__name__}: {e}"[:200]
+        rows.append((name, "error" if error else "ok", error, round(time.perf_counter() - began, 3)))
+    return spark.createDataFrame(rows, "service string, status string, error string, seconds double")
+
+
 def latest_active_job(jobs: DataFrame) -> DataFrame:
     """Of each document the latest job that is queued or being processed."""
     w = Window.partitionBy("doc_id").orderBy(F.col("created_at").desc(), F.col("job_id").desc())

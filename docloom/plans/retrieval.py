@@ -193,7 +193,7 @@ def hybrid_search(queries: DataFrame, items: DataFrame, id_col: str, text: str,
     """
     if where is not None:
         items = items.where(where)
-    dense = vector_topk(queries, items.where(F.col(vector).isNotNull()), config.vector_top_k, id_col, vector)
+    dense = vector_topk(queries.where(F.col(vector).isNotNull()), items.where(F.col(vector).isNotNull()), config.vector_top_k, id_col, vector)
     words = bm25_topk(queries, items, config.bm25_top_k, id_col, text, config) if hybrid else dense.limit(0)
     fused = fused_topk(rrf(dense, words, id_col, config.rrf_k), config.fusion_top_k, id_col)
     if scorer is None:
@@ -264,68 +264,138 @@ def checked_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
     return rows.withColumn(vector, ok)
 
 
-def pair_similarities(queries: DataFrame, items: DataFrame, item_id: str, by: str, vector: str = "embedding", same: bool = True) -> DataFrame:
-    """Cosine of every pair of a query (query_id, by, vector) and an item (item_id, by, vector) of equal ``by``.
+#: Bins of width 1 / BINS that similarities from -1 to 1 are counted in.
+BINS = 1000
 
-    With same, (by, similarity, pairs): how often each similarity, rounded to 6 digits, was met
-    by a task; an item of a query's own id is no pair, and two that are both queries are one.
-    Without, (query_id, similarity): of each task's items of another ``by``, the greatest.
-    Queries are broadcast in blocks; items stay where they are.
+
+def pair_summary(queries: DataFrame, items: DataFrame, item_id: str, by: str, vector: str = "embedding") -> DataFrame:
+    """(by, pairs, mean, median, std, min, max, ge_90) of the cosines, rounded to 6 digits, of every pair of a query
+    (query_id, by, vector) and an item (item_id, by, vector) of equal ``by``.
+
+    An item of a query's own id is no pair, and two that are both queries are one. Two passes: tasks
+    count similarities in bins, with their sums; then they count the single values in the bins of the
+    middle only, two for each ``by``. So a task passes on a bounded number of rows for each ``by``.
     """
-    spark, fields = queries.sparkSession, {f.name: f.dataType.simpleString() for f in queries.schema}
-    asked = queries.where(F.col("query_id").isNotNull() & F.col(by).isNotNull()).select("query_id", by, F.col(vector).cast("array<double>").alias("v"))
-    rows = items.where(F.col(item_id).isNotNull() & F.col(by).isNotNull()).join(queries.select(F.col("query_id").alias(item_id), F.lit(True).alias("__asked")).distinct(), item_id, "left").select(item_id, by, F.col(vector).cast("array<double>"), F.coalesce("__asked", F.lit(False)).alias("asked"))
+    counted = cut(_pairs_by(queries, items, item_id, by, vector, None).groupBy(by, "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("ge_90").alias("ge_90")))
+    mean = F.sum("total") / F.sum("n")
+    figures = counted.groupBy(by).agg(F.sum("n").alias("pairs"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("squares") / F.sum("n") - mean * mean, F.lit(0.0))).alias("std"), F.min("low").alias("min"), F.max("high").alias("max"), F.sum("ge_90").alias("ge_90"))
+    w = Window.partitionBy(by).orderBy("bin")
+    placed = counted.withColumn("upto", F.sum("n").over(w)).join(figures.select(by, "pairs"), by)
+    one, two = F.floor((F.col("pairs") + 1) / 2), F.floor(F.col("pairs") / 2) + 1
+    bins = placed.where(((F.col("upto") >= one) & (F.col("upto") - F.col("n") < one)) | ((F.col("upto") >= two) & (F.col("upto") - F.col("n") < two))).select(by, "bin", (F.col("upto") - F.col("n")).alias("before"))
+    wanted: dict = {}
+    for r in bins.collect():  # two rows for each by
+        wanted.setdefault(r[by], set()).add(r["bin"])
+    values = _pairs_by(queries, items, item_id, by, vector, wanted).groupBy(by, "bin", "similarity").agg(F.sum("n").alias("n"))
+    values = values.join(bins, [by, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(by, "bin").orderBy("similarity"))).join(figures.select(by, "pairs"), by)
+    at = lambda x: F.min(F.when(F.col("upto") >= x, F.col("similarity")))
+    median = values.groupBy(by).agg(((at(one) + at(two)) / 2).alias("median"))
+    return figures.join(median, by).select(by, "pairs", F.round("mean", SCALE).alias("mean"), F.round("median", SCALE).alias("median"), F.round("std", SCALE).alias("std"), "min", "max", "ge_90")
+
+
+def _asked(queries: DataFrame, by: str, vector: str) -> Iterator[tuple]:
+    """Broadcasts of the queries' ids, groups and unit vectors, a block at a time."""
+    rows = queries.where(F.col("query_id").isNotNull() & F.col(by).isNotNull()).select("query_id", by, F.col(vector).cast("array<double>").alias("v"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast((own.column(0).combine_chunks(), own.column(1).combine_chunks(), _unit(_matrix(own.column(2)))))
-        found = rows.mapInArrow(_similar(sent, same), f"{by} {fields[by]}, similarity double, pairs bigint" if same else f"query_id {fields['query_id']}, similarity double")
-        if blocks > 1:
+        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        yield queries.sparkSession.sparkContext.broadcast((own.column(0).combine_chunks(), own.column(1).combine_chunks(), _unit(_matrix(own.column(2))))), blocks > 1
+
+
+def _pairs_by(queries: DataFrame, items: DataFrame, item_id: str, by: str, vector: str, wanted: dict | None) -> DataFrame:
+    """Counts of similarities by bin, or, for the wanted bins, by value."""
+    kind = queries.schema[by].dataType.simpleString()
+    both = queries.select(F.col("query_id").alias(item_id), F.lit(True).alias("__asked")).distinct()
+    rows = items.where(F.col(item_id).isNotNull() & F.col(by).isNotNull()).join(both, item_id, "left").select(item_id, by, F.col(vector).cast("array<double>"), F.coalesce("__asked", F.lit(False)).alias("asked"))
+    out = None
+    for sent, several in _asked(queries, by, vector):
+        more = "total double, squares double, low double, high double, ge_90 bigint" if wanted is None else "similarity double"
+        found = rows.mapInArrow(_binned(sent, by, wanted), f"{by} {kind}, bin bigint, n bigint, {more}")
+        if several:
             found = cut(found)
             sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _similar(sent, same: bool) -> Callable:
+def _binned(sent, by: str, wanted: dict | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, groups, queries = sent.value
         ids, kinds = names.to_numpy(zero_copy_only=False), groups.to_numpy(zero_copy_only=False)
-        best = np.full(len(ids), -np.inf)
+        held: dict = {}  # of each group: sums by bin, or counts by value
         for batch in batches:
-            for i in range(0, len(batch) if len(ids) else 0, 1024):
-                part = batch.slice(i, 1024)
-                item, kind = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                scores = np.round(queries @ _unit(_matrix(part.column(2))).T, SCALE) + 0.0
-                equal = kinds[:, None] == kind[None, :]
-                if not same:
-                    best = np.maximum(best, np.where(equal, -np.inf, scores).max(1))
-                    continue
-                both = part.column(3).to_numpy(zero_copy_only=False)
-                use = equal & np.where(both[None, :], ids[:, None] < item[None, :], True)
+            for i in range(0, len(batch) if len(ids) else 0, TILE):
+                part = batch.slice(i, TILE)
+                item, kind, both = (part.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 3))
                 for k in np.unique(kind):
-                    values, n = np.unique(scores[use & (kind == k)[None, :]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(values), groups.type), pa.array(values), pa.array(n, pa.int64())], ["by", "similarity", "pairs"])
-        if not same:
-            met = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([names.filter(pa.array(met)), pa.array(best[met])], ["query_id", "similarity"])
+                    mine, theirs = kinds == k, kind == k
+                    if not mine.any():
+                        continue
+                    scores = np.round(queries[mine] @ _unit(_matrix(part.column(2).filter(pa.array(theirs)))).T, SCALE) + 0.0
+                    use = np.where(both[theirs][None, :], ids[mine][:, None] < item[theirs][None, :], True)
+                    _count(held.setdefault(k, {}), scores[use], None if wanted is None else wanted.get(k, set()))
+        for k, bins in held.items():
+            rows = sorted(bins.items())
+            keys = [x for x, _ in rows] if wanted is None else [_bin(np.array([x]))[0] for x, _ in rows]
+            columns = [pa.array([k] * len(rows), groups.type), pa.array(keys, pa.int64())]
+            if wanted is None:
+                columns += [pa.array([int(v[0]) for _, v in rows], pa.int64()), *(pa.array([float(v[j]) for _, v in rows]) for j in (1, 2, 3, 4)), pa.array([int(v[5]) for _, v in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [by, "bin", "n", "total", "squares", "low", "high", "ge_90"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([int(v) for _, v in rows], pa.int64()), pa.array([float(x) for x, _ in rows])], [by, "bin", "n", "similarity"])
 
     return run
 
 
-def weighted_summary(pairs: DataFrame, by: str) -> DataFrame:
-    """similarity_summary of (by, similarity, pairs), where ``pairs`` pairs have a similarity."""
-    s, n = F.col("similarity"), F.col("pairs")
-    w = Window.partitionBy(by).orderBy("similarity")
-    counted = pairs.groupBy(by, "similarity").agg(F.sum("pairs").alias("pairs"))
-    figures = counted.groupBy(by).agg(F.sum("pairs").alias("all"), (F.sum(s * n) / F.sum("pairs")).alias("m"), F.min(s).alias("min"), F.max(s).alias("max"), F.coalesce(F.sum(F.when(s >= 0.9, n)), F.lit(0)).alias("ge_90"))
-    placed = counted.withColumn("to", F.sum("pairs").over(w)).join(figures.select(by, "all", "m"), by)
-    # Of the middle pair, or the two middle ones.
-    middle = lambda x: F.min(F.when(F.col("to") >= x, s))
-    half = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
-    rest = placed.groupBy(by).agg(((middle(half[0]) + middle(half[1])) / 2).alias("median"), F.sqrt(F.sum(n * (s - F.col("m")) * (s - F.col("m"))) / F.sum("pairs")).alias("std"))
-    return figures.join(rest, by).select(by, F.col("all").alias("pairs"), F.round("m", SCALE).alias("mean"), F.round("median", SCALE).alias("median"), F.round("std", SCALE).alias("std"), "min", "max", "ge_90")
+def _bin(scores: np.ndarray) -> np.ndarray:
+    return np.floor(scores * BINS + 1e-9).astype(np.int64)
+
+
+def _count(held: dict, scores: np.ndarray, wanted: set | None) -> None:
+    bins = _bin(scores)
+    if wanted is not None:
+        values, n = np.unique(scores[np.isin(bins, [*wanted])], return_counts=True)
+        for x, c in zip(values.tolist(), n.tolist(), strict=True):
+            held[x] = held.get(x, 0) + c
+        return
+    keys, which = np.unique(bins, return_inverse=True)
+    low, high = np.full(len(keys), np.inf), np.full(len(keys), -np.inf)
+    np.minimum.at(low, which, scores)
+    np.maximum.at(high, which, scores)
+    sums = np.bincount(which), np.bincount(which, scores), np.bincount(which, scores * scores), low, high, np.bincount(which, scores >= 0.9)
+    for j, key in enumerate(keys.tolist()):
+        new, old = [x[j] for x in sums], held.get(key)
+        held[key] = new if old is None else [old[0] + new[0], old[1] + new[1], old[2] + new[2], min(old[3], new[3]), max(old[4], new[4]), old[5] + new[5]]
+
+
+def nearest_of_others(queries: DataFrame, items: DataFrame, item_id: str, by: str, vector: str = "embedding") -> DataFrame:
+    """(query_id, similarity): the greatest cosine, rounded to 6 digits, of each query (query_id, by, vector) to the
+    items of another ``by``. Queries are broadcast in blocks; a task passes on one row for each query."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows, out = items.where(F.col(item_id).isNotNull() & F.col(by).isNotNull()).select(by, F.col(vector).cast("array<double>")), None
+
+    def best_of(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, groups, queries = sent.value
+            kinds, best = groups.to_numpy(zero_copy_only=False), np.full(len(names), -np.inf)
+            for batch in batches:
+                for i in range(0, len(batch) if len(names) else 0, TILE):
+                    part = batch.slice(i, TILE)
+                    scores = np.round(queries @ _unit(_matrix(part.column(1))).T, SCALE) + 0.0
+                    other = kinds[:, None] != part.column(0).to_numpy(zero_copy_only=False)[None, :]
+                    best = np.maximum(best, np.where(other, scores, -np.inf).max(1))
+            met = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(met)), pa.array(best[met])], ["query_id", "similarity"])
+
+        return run
+
+    for sent, several in _asked(queries, by, vector):
+        found = rows.mapInArrow(best_of(sent), f"query_id {kind}, similarity double")
+        if several:
+            found = cut(found)
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query_id").agg(F.max("similarity").alias("similarity"))
 
 
 def similarity_summary(pairs, score: str = "similarity") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom import seams
-from docloom.functions.vectors import cosine
 from docloom.operators import dedup as D
 from docloom.plans import evaluation as E
 from docloom.plans import retrieval as R
@@ -55,27 +54,15 @@ def post_filter_topk(spark, d):
     return R.post_filter(ranked, F.col("label") == 2, 5).select("query_id", "vec_id", "score", "rank", "total_count")
 
 
-_PAIRS = f"WITH {_VEC}, p AS (SELECT q.label, {_COS} AS similarity FROM vecs q JOIN vecs i ON i.label = q.label AND i.vec_id > q.vec_id AND i.vec_id % 20 = 0 AND q.vec_id % 20 = 0)"
-
-
-@query("pairwise_similarity_stats", _PAIRS + " SELECT label, count(*) AS pairs, round(avg(similarity), 6) AS mean, round(median(similarity), 6) AS median, round(stddev_pop(similarity), 6) AS std, min(similarity) AS min, max(similarity) AS max, count(*) FILTER (WHERE similarity >= 0.9) AS ge_90 FROM p GROUP BY label")
-def pairwise_similarity_stats(spark, d):
-    """Pairs within a label of the vectors that searches ask for."""
-    rows = T.table(spark, d, "embeddings").where("vec_id % 20 = 0")
-    a, b = rows.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), rows.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "label").where("a < b").select("label", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    return R.similarity_summary(pairs.groupBy("label")).select("label", "pairs", "mean", "median", "std", "min", "max", "ge_90")
-
-
 _ALL_PAIRS = f"WITH {_VEC}, p AS (SELECT q.label, {_COS} AS similarity FROM vecs q JOIN vecs i ON i.label = q.label AND q.vec_id % 20 = 0 AND (i.vec_id > q.vec_id OR i.vec_id % 20 <> 0))"
 
 
-@query("pairwise_similarity_stats_all", _ALL_PAIRS + " SELECT label, count(*) AS pairs, round(avg(similarity), 6) AS mean, round(median(similarity), 6) AS median, round(stddev_pop(similarity), 6) AS std, min(similarity) AS min, max(similarity) AS max, count(*) FILTER (WHERE similarity >= 0.9) AS ge_90 FROM p GROUP BY label")
-def pairwise_similarity_stats_all(spark, d):
+@query("pairwise_similarity_stats", _ALL_PAIRS + " SELECT label, count(*) AS pairs, round(avg(similarity), 6) AS mean, round(median(similarity), 6) AS median, round(stddev_pop(similarity), 6) AS std, min(similarity) AS min, max(similarity) AS max, count(*) FILTER (WHERE similarity >= 0.9) AS ge_90 FROM p GROUP BY label")
+def pairwise_similarity_stats(spark, d):
     """Pairs of the vectors that searches ask for with every vector of their label."""
     rows = T.table(spark, d, "embeddings")
     queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return R.weighted_summary(R.pair_similarities(queries, rows, "vec_id", "label"), "label")
+    return R.pair_summary(queries, rows, "vec_id", "label")
 
 
 @query("cross_label_max_similarity", f"WITH {_VEC} SELECT q.vec_id AS query_id, max({_COS}) AS similarity FROM vecs q JOIN vecs i ON i.label <> q.label AND q.vec_id % 20 = 0 GROUP BY 1")
@@ -83,7 +70,7 @@ def cross_label_max_similarity(spark, d):
     """The greatest similarity of each vector that searches ask for to those of other labels."""
     rows = T.table(spark, d, "embeddings")
     queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return R.pair_similarities(queries, rows, "vec_id", "label", same=False).groupBy("query_id").agg(F.max("similarity").alias("similarity"))
+    return R.nearest_of_others(queries, rows, "vec_id", "label")
 
 
 _WORDS = "words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), post AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM words), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM post GROUP BY 1, 2)"
@@ -109,7 +96,7 @@ def corpus(spark, d):
     """Documents with the embedding of the same id, and queries with that of theirs."""
     vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = T.table(spark, d, "documents").select("doc_id", "text", "lang").join(vectors, "doc_id", "left")
-    asked_ = asked(spark, d).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    asked_ = asked(spark, d).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
     return asked_, docs
 
 

@@ -169,6 +169,12 @@ def test_cells_that_no_run_holds_together(spark):
     assert got == {("s", 1, 2, 1, 2), ("s", 4, 4, 1, 2), ("s", 9, 9, 9, 9), (None, 5, 5, 5, 5)}
 
 
+def test_probes(spark):
+    rows = catalog.probe(spark, {"a": lambda: 1, "b": lambda: 1 / 0})
+    assert [(r.service, r.status, r.error) for r in rows.collect()] == [("a", "ok", None), ("b", "error", "ZeroDivisionError: division by zero")]
+    assert catalog.health(rows).first().status == "degraded" and catalog.health(rows.where("service = 'a'")).first().status == "ok"
+
+
 def test_stored_rows(spark):
     from docloom.functions import codecs
 

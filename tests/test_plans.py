@@ -81,9 +81,9 @@ def test_layout(spark):
 def test_pairs_of_queries_with_all_rows(spark):
     rows = spark.range(100).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("int").alias("label"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    got = R.weighted_summary(R.pair_similarities(queries, rows, "vec_id", "label"), "label").collect()
+    got = R.pair_summary(queries, rows, "vec_id", "label").collect()
     assert [(r.label, r.pairs) for r in got] == [(0, 5 * 45 + 10)]
-    assert R.pair_similarities(queries, rows, "vec_id", "label", same=False).select("query_id").distinct().count() == 5
+    assert R.nearest_of_others(queries, rows, "vec_id", "label").select("query_id").distinct().count() == 5
 
 
 def test_model_answers_are_asked_for_again(spark):
