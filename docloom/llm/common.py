@@ -88,11 +88,26 @@ def remove(spark: SparkSession, path: str) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Folders that operators have left for plans that still read them.
+_LEFT: list[str] = []
+
+
+@contextlib.contextmanager
+def removing_left(spark: SparkSession):
+    """On leaving, removes the tables that operators inside kept for their lazy results: those must be written by then."""
+    before = len(_LEFT)
+    yield
+    for path in _LEFT[before:]:
+        remove(spark, path)
+    del _LEFT[before:]
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage or to be read more than once.
 
     Lost executors cost nothing that has been written. ``drop`` removes a table that
-    no remaining plan reads; leaving the ``with`` block removes all but those kept.
+    no remaining plan reads; leaving the ``with`` block removes all but those kept, which
+    lazy results still read: ``removing_left`` removes them once the results are written.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -107,6 +122,7 @@ class Scratch:
     def __exit__(self, *exc) -> None:
         for name in [n for n in self.paths if n not in self.kept]:
             self.drop(name)
+        _LEFT.extend(self.paths.values())
         trim_driver(self.spark, collect=True)
 
     def path(self, name: str) -> str:

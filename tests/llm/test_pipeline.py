@@ -42,6 +42,7 @@ def test_odd_documents_pass_every_stage(spark, sf001):
         for _, stage in C.STAGES[:-1]:
             after = stage(spark, docs, sf001)
             assert after.columns == odd.columns
+            assert {(r.row, r.n_lines, r.ids, r.id) for r in after.collect()} <= {("x", "y", None, "z")}
             after = spark.createDataFrame(after.collect(), odd.schema)
             assert after.count() <= docs.count()
         last = C.STAGES[-1][1](spark, docs, sf001).collect()
