@@ -21,6 +21,8 @@ QUERY_BLOCK, TILE = 1024, 1024
 SCALE = 6
 #: Terms of queries up to which the postings' scan is filtered by a list.
 LITERAL_TERMS = 1000
+#: Pairs of a query and a term that are broadcast.
+ASKED_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -115,21 +117,33 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str, text: st
     Only terms of the queries are counted, so nothing but their postings is exchanged. For more
     than one search of the same documents, store their postings: write_bm25_index.
     """
-    words = docs.select(id_col, tokenize(F.col(text)).alias("__words"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("__words")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    rows = words.select(id_col, F.size("__words").alias("dl"), F.explode("__words").alias("term"))
-    rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
+    words, few = docs.select(id_col, tokenize(F.col(text)).alias("__words")), _few_terms(asked)
+    if few is not None:  # one pass over the texts, of which a document's length and the asked words are left
+        rows = cut(words.select(id_col, F.size("__words").alias("dl"), F.filter("__words", lambda x: x.isin(few) if few else F.lit(False)).alias("hits")))
+        stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        rows = rows.select(id_col, "dl", F.explode("hits").alias("term"))
+    else:
+        stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("__words")).alias("avgdl"))
+        rows = words.select(id_col, F.size("__words").alias("dl"), F.explode("__words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return _scored(asked, tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats, k, id_col, config)
+    return _scored(asked, tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats, k, id_col, config, few is not None)
 
 
-def _scored(asked: DataFrame, tf: DataFrame, df: DataFrame, stats: DataFrame, k: int, id_col: str, config: SearchConfig) -> DataFrame:
+def _few_terms(asked: DataFrame) -> list[str] | None:
+    """The distinct terms of the queries, or None if there are more than LITERAL_TERMS."""
+    terms = [r["term"] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    return terms if len(terms) <= LITERAL_TERMS else None
+
+
+def _scored(asked: DataFrame, tf: DataFrame, df: DataFrame, stats: DataFrame, k: int, id_col: str, config: SearchConfig, few: bool) -> DataFrame:
+    """Scores of postings. With few terms their counts and askers are broadcast, so a frequent term's postings stay where they are."""
+    small = F.broadcast if few and asked.count() <= ASKED_TERMS else lambda x: x
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = tf.join(df, "term").join(F.broadcast(stats))  # one row
+    weight = tf.join(small(df), "term").join(F.broadcast(stats))  # one row
     part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
     weight = weight.select("term", id_col, part.alias("part"))
-    scores = asked.join(weight, "term").groupBy("query_id", id_col).agg(F.round(F.sum("part"), SCALE).alias("score"))
+    scores = weight.join(small(asked), "term").groupBy("query_id", id_col).agg(F.round(F.sum("part"), SCALE).alias("score"))
     return rank(scores, k, F.col("score").desc(), F.col(id_col))
 
 
@@ -153,13 +167,12 @@ def search_bm25_index(queries: DataFrame, path: str, k: int, id_col: str, config
     spark = queries.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     stats, terms, tf = (spark.read.parquet(f"{path}/{name}") for name in ("stats", "terms", "postings"))
-    wanted = asked.select("term").distinct()
-    few = [r["term"] for r in wanted.limit(LITERAL_TERMS + 1).collect()]
-    if len(few) <= LITERAL_TERMS:
+    few = _few_terms(asked)
+    if few is not None:
         terms, tf = (x.where(F.col("term").isin(few)) for x in (terms, tf))
     else:
-        terms, tf = (x.join(wanted, "term", "left_semi") for x in (terms, tf))
-    return _scored(asked, tf, terms, stats, k, id_col, config)
+        terms, tf = (x.join(asked.select("term").distinct(), "term", "left_semi") for x in (terms, tf))
+    return _scored(asked, tf, terms, stats, k, id_col, config, few is not None)
 
 
 # -- fusion
@@ -186,15 +199,23 @@ def rerank(candidates: DataFrame, score: Column, k: int, id_col: str) -> DataFra
     return rank(scored, k, F.col("score").desc(), F.coalesce("rerank", F.lit(0.0)).desc(), F.col("fused_rank")).drop("__all")
 
 
-def hybrid_search(queries: DataFrame, items: DataFrame, id_col: str, text: str, vector: str = "embedding", config: SearchConfig = SearchConfig(), hybrid: bool = True, scorer: Callable[[Column, Column], Column] | None = None, where: Column | None = None, debug: bool = False):
+def hybrid_search(queries: DataFrame, items: DataFrame, id_col: str, text: str, vector: str = "embedding", config: SearchConfig = SearchConfig(), hybrid: bool = True, scorer: Callable[[Column, Column], Column] | None = None, where: Column | None = None, debug: bool = False, bm25_index: str | None = None):
     """Queries (query_id, query, vector) over items: dense and BM25 lists, fusion, optional reranking, the final list.
 
-    where filters items before ranking. With debug a dict of the DataFrame of each stage.
+    where filters items before ranking. bm25_index is the folder of stored postings of all items, which are searched
+    instead of the texts (then without where). With debug a dict of the DataFrame of each stage.
     """
     if where is not None:
+        if bm25_index:
+            raise ValueError("stored postings are of all items: filter their results instead")
         items = items.where(where)
     dense = vector_topk(queries.where(F.col(vector).isNotNull()), items.where(F.col(vector).isNotNull()), config.vector_top_k, id_col, vector)
-    words = bm25_topk(queries, items, config.bm25_top_k, id_col, text, config) if hybrid else dense.limit(0)
+    if not hybrid:
+        words = dense.limit(0)
+    elif bm25_index:
+        words = search_bm25_index(queries, bm25_index, config.bm25_top_k, id_col, config)
+    else:
+        words = bm25_topk(queries, items, config.bm25_top_k, id_col, text, config)
     fused = fused_topk(rrf(dense, words, id_col, config.rrf_k), config.fusion_top_k, id_col)
     if scorer is None:
         final = rerank(fused, F.lit(None).cast("double"), config.final_top_k, id_col)
