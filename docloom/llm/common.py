@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -15,28 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.store import shared_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where none is named and everything runs in one process (tests), a temporary folder is
-    chosen once and recorded in the same setting; on a cluster that is an error.
-    """
-    for conf in (spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.conf.get("spark.checkpoint.dir", "")):
-        if conf:
-            return conf.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores before it until no column has it (in any case)."""
     taken, out = {c.lower() for c in columns}, []
@@ -112,7 +95,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/docloom-{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.kept: set[str] = set()
 

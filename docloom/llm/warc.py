@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, shared_dir, utf8_buffer
+from docloom.llm.common import Scratch, utf8_buffer
+from docloom.store import shared_folder
 
 #: Size at which a task begins another archive; gap and size up to which ranges are read together.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 1 << 16, 8 << 20
@@ -197,4 +198,4 @@ def read_records(index: DataFrame, path: str, payload: bool = True) -> DataFrame
 
 def archive_dir(spark) -> str:
     """A new folder for archives in the shared folder."""
-    return f"{shared_dir(spark)}/docloom-warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/docloom-warc-{uuid.uuid4().hex}"
