@@ -225,3 +225,28 @@ def test_lifecycle_of_the_index(spark):
     index = spark.createDataFrame([("a", "active", "c", "declarative"), ("b", "active", "c", "declarative"), ("z", "active", "c", "declarative")], "chunk_id string, status string, category string, knowledge_type string")
     chunks = spark.createDataFrame([("a", "deleted", "c", "declarative"), ("b", "active", "d", "procedural")], index.schema)
     assert sorted(tuple(r) for r in mutations.sync_index(index, chunks).collect()) == [("b", "active", "d", "procedural"), ("z", "active", "c", "declarative")]
+
+
+def test_packing_of_random_documents_is_that_of_a_walk(spark):
+    """As the query token_packing, over random lengths, against a plain walk along the elements."""
+    import random
+
+    tokens = lambda n: max(1, int(n / 1.2))
+
+    def walk(chars, limit):
+        back, first, used, out = max(1, int(len(chars) * 0.2)), 0, 0, []
+        for i, n in enumerate(chars):
+            if used + tokens(n) > limit and i > first:
+                out.append((first, i - 1))
+                first = max(first, i - back)
+                again = [x for x in chars[first : first + min(back, i - first + 1)] if x > 0]
+                used = tokens(max(sum(again) + len(again) - 1, 0))
+            used += tokens(n)
+        return [*out, (first, len(chars) - 1)] if chars else None
+
+    random.seed(11)
+    docs = [(i, [random.choice([0, 1, 5, 30, 200, 900]) for _ in range(random.randint(0, 40))]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, chars array<int>")
+    for limit in (50, 300):
+        got = {r.id: r.w and [(x["first"], x["last"]) for x in r.w] for r in df.select("id", sequence.pack_budget(F.col("chars"), limit).alias("w")).collect()}
+        assert all(got[i] == walk(chars, limit) for i, chars in docs)
