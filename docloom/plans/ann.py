@@ -9,7 +9,6 @@ those without any structure, as the test tables hold, take three eighths of them
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
