@@ -120,6 +120,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_letters < 50 * word_chars OR 100 * n_bullets > 90 * n_lines) AS kept FROM q"""
 
 
+_WARC_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, (i // 4) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p"""
+
+# A line of one edit from another of at least its length shares its first or its last half with it, at the length of the shorter.
+_LINES_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line, {'d': doc_id, 'p': pos} AS place FROM l),
+f AS (SELECT line, min(place) AS first, length(line) AS n FROM t WHERE line <> '' GROUP BY line),
+k AS (SELECT line, first, n, base, side, CASE side WHEN 0 THEN left(line, base // 2) ELSE right(line, base - base // 2) END AS part FROM (SELECT *, unnest([n, n - 1]) AS base FROM f WHERE n >= 40), (SELECT unnest([0, 1]) AS side)),
+c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS na, b.n AS nb, b.first < a.first AS later FROM k a JOIN k b ON a.base = b.base AND a.side = b.side AND a.part = b.part WHERE a.line <> b.line AND a.n <= b.n AND a.n = a.base),
+near AS (SELECT DISTINCT CASE WHEN later THEN a ELSE b END AS line FROM c WHERE CASE WHEN na = nb THEN len([i for i in range(1, na + 1) if substr(a, i, 1) <> substr(b, i, 1)]) <= 1 ELSE len([i for i in range(0, nb) if left(b, i) || substr(b, i + 2) = a]) > 0 END),
+j AS (SELECT t.*, t.line <> '' AND t.place > f.first AS equal, near.line IS NOT NULL AS alike FROM t LEFT JOIN f ON f.line = t.line LEFT JOIN near ON near.line = t.line),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal) AS n_exact, count(*) FILTER (WHERE alike AND NOT coalesce(equal, false)) AS n_near, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(equal, false) AND NOT alike), '') AS text FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, length(r.text) AS n_chars, sha256(r.text) AS text_sha256 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op4_near_dedup": _NEAR_SQL, "op9_quality_rules": _RULES_SQL}
+    return {"op1_warc": _WARC_SQL, "op8_line_dedup": _LINES_SQL, "op4_near_dedup": _NEAR_SQL, "op9_quality_rules": _RULES_SQL}
