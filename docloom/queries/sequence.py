@@ -33,9 +33,8 @@ def fallback_chunks(spark, d):
     return T.chunks(spark, d).select("chunk_id", "title", "content_hash", "n_elements")
 
 
-@query("section_paths")
+@query("section_paths", f"WITH RECURSIVE {T.ELEMENTS}, heads AS (SELECT doc_id, seq, text, heading_level, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM elements WHERE element_type = 'title'), walk AS (SELECT doc_id, seq, k, [text] AS path FROM heads WHERE k = 1 UNION ALL SELECT h.doc_id, h.seq, h.k, list_append(w.path[1:least(len(w.path), h.heading_level - 1)], h.text) FROM walk w JOIN heads h ON h.doc_id = w.doc_id AND h.k = w.k + 1) SELECT e.doc_id, e.seq, coalesce(array_to_string(w.path, ' > '), '') AS path FROM elements e ASOF LEFT JOIN walk w ON w.doc_id = e.doc_id AND w.seq <= e.seq")
 def section_paths(spark, d):
-    """The fold over a document's headings is not plain SQL; tests hold it against a loop."""
     return Q.heading_paths(T.elements(spark, d)).select("doc_id", "seq", F.array_join("section_path", " > ").alias("path"))
 
 
@@ -71,9 +70,16 @@ def semantic_breakpoints(spark, d):
     return Q.breakpoints(rows, ["label"], "vec_id").select("vec_id", "similarity", "section")
 
 
-@query("token_packing")
+_PACKING = f"""WITH RECURSIVE {T.ELEMENTS}, s AS (SELECT doc_id, list(length(text) ORDER BY seq) AS c, count(*) AS n, greatest(1, CAST(floor(count(*) * 0.2) AS BIGINT)) AS back FROM elements GROUP BY doc_id),
+walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, greatest(1, CAST(floor(c[1] / 1.2) AS BIGINT)) AS used, CAST(NULL AS BIGINT) AS wf, CAST(NULL AS BIGINT) AS wl FROM s UNION ALL
+  SELECT doc_id, i, CASE WHEN closes THEN begin ELSE first END, CASE WHEN closes THEN greatest(1, CAST(floor(greatest(coalesce(list_sum(shared), 0) + len(shared) - 1, 0) / 1.2) AS BIGINT)) ELSE used END + own, CASE WHEN closes THEN first END, CASE WHEN closes THEN i - 1 END
+  FROM (SELECT *, used + own > 400 AS closes, [x for x in c[begin + 1:begin + least(back, i - begin + 1)] if x > 0] AS shared
+    FROM (SELECT w.doc_id, w.i + 1 AS i, w.first, w.used, s.c, s.back, greatest(1, CAST(floor(s.c[w.i + 2] / 1.2) AS BIGINT)) AS own, greatest(w.first, w.i + 1 - s.back) AS begin FROM walk w JOIN s ON s.doc_id = w.doc_id AND w.i + 1 < s.n)))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY wl) - 1 AS "window", wf AS first, wl AS last FROM (SELECT doc_id, wf, wl FROM walk WHERE wf IS NOT NULL UNION ALL SELECT w.doc_id, w.first, s.n - 1 FROM walk w JOIN s ON s.doc_id = w.doc_id AND w.i = s.n - 1)"""
+
+
+@query("token_packing", _PACKING)
 def token_packing(spark, d):
-    """The packing fold is not plain SQL; tests hold it against a loop."""
     sizes = T.elements(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))), lambda x: x["n"]).alias("sizes"))
     return sizes.select("doc_id", F.posexplode(Q.pack_budget(F.col("sizes"), 400)).alias("window", "w")).select("doc_id", "window", "w.first", "w.last")
 
