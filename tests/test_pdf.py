@@ -88,6 +88,39 @@ def test_values_and_filters():
     rows = b"\x01\x05\x01\x02\x02\x01\x01\x01\x04\x01\x01\x01"
     assert unfiltered(zlib.compress(rows), ["FlateDecode"], [{"Predictor": 15, "Columns": 3}])[0] == b"\x05\x06\x08\x06\x07\x09\x07\x08\x0a"
     assert unfiltered(b"87cURDZ~>", ["ASCII85Decode"], [None])[0] == b"Hello" and unfiltered(b"\x02abc\xfed\x80", ["RunLengthDecode"], [None])[0] == b"abcddd"
+    assert unfiltered(bytes.fromhex("800B6050220C0C8501"), ["LZWDecode"], [None])[0] == b"-----A---B"
+    data = bytes(i * i % 251 for i in range(9000))
+    assert unfiltered(packed(data), ["LZW"], [None])[0] == data
+
+
+def packed(data):
+    """LZW as PDF files have it."""
+    out, bits, width = 0, 0, 9
+    table = {bytes([i]): i for i in range(256)}
+
+    def put(code):
+        nonlocal out, bits
+        out, bits = out << width | code, bits + width
+
+    put(256)
+    run, last = b"", 258
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if run + c in table:
+            run += c
+            continue
+        put(table[run])
+        if last < 4096:
+            table[run + c] = last
+            last += 1
+            # The reader's table is one entry behind.
+            width = min(12, max(9, (last - 1 + 1).bit_length()))
+        run = c
+    put(table[run])
+    width = min(12, max(9, (last + 1).bit_length()))
+    put(257)
+    pad = -bits % 8
+    return (out << pad).to_bytes((bits + pad) // 8, "big")
 
 
 @pytest.mark.parametrize(("data", "error"), [(b"", "empty"), (b"GIF89a", "not a PDF"), (pdf_file([]), "no pages"), (pdf_file([("", "", "")]), "no text"), (pdf_file([(at(1, 1, "x"), "", "")], trailer=b"/Encrypt 3 0 R"), "encrypted"), (pdf_file([("/I Do", "", "/XObject << /I 20 0 R >>")], [b"<< /Subtype /Image /Filter /DCTDecode /Length 3 >>\nstream\nabc\nendstream"]), "scanned")])
