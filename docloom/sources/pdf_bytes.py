@@ -549,12 +549,12 @@ class _Canvas:
                         text += " "
                     tm = times((1, 0, 0, 1, move, 0), tm)
                 elif isinstance(part, bytes) and font:
-                    for t, width, blank in font.shown(part):
-                        if begin is None:
-                            begin = tm
-                        text += t
-                        tm = times((1, 0, 0, 1, (width * size + space + (word if blank else 0)) * scale, 0), tm)
-                    widest = tm
+                    shown = font.shown(part)
+                    if shown and begin is None:
+                        begin = tm
+                    text += "".join([t for t, _, _ in shown])
+                    move = sum([w for _, w, _ in shown]) * size + len(shown) * space + word * sum([b for _, _, b in shown])
+                    tm = widest = times((1, 0, 0, 1, move * scale, 0), tm)
             if begin is None or not text.strip():
                 return
             whole = times(begin, ctm)
