@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import lang_id, quality_model, quality_rules, warc
 from docloom.llm.bpe import decode_ids, encode_documents
+from docloom.llm.click_dedup import deduplicate_clicks
 from docloom.llm.common import Scratch, crc32_of_id, read_table, remove
 from docloom.llm.decontamination import find_leaks
 from docloom.llm.line_dedup import dedup_lines
@@ -91,8 +92,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return count_tokens(docs, path or vocabulary()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op13_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = deduplicate_clicks(read_table(spark, sf_dir, "clicks"))
+    return windows.select(F.col("key").alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts, "op13_click_dedup": op13_click_dedup}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
