@@ -51,7 +51,12 @@ EVENT = np.dtype([("key", "<i8"), ("hour", "<i4"), ("crc", "<u4"), ("n", "<i8"),
 WINDOW = np.dtype([("key", "<i8"), ("start", "<i8"), ("n_repeats", "<i8"), ("n_conflicts", "<i8"), ("crc", "<i8"), ("hash", "S32")])
 OUTPUT = "key bigint, start_hour bigint, closed_batch bigint, n_repeats bigint, n_conflicts bigint, conflict_crc bigint, hash binary"
 
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+_STATE = "spark.sql.streaming.stateStore"
+#: Stores are many and small: no disk is set aside for their logs, and a task closes its own once it is committed.
+ROCKS = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}.unloadOnCommit": "true",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true", f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def fold(held: np.ndarray, events: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
