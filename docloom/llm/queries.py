@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import lang_id, quality_model, quality_rules, warc
+from docloom.llm import lang_id, merkle, quality_model, quality_rules, warc
 from docloom.llm.bpe import decode_ids, encode_documents
 from docloom.llm.click_dedup import deduplicate_clicks
 from docloom.llm.common import Scratch, crc32_of_id, read_table, remove
@@ -92,13 +92,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return count_tokens(docs, path or vocabulary()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "merkle") as scratch:
+        proofs = merkle.document_manifest(read_table(spark, sf_dir, "documents"), scratch).proofs()
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), "path")
+    proof = F.sha2(merkle.siblings("path").cast("binary"), 256)
+    return proofs.select("doc_id", F.lower(F.hex("leaf")).alias("leaf"), "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = deduplicate_clicks(read_table(spark, sf_dir, "clicks"))
     return windows.select(F.col("key").alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts, "op13_click_dedup": op13_click_dedup}
+    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle, "op13_click_dedup": op13_click_dedup}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -142,6 +150,32 @@ r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal) AS n_exa
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, length(r.text) AS n_chars, sha256(r.text) AS text_sha256 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id"""
 
 
+def _merkle_sql(levels: int = 8, heads: int = 4) -> str:
+    """The tree's levels written out one by one (8 ** levels documents a language at most); a root is carried up unchanged."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR) END"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    byte = "n"
+    for _ in range(8):
+        byte = f"[CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END for x in {byte}]"
+    codes = "list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(doc_id AS VARCHAR), '')])"
+    crc = f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, byte[(xor(a, b) & 255) + 1])), 4294967295)"
+    nodes = "SELECT *, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM (SELECT *, count(*) OVER (PARTITION BY g) AS w FROM ({})) WINDOW r AS (PARTITION BY g, i // 8 ORDER BY i)"
+    up = "SELECT g, i // 8 AS i, CASE WHEN max(w) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {} GROUP BY 1, 2"
+    parts = [
+        f"crcs AS MATERIALIZED (SELECT {byte} AS byte FROM (SELECT CAST(range(256) AS BIGINT[]) AS n))",
+        f"doc AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS d, CASE WHEN {crc} % 3 = 0 THEN {leaf('lower_text')} END AS t FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents), crcs)",
+        "langs AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents))",
+        "leaves AS MATERIALIZED (SELECT doc_id, g, d, t, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d, t) - 1 AS i FROM doc JOIN langs ON langs.lang IS NOT DISTINCT FROM doc.lang)",
+    ]
+    for name, first, n in (("n", "SELECT g, i, d FROM leaves", levels), ("h", f"SELECT 0 AS g, g AS i, d FROM n{levels - 1}", heads)):
+        parts += [f"{name}{k} AS MATERIALIZED ({nodes.format(up.format(f'{name}{k - 1}') if k else first)})" for k in range(n)]
+    steps = {f"n{k}": f"n{k}.g = leaves.g AND n{k}.i = leaves.i // {8**k}" for k in range(levels)} | {f"h{k}": f"h{k}.i = leaves.g // {8**k}" for k in range(heads)}
+    others, runs = " || ".join(f"{x}.pre || {x}.post" for x in steps), ", ".join(f"{{'w': {x}.w, 'pre': {x}.pre, 'post': {x}.post}}" for x in steps)
+    parts.append(f"f0 AS (SELECT doc_id, leaves.d AS leaf, n{levels - 1}.d AS subroot, h{heads - 1}.d AS root, sha256({others}) AS proof_sha256, coalesce(leaves.t, leaves.d) AS c, [{runs}] AS s FROM leaves {' '.join(f'JOIN {x} ON {on}' for x, on in steps.items())})")
+    parts += [f"f{k} AS (SELECT * EXCLUDE (c), CASE WHEN s[{k}].w = 1 THEN c ELSE sha256(s[{k}].pre || c || s[{k}].post) END AS c FROM f{k - 1})" for k in range(1, len(steps) + 1)]
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, c AS folded_root, c = root AS verified FROM f{len(steps)}"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op1_warc": _WARC_SQL, "op8_line_dedup": _LINES_SQL, "op4_near_dedup": _NEAR_SQL, "op9_quality_rules": _RULES_SQL}
+    return {"op1_warc": _WARC_SQL, "op8_line_dedup": _LINES_SQL, "op4_near_dedup": _NEAR_SQL, "op9_quality_rules": _RULES_SQL, "op11_merkle": _merkle_sql()}
