@@ -51,7 +51,7 @@ class ByteBpe:
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path} is not a plain byte-level BPE")
         self.library = Tokenizer.from_file(path)
-        chars = _byte_of_char()
+        chars = byte_of_char()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         order = [ranks[bytes(chars[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
@@ -150,7 +150,7 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """Byte-level files write each byte as a printable character: itself if printable in Latin-1, else from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = [b for b in range(256) if b not in plain]

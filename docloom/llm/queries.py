@@ -14,6 +14,7 @@ from docloom.llm.common import Scratch, crc32_of_id, read_table, remove
 from docloom.llm.decontamination import find_leaks
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.packing import pack
 from docloom.llm.sharding import shard
 from docloom.llm.token_counts import count_tokens
 
@@ -100,13 +101,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", F.lower(F.hex("leaf")).alias("leaf"), "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    pieces = pack(read_table(spark, sf_dir, "documents"), path or vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = deduplicate_clicks(read_table(spark, sf_dir, "clicks"))
     return windows.select(F.col("key").alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle, "op13_click_dedup": op13_click_dedup}
+    return {"op1_warc": op1_warc, "op2_decontamination": op2_decontamination, "op3_lang_id": op3_lang_id, "op5_sharding": op5_sharding, "op4_near_dedup": op4_near_dedup, "op7_quality_model": op7_quality_model, "op6_bpe": op6_bpe, "op8_line_dedup": op8_line_dedup, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle, "op12_packing": op12_packing, "op13_click_dedup": op13_click_dedup}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
