@@ -7,7 +7,7 @@ character and its back-off weight as a context; the first bits of a hash index t
 A text's language is the one of the lowest cross-entropy per character.
 
 Models are fitted on a bounded sample: for each language, rows picked by the hash of their
-id at a rate that expects ``max_chars`` characters at most, and its first LEAST_ROWS rows by
+id and text at a rate that expects ``max_chars`` characters at most, and its first LEAST_ROWS rows by
 that hash in any case; of a text of more than max_chars / LEAST_ROWS characters a stretch is
 taken. The table has a column for each language; beyond WIDE languages the characters of
 each go down with their number squared, which bounds the table. A language's model is built
@@ -22,7 +22,7 @@ allows for its length. A few odd texts with a language's label do not move these
 Defined results: a null or empty text or one without letters is ``und`` with score 0 and
 rejected; so is every text if there is nothing to learn from, as in an empty table; ties go
 to the first language in order; whole texts are read, however long; repeated rows get equal
-results and are sampled together, as the sample goes by id; rows with a null id, text or
+results and count once in the sample, which goes by id and text together; rows with a null id, text or
 language are judged like others (a null language is not learned); other columns are not read.
 """
 
@@ -377,7 +377,7 @@ def _loaded(pieces: pa.Table, langs: list[str]) -> LanguageModels:
 
 def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars: int) -> DataFrame | None:
     """(text, lang, pick) of the rows that models are made from; None if there are none."""
-    rows = df.where(F.col(text_col).cast("string").rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("pick"))
+    rows = df.where(F.col(text_col).cast("string").rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), F.lit(1 << 30)).alias("pick"))
     most = max(1, max_chars // LEAST_ROWS)
     stats: dict[str, list] = {}
     for r in rows.groupBy("lang", F.pmod("pick", F.lit(64)).alias("part")).agg(F.sum(F.least(F.length("text"), F.lit(most))).alias("chars"), F.count("*").alias("rows"), F.min("pick").alias("first")).collect():  # 64 rows a language
@@ -392,7 +392,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_chars:
     limit = F.create_map(*[x for lang, n in sorted(below.items()) for x in (F.lit(lang), F.lit(n))])
     spare = F.length("text") - most
     text = F.when(spare > 0, F.substring("text", F.pmod("pick", F.greatest(spare, F.lit(0)) + 1).cast("int") + 1, F.lit(most))).otherwise(F.col("text"))
-    return rows.where(F.col("pick") < limit[F.col("lang")]).select(text.alias("text"), "lang", "pick")
+    return rows.where(F.col("pick") < limit[F.col("lang")]).dropDuplicates(["lang", "pick"]).select(text.alias("text"), "lang", "pick")
 
 
 def _held(sample: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ Documents are linked if the Jaccard similarity of their sets is at least ``perce
 3. A bucket whose members still lie in several components is open. Rows of open buckets are
    compared beyond their heads where they share one of their rarest shingles (by the number of
    such rows that hold it): two sets that reach the threshold must share one among as many as
-   their sizes allow to differ, so no link is lost, and rows that merely have a passage in
-   common do not meet. So neither a large group of copies nor a common passage makes all pairs.
+   their sizes allow to differ. Rows made of the same few passages share them too, so each row
+   brings a sketch, one bit of each signature value, and a pair is made only if its sketches
+   agree as two of the threshold do except with probability MISS. So neither a large group of copies
+   nor common passages make all pairs.
 4. Every comparison is a star: a head, and the rows it is compared with, in groups of STAR.
    Signatures travel first: a task compares them batch by batch and drops a pair once the
    posterior probability that its similarity reaches the threshold is below MISS. The texts
@@ -33,6 +35,7 @@ columns are not carried by near_duplicates and are unchanged by keep_one, whatev
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm import textvec
 from docloom.llm.common import Scratch, fresh, trim_memory, utf8_buffer
@@ -223,7 +227,7 @@ def _connect(members: DataFrame, sigs: DataFrame, sets: DataFrame, size: int, pe
     rows = scratch.write(_with_root(members.join(open_keys, "key", "left_semi").select("row").distinct(), roots, "row", "comp"), "open")
     if rows.isEmpty():
         return roots
-    pairs = scratch.write(_rare_pairs(rows, sets, size, percent, scratch), "rare-pairs")
+    pairs = scratch.write(_rare_pairs(rows, sigs, sets, size, percent, scratch), "rare-pairs")
     more = _links(pairs, *given, "links-2").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return connected_components(more, scratch, "roots-2")
 
@@ -245,8 +249,25 @@ def _shingled(size: int):
     return run
 
 
-def _rare_pairs(rows: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (head, row) of different components among rows (row, comp) that may reach the threshold by their rarest shingles.
+@F.arrow_udf(T.StructType([T.StructField(f"s{k}", T.LongType()) for k in range(_HASHES // 64)]))
+def _sketch(sig: pa.Array) -> pa.Array:
+    bits = np.packbits(np.frombuffer(utf8_buffer(sig)[0], np.uint16).reshape(-1, _HASHES) & 1, axis=1).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])], [f"s{k}" for k in range(bits.shape[1])])
+
+
+@lru_cache(maxsize=8)
+def least_agreement(percent: int) -> int:
+    """Bits of two sketches that agree at least, except with probability MISS, at the threshold: each does if the minimum is the same, and else every other time."""
+    p, below = (1 + percent / 100) / 2, 0.0
+    for k in range(_HASHES + 1):
+        below += math.exp(math.lgamma(_HASHES + 1) - math.lgamma(k + 1) - math.lgamma(_HASHES - k + 1) + k * math.log(p) + (_HASHES - k) * math.log1p(-p)) if p < 1 else float(k == _HASHES)
+        if below > MISS:
+            return k
+    return _HASHES
+
+
+def _rare_pairs(rows: DataFrame, sigs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (head, row) of different components among rows (row, comp) that may reach the threshold by their rarest shingles and their sketches.
 
     If sets of m <= n elements reach it, they share at least ``least`` = percent (m + n) / (100 + percent)
     elements, so the first shared one in any order of shingles is among the first m - least + 1 of the
@@ -258,15 +279,17 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame, size: int, percent: int, scrat
     ranked = shingles.join(held, "shingle").groupBy("row", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("found"))  # the shingles of one text
     n, alone = F.col("n"), F.col("n") - F.size("found")  # shingles that no other row holds come first
     entries = ranked.select("row", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("found", 1, F.greatest(F.floor(n * (100 - percent) / 100) + 1 - alone, F.lit(0)).cast("int"))).alias("i", "x"))
-    entries = scratch.write(entries.select("row", "comp", "n", (F.col("alone") + F.col("i") + 1).alias("at"), "x.shingle"), "entries")
+    sketches = sigs.select("row", _sketch("sig").alias("sketch"))
+    entries = scratch.write(entries.select("row", "comp", "n", (F.col("alone") + F.col("i") + 1).alias("at"), "x.shingle").join(sketches, "row"), "entries")
     least = lambda m: F.ceil(percent * (m + n) / (100 + percent) - 1e-9)
     kind = lambda m: F.floor(F.log(m) / float(np.log(RATIO)) - 1e-9)
     # The smaller set stands under its own size class, the larger one under all that its place allows.
-    one = entries.where(F.col("at") <= n - least(n) + 1).select("shingle", kind(n).alias("kind"), F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("m"), F.col("at").alias("at_a"))
-    two = entries.select("shingle", "row", "comp", "n", "at", F.explode(F.sequence(kind(n * percent / 100), kind(n))).alias("kind"))
+    one = entries.where(F.col("at") <= n - least(n) + 1).select("shingle", kind(n).alias("kind"), F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("m"), F.col("at").alias("at_a"), F.col("sketch").alias("sketch_a"))
+    two = entries.select("shingle", "row", "comp", "n", "at", "sketch", F.explode(F.sequence(kind(n * percent / 100), kind(n))).alias("kind"))
     two = two.where(F.col("at") <= n - least(F.floor(F.pow(F.lit(RATIO), F.col("kind")))) + 1)
     fits = (F.col("ca") != F.col("comp")) & (F.col("m") <= n) & (100 * F.col("m") >= percent * n) & (1 + F.least(F.col("m") - F.col("at_a"), n - F.col("at")) >= least(F.col("m")))
-    return two.join(one, ["shingle", "kind"]).where(fits).select(F.least("a", "row").alias("head"), F.greatest("a", "row").alias("row")).distinct()
+    differ = sum((F.bit_count(F.col(f"sketch.s{k}").bitwiseXOR(F.col(f"sketch_a.s{k}"))) for k in range(_HASHES // 64)), F.lit(0))
+    return two.join(one, ["shingle", "kind"]).where(fits & (differ <= _HASHES - least_agreement(percent))).select(F.least("a", "row").alias("head"), F.greatest("a", "row").alias("row")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:

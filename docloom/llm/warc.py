@@ -15,7 +15,7 @@ first (a view to the store behind it, s3a to s3); a store that Arrow can't open
 before any work.
 
 Defined results: a null payload is empty and a record of 0 bytes like any other; a null URL
-writes no target header; a row with a null id is a response; of equal payloads the smallest id
+writes no target header; ids may hold any characters and are percent-encoded in their headers; a row with a null id is a response; of equal payloads the smallest id
 is the response, and repeated rows of it are all responses; payloads are archived whole, of any
 length, a record at a time; an empty table gives an empty index and no records; other columns
 are not archived, whatever their names.
@@ -26,6 +26,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import string
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,6 +58,11 @@ def record_id(row_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{row_id}:{digest}'.encode()).digest())}>"
 
 
+def _quoted(row_id: str) -> str:
+    """An id as one line of visible ASCII characters."""
+    return urllib.parse.quote(row_id, safe=string.punctuation.replace("%", ""))
+
+
 def build_record(row_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
@@ -64,12 +71,16 @@ def build_record(row_id: str | None, url: str | None, payload: bytes, digest: st
         fields["WARC-Target-URI"] = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
     fields |= {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     if row_id is not None:
-        fields["X-Row-Id"] = row_id
+        fields["X-Row-Id"] = _quoted(row_id)
     if refers_to is not None:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Row": refers_to}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Row": _quoted(refers_to)}
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
+def _own(quoted: str | None) -> str | None:
+    return None if quoted is None else urllib.parse.unquote(quoted)
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], int, bytes]:
     """(header fields, length of the full payload, payload or b"" for a revisit)."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -182,7 +193,7 @@ def read_records(index: DataFrame, path: str, payload: bool = True) -> DataFrame
                     digest, full = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "response"
                     if full and (len(body) != n or digest32(hashlib.sha1(body).digest()) != digest):
                         raise ValueError(f"damaged record at {at} of {name}")
-                    for column, value in zip(rows, (fields.get("X-Row-Id"), fields.get("WARC-Target-URI"), fields["WARC-Type"], fields.get("X-Refers-To-Row"), n, digest, body if full else None), strict=True):
+                    for column, value in zip(rows, (_own(fields.get("X-Row-Id")), fields.get("WARC-Target-URI"), fields["WARC-Type"], _own(fields.get("X-Refers-To-Row")), n, digest, body if full else None), strict=True):
                         column.append(value)
                 kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
                 names = ["id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]

@@ -102,6 +102,18 @@ def test_a_language_of_few_long_texts_is_learned(spark):
     assert lang_id.train(df, "doc_id", "text", "lang", max_chars=10000).langs == ["de", "en"]
 
 
+def test_rows_of_one_id_stay_within_the_bound(spark):
+    """Null ids, one id for all rows, rows repeated whole: the sample is no larger than with ids of their own."""
+    text = lambda i: f"{'abcdefghij'[i % 10]} the quick brown fox {'xyzw'[i % 4] * (i % 37)} " * 5
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        rows = [(ids(i), text(i) + "q" * (i // 1000), "en") for i in range(3000)]
+        sample = lang_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20000)
+        n, chars = sample.agg(F.count("*"), F.sum(F.length("text"))).first()
+        assert 10 <= n and chars <= 30000
+    same = spark.createDataFrame([(None, "the quick brown fox", "en")] * 2000, "doc_id long, text string, lang string")
+    assert lang_id._sample(same, "doc_id", "text", "lang", 4000).count() == 1
+
+
 def test_query_against_brute_force(spark, tmp_path):
     """op3_lang_id over a small table: each text's language by dictionaries of n-grams and plain recursion."""
     from collections import Counter

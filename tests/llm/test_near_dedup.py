@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import near_dedup as N
 
@@ -81,7 +82,8 @@ def test_rare_shingles_lose_no_pair(spark, seed):
     rows = [(i, t) for i, (_, t) in enumerate(boilerplate(8) + corpus(seed)) if shingles(t)]
     sets = spark.createDataFrame(rows, "row long, text string")
     with Scratch(spark, "t") as scratch:
-        got = {(r.head, r.row) for r in N._rare_pairs(sets.selectExpr("row", "row comp"), sets, 5, 85, scratch).collect()}
+        sigs = signed(sets)
+        got = {(r.head, r.row) for r in N._rare_pairs(sets.selectExpr("row", "row comp"), sigs, sets, 5, 85, scratch).collect()}
     own = {i: shingles(t) for i, t in rows}
     for i, x in own.items():
         for j, y in own.items():
@@ -89,6 +91,35 @@ def test_rare_shingles_lose_no_pair(spark, seed):
                 assert (i, j) in got
 
 
+def signed(sets):
+    numbered = N._numbered(sets, "row", "text", ()).withColumn("row", F.col("id"))
+    return numbered.mapInArrow(N._sets(5), N._sets_like(numbered).schema).select("row", "n", "sig")
+
+
+def test_common_passages_do_not_make_all_pairs(spark):
+    """Texts of 3 of 40 passages: pairs grow no faster than rows, besides those that are alike, and no link is lost."""
+    from docloom.llm.common import Scratch
+
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = [(i, " ".join(passages[k] for k in random.sample(range(40), 3))) for i in range(2000)]
+    own, made = {i: shingles(t) for i, t in rows}, []
+    for n in (500, 1000, 2000):
+        sets = spark.createDataFrame(rows[:n], "row long, text string")
+        with Scratch(spark, "t") as scratch:
+            got = {(r.head, r.row) for r in N._rare_pairs(sets.selectExpr("row", "row comp"), signed(sets), sets, 5, 85, scratch).collect()}
+        by_passages, links = {}, set()
+        for i, t in rows[:n]:  # only texts of the same three passages are near
+            by_passages.setdefault(frozenset(t[k : k + 40] for k in range(0, len(t), 360)), []).append(i)
+        for group in by_passages.values():
+            links |= {(i, j) for i in group for j in group if i < j and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])}
+        assert links <= {(min(p), max(p)) for p in got}
+        made.append((n, len(got), len(links)))
+    print(made)
+    assert all(pairs <= links + n / 10 for n, pairs, links in made)
+
+
 def boilerplate(n):
     """Texts that share a long passage; some of them are near copies of each other."""
     random.seed(4)

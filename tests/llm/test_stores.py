@@ -48,6 +48,17 @@ def test_parts_of_an_index_and_standard_members(spark):
         assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\n")
 
 
+def test_ids_of_any_characters(spark):
+    """Line breaks, header text, percent signs, spaces and letters beyond ASCII come back as they were."""
+    ids = ["a\r\nWARC-Type: revisit\r\n\r\nx", " b: c ", "%0D%0A", "é/ü", "", "a\nb", "007", "7"]
+    rows = [(x, None, "same" if k % 2 else "y" * (k * 300_000)) for k, x in enumerate(ids)]
+    path = warc.archive_dir(spark)
+    got = warc.read_records(warc.write_archives(spark.createDataFrame(rows, "id string, url string, html string"), path, "id", "url", "html"), path).collect()
+    first = min(x for k, x in enumerate(ids) if k % 2)
+    assert {(r.id, r.refers_to) for r in got} == {(x, first if k % 2 and x != first else None) for k, x in enumerate(ids)}
+    assert {r.id: r.payload_bytes for r in got} == {x: len(h) for x, _, h in rows}
+
+
 def test_empty_pages(spark):
     path = warc.archive_dir(spark)
     index = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path, "page_id", "url", "html")
