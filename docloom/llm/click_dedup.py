@@ -45,17 +45,17 @@ from docloom.store import shared_folder
 
 HOUR_MS, SHIFT = 3_600_000, 1 << 20
 #: Events that a task packs at once; events of a batch that share a state on average.
-PACKED, EVENTS_A_GROUP = 1 << 20, 2048
+PACKED, EVENTS_A_GROUP = 1 << 18, 2048
 
 EVENT = np.dtype([("key", "<i8"), ("hour", "<i4"), ("crc", "<u4"), ("n", "<i8"), ("hash", "S32")])
 WINDOW = np.dtype([("key", "<i8"), ("start", "<i8"), ("n_repeats", "<i8"), ("n_conflicts", "<i8"), ("crc", "<i8"), ("hash", "S32")])
 OUTPUT = "key bigint, start_hour bigint, closed_batch bigint, n_repeats bigint, n_conflicts bigint, conflict_crc bigint, hash binary"
 
 _STATE = "spark.sql.streaming.stateStore"
-#: Stores are many and small: no disk is set aside for their logs, and a task closes its own once it is committed.
+#: Stores are many and small: they share one bounded cache, no disk is set aside for their logs, and a task closes its own once it is committed.
 ROCKS = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}.unloadOnCommit": "true",
-    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true", f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true", f"{_STATE}.rocksdb.maxMemoryUsageMB": "128", f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true", f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
