@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, details, lifecycle, parsing, retrieval, sequence, service
+from docloom.queries import catalog, details, lifecycle, parsing, retrieval, sequence, service, similar
 
 
 def _parts():
-    return (catalog, lifecycle, sequence, retrieval, parsing, service, details)
+    return (catalog, lifecycle, sequence, retrieval, parsing, service, details, similar)
 
 
 def queries() -> dict:
