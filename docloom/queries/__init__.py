@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, details, lifecycle, parsing, retrieval, sequence, service, similar
+from docloom.queries import catalog, details, lifecycle, parsing, retrieval, sequence, service, similar, stored
 
 
 def _parts():
-    return (catalog, lifecycle, sequence, retrieval, parsing, service, details, similar)
+    return (catalog, lifecycle, sequence, retrieval, parsing, service, details, similar, stored)
 
 
 def queries() -> dict:
