@@ -116,6 +116,55 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) ->
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """df with each row's place in the order of by, from 1 without gaps; ties in any order. Ranges are sorted apart
+    and their counts added up, so no task gets more than a range."""
+    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    parts = ranged.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select("__part", (before - F.col("__first") + 1).alias("__shift"))
+    return ranged.withColumn("__part", F.shiftright("__at", 33)).join(shifts, "__part").select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
+class SortedPages:
+    """A table stored in the order that its pages have, with the row counts of its ranges: a page reads the ranges that hold it,
+    however deep it lies, and a seek the rows after a key."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.counts = sorted((r["range"], r["n"]) for r in spark.read.parquet(f"{path}/counts").collect())  # a number for each range
+
+    @classmethod
+    def write(cls, df: DataFrame, order: list[Column], path: str, ranges: int) -> SortedPages:
+        spark = df.sparkSession
+        ranged = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+        ranged.sortWithinPartitions("__range", *order).withColumn("__at", F.monotonically_increasing_id()).write.partitionBy("__range").parquet(f"{path}/rows")
+        spark.read.parquet(f"{path}/rows").groupBy(F.col("__range").alias("range")).agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/counts")
+        return cls(spark, path)
+
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        """As page() of the whole table."""
+        if not 1 <= size <= 200:
+            raise ValueError("a page has 1 to 200 rows")
+        first, at, wanted, skipped = (max(number, 1) - 1) * size, 0, [], 0
+        for part, n in self.counts:
+            if at + n > first and at < first + size:
+                wanted.append(part)
+            elif at + n <= first:
+                skipped = at + n
+            at += n
+        rows = self.spark.read.parquet(f"{self.path}/rows").where(F.col("__range").isin(wanted))
+        return rows.orderBy("__range", "__at").offset(first - skipped).limit(size).drop("__range", "__at")
+
+    def after(self, beyond: Column, size: int = 20) -> DataFrame:
+        """The first rows for which beyond holds, which must hold for all rows after its first: a seek from the last row of the page before."""
+        rows = self.spark.read.parquet(f"{self.path}/rows").where(beyond)
+        return rows.orderBy("__range", "__at").limit(size).drop("__range", "__at")
+
+
 def page_info(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total")).select("total", total_pages(F.col("total"), size).alias("total_pages"))
 

@@ -143,16 +143,23 @@ def pack_budget(chars: Column, limit: int, overlap: float = 0.2) -> Column:
 
 
 def fill_merged(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells inside a merged range (r0, c0, r1, c1) take the value of its first cell."""
-    first = cells.select(*keys, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("__top"))
+    """Cells inside a merged range (r0, c0, r1, c1) take the value of its first cell.
+
+    Each row of cells is one row of the result: of a first cell that occurs more than once the least value
+    counts (null only if there is no other), and of ranges that overlap at a cell the first by (r0, c0, r1, c1).
+    """
+    first = cells.groupBy(*keys, F.col("row").alias("r0"), F.col("col").alias("c0")).agg(F.min("value").alias("__top"))
+    merges = merges.select(*keys, "r0", "c0", "r1", "c1").distinct()
     band = lambda c: F.floor(F.col(c) / BAND).cast("bigint")
     # A range stands under each band of rows that it touches; a cell under its own.
     ranges = merges.join(first, [*keys, "r0", "c0"], "left").withColumn("__band", F.explode(F.sequence(band("r0"), band("r1"))))
     on = (F.col("c.__band") == F.col("m.__band")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
     for k in keys:
         on = on & (F.col(f"m.{k}") == F.col(f"c.{k}"))
-    both = cells.withColumn("__band", band("row")).alias("c").join(ranges.alias("m"), on, "left")
-    return both.select(*[F.col(f"c.{k}") for k in keys], "row", "col", F.when(F.col("m.r0").isNotNull(), F.col("m.__top")).otherwise(F.col("c.value")).alias("value"))
+    places = cells.select(*keys, "row", "col").distinct().withColumn("__band", band("row")).alias("c").join(ranges.alias("m"), on)
+    tops = places.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "row", "col").agg(F.min_by(F.struct(F.col("__top").alias("top")), F.struct("r0", "c0", "r1", "c1")).alias("__in"))
+    both = cells.join(tops, [*keys, "row", "col"], "left")
+    return both.select(*keys, "row", "col", F.when(F.col("__in").isNotNull(), F.col("__in.top")).otherwise(F.col("value")).alias("value"))
 
 
 def carry_down(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -110,3 +110,31 @@ def generation_batches(chunks: DataFrame, wanted: int, batch: int = 80) -> DataF
     quota = F.greatest(F.lit(1), F.least(F.lit(wanted), size))
     left = F.greatest(F.lit(0), F.lit(2 * wanted) - F.col("batch") * quota)
     return out.select("doc_id", F.col("batch").cast("bigint").alias("batch"), size.cast("bigint").alias("chunks"), F.least(quota, left).cast("bigint").alias("quota"))
+
+
+#: Short passages that are looked for in every text at once.
+SHORT_BLOCK = 256
+
+
+def holders(passages: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(query_id, id): the documents whose text contains the passage of a query (query_id, passage), character by character.
+
+    A passage of five words or more holds three whole ones, so a text that contains it has those three in a row: their hashes are
+    joined, of which a text brings each once, with its id alone; only the texts of hits are then compared. Shorter
+    passages may lie inside words, and are looked for in each text, in blocks of SHORT_BLOCK. A null passage is in no text,
+    an empty one in all.
+    """
+    asked = passages.where(F.col("passage").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "passage").withColumn("__w", F.split("passage", r"\s+"))
+    key = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    long = asked.where(F.size("__w") >= 5).select("query_id", "passage", key(F.col("__w"), F.lit(1)).alias("__k"))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.col(text).alias("__text"))
+    words = texts.select(id_col, F.split("__text", r"\s+").alias("__w")).where(F.size("__w") >= 3)
+    keys = words.select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: key(F.col("__w"), i)))).alias("__k"))
+    hits = keys.join(long, "__k").select("query_id", "passage", id_col)
+    found = texts.join(hits, id_col).where(F.contains("__text", "passage")).select("query_id", id_col)
+    short = asked.where(F.size("__w") < 5).select("query_id", "passage")
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for block in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(blocks)) == block)
+        found = found.unionByName(texts.join(F.broadcast(own), F.contains("__text", "passage")).select("query_id", id_col))  # about SHORT_BLOCK passages of four words
+    return found.distinct()

@@ -46,8 +46,7 @@ def children_scan(spark, d):
 @query("chunk_scan", f"WITH {T.CHUNKS} SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS place FROM chunks WHERE category = 'de'")
 def chunk_scan(spark, d):
     """All chunks of a category in the order of their ids, each with its place: what an ordered scan gives."""
-    rows = T.chunks(spark, d).where("category = 'de'").select("chunk_id").orderBy("chunk_id")
-    return rows.withColumn("place", F.monotonically_increasing_id()).groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("r")).select(F.posexplode("r").alias("place", "x")).select("x.chunk_id", (F.col("place") + 1).cast("bigint").alias("place"))
+    return C.numbered(T.chunks(spark, d).where("category = 'de'").select("chunk_id"), ["chunk_id"], "place")
 
 
 @query("jobs_by_status", f"WITH {T.JOBS} SELECT job_id, event_id FROM jobs WHERE status IN ('failed', 'queued')")
@@ -158,11 +157,11 @@ def failed_parses(spark, d):
 
 # -- tables and answers
 
-@query("merged_cells", "WITH c AS (SELECT l_orderkey AS sheet, l_linenumber AS r, k AS col, l_partkey * 10 + k AS v FROM lineitem, (SELECT unnest([1, 2, 3]) AS k)), m AS (SELECT DISTINCT l_orderkey AS sheet, 2 AS r0, 1 AS c0, 4 AS r1, 2 AS c1 FROM lineitem) SELECT c.sheet, c.r AS row, c.col, CASE WHEN m.sheet IS NOT NULL THEN t.v ELSE c.v END AS value FROM c LEFT JOIN m ON m.sheet = c.sheet AND c.r BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1 LEFT JOIN c t ON t.sheet = m.sheet AND t.r = m.r0 AND t.col = m.c0")
+@query("merged_cells", "WITH l AS (SELECT l_orderkey AS sheet, l_linenumber AS r, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), c AS (SELECT sheet, r, k AS col, p * 10 + k AS v FROM l, (SELECT unnest([1, 2, 3]) AS k)), t AS (SELECT sheet, v FROM c WHERE r = 2 AND col = 1) SELECT c.sheet, c.r AS row, c.col, CASE WHEN c.r BETWEEN 2 AND 4 AND c.col < 3 THEN t.v ELSE c.v END AS value FROM c LEFT JOIN t ON t.sheet = c.sheet")
 def merged_cells(spark, d):
-    """Line items as cells of three columns; in each sheet a range of rows 2 to 4 and columns 1 to 2 is merged."""
-    rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("col"), "l_partkey")
-    cells = rows.select("sheet", "row", "col", (F.col("l_partkey") * 10 + F.col("col")).alias("value"))
+    """Line items as cells of three columns, one a place; in each sheet a range of rows 2 to 4 and columns 1 to 2 is merged."""
+    lines = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row")).agg(F.min("l_partkey").alias("part"))
+    cells = lines.select("sheet", "row", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("col"), "part").select("sheet", "row", "col", (F.col("part") * 10 + F.col("col")).alias("value"))
     merges = cells.select("sheet").distinct().select("sheet", F.lit(2).alias("r0"), F.lit(1).alias("c0"), F.lit(4).alias("r1"), F.lit(2).alias("c1"))
     return Q.fill_merged(cells, merges, ["sheet"])
 

@@ -141,14 +141,9 @@ def rerank_all_or_nothing(spark, d):
 
 
 def relevant(spark, d):
-    """(query_id, doc_id): documents that hold the passage; found by three words inside it, then compared in full."""
+    """(query_id, doc_id): documents that hold the passage."""
     items = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    key = lambda text, i: F.xxhash64(F.get(text, i), F.get(text, i + 1), F.get(text, i + 2))
-    asked = items.withColumn("w", F.split("passage", r"\s+")).select("query_id", "passage", key(F.col("w"), F.lit(1)).alias("k"))
-    docs = T.table(spark, d, "documents").select("doc_id", "text").withColumn("w", F.split("text", r"\s+"))
-    keys = docs.where(F.size("w") > 2).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("k"))
-    hits = keys.join(asked, "k").where(F.contains("text", "passage"))  # the benchmark is broadcast while it is small
-    return hits.select("query_id", "doc_id").distinct()
+    return E.holders(items, T.table(spark, d, "documents"), "doc_id", "text")
 
 
 _REL = "rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import catalog as C
 from docloom.operators import commits
 from docloom.plans import bm25_blocks as B
 from docloom.plans import dense_index as D
@@ -95,6 +96,19 @@ def cleanup_committed(spark, d):
     return _kept(spark, tables.root, out)
 
 
+_PAGES = f"WITH {T.ELEMENTS}, o AS (SELECT doc_id, seq, text, row_number() OVER (ORDER BY doc_id DESC, seq) - 1 AS place FROM elements), n AS (SELECT max(place) // 60 AS n FROM o)"
+
+
+@query("deep_pages", f"{_PAGES} SELECT doc_id, seq, text FROM o, n WHERE place // 20 IN (0, n.n, 2 * n.n)")
+def deep_pages(spark, d):
+    """The first page of all elements, one a third of the way down and one two thirds down, from the ranges that hold them."""
+    path = new_folder(spark, "pages")
+    pages = C.SortedPages.write(T.elements(spark, d).select("doc_id", "seq", "text"), [F.col("doc_id").desc(), F.col("seq")], path, 16)
+    step = (pages.total() - 1) // 60
+    out = pages.page(1, 20).unionByName(pages.page(step + 1, 20)).unionByName(pages.page(2 * step + 1, 20))
+    return _kept(spark, path, out.distinct() if step == 0 else out)
+
+
 @query("bm25_blocks_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm25")
 def bm25_blocks_topk(spark, d):
     """The search of postings in blocks that skips those that can't reach the top."""
