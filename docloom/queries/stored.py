@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from docloom.operators import catalog as C
@@ -14,6 +16,7 @@ from docloom.queries import tables as T
 from docloom.queries.retrieval import _BM25, _COS, _top, asked
 from docloom.sources import shared
 from docloom.store import cut, new_folder
+from docloom.streaming import feed
 
 QUERIES, SQL = {}, {}
 
@@ -96,6 +99,33 @@ def cleanup_committed(spark, d):
     return _kept(spark, tables.root, out)
 
 
+_FEED = f"""WITH {T.JOBS}, j AS (SELECT job_id, status, stage, CAST(progress AS INTEGER) AS progress, ts, min(ts) OVER (PARTITION BY job_id) + INTERVAL 36 HOUR AS deadline FROM jobs WHERE job_id IS NOT NULL),
+o AS (SELECT *, coalesce(bool_or(status IN ('completed', 'failed')) OVER (PARTITION BY job_id ORDER BY ts, progress, status, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM j WHERE ts <= deadline),
+l AS (SELECT *, lag({{'a': status, 'b': stage, 'c': progress}}) OVER (PARTITION BY job_id ORDER BY ts, progress, status, stage) AS last FROM o WHERE NOT over),
+f AS (SELECT job_id, status, stage, progress, ts FROM l WHERE last IS NULL OR last IS DISTINCT FROM {{'a': status, 'b': stage, 'c': progress}} UNION ALL SELECT job_id, 'failed', 'failed', arg_max(progress, {{'a': ts, 'b': progress, 'c': status, 'd': stage}}), max(deadline) FROM o WHERE NOT over GROUP BY job_id HAVING NOT bool_or(status IN ('completed', 'failed')))
+SELECT CAST(job_id AS VARCHAR) AS job_id, status, stage, progress, epoch_us(ts) AS at FROM f"""
+
+
+@query("job_feed", _FEED)
+def job_feed(spark, d):
+    """Changes of jobs in order of time, and jobs that fail 36 hours after their first row."""
+    rows = T.jobs(spark, d).select(F.col("job_id").cast("string"), "status", "stage", F.col("progress").cast("int").alias("progress"), F.col("ts").cast("timestamp").alias("ts"))
+    return feed.feed_rows(rows, 36 * 3600).select("job_id", "status", "stage", "progress", F.unix_micros("ts").alias("at"))
+
+
+@query("job_feed_stream", _FEED)
+def job_feed_stream(spark, d):
+    """The same from a stream with keyed state: rows come up to six hours late, in three cuts, to a query started anew for each."""
+    rows = T.jobs(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    come = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600))
+    rows = rows.withColumn("come", come)
+    low, high, last = rows.agg(F.min("come"), F.max("come"), F.max("ts")).first()
+    cuts = [rows.where(F.floor((F.col("come") - low) * 3 / (high - low + 1)) == i).drop("come") for i in range(3)]
+    path = new_folder(spark, "feed")
+    out = feed.run_feed(spark, cuts, path, 36 * 3600, "6 hours", str(last + timedelta(days=9)))
+    return _kept(spark, path, out.select("job_id", "status", "stage", "progress", F.unix_micros("ts").alias("at")))
+
+
 _PAGES = f"WITH {T.ELEMENTS}, o AS (SELECT doc_id, seq, text, row_number() OVER (ORDER BY doc_id DESC, seq) - 1 AS place FROM elements), n AS (SELECT max(place) // 60 AS n FROM o)"
 
 
