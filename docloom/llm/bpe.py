@@ -50,6 +50,8 @@ class ByteBpe:
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path} is not a plain byte-level BPE")
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that take blanks or stand apart are not handled")
         self.library = Tokenizer.from_file(path)
         chars = byte_of_char()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

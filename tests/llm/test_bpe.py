@@ -99,3 +99,24 @@ def test_query_matches_the_library(spark, sf001):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     for r in queries()["op10_token_counts"](spark, sf001).collect():
         assert r.n_tokens == len(ids_of(texts[r.doc_id])) and r.over_limit == (r.n_tokens > 512)
+
+
+def test_query_over_long_unsplit_stretches(spark, tmp_path):
+    """Stretches of a million letters within prose, runs of emoji and blanks, special strings: by the tree, in one task and in many."""
+    from docloom.llm.queries import queries
+
+    random.seed(8)
+    letters = "".join(random.choices("aeiourstlné", k=1_000_000))
+    prose = "Some ordinary words, 12 of them, stand here. " * 40
+    texts = [prose + letters + " " + prose, letters[:30_000] + "<|endoftext|>" + letters[:5_000], "\U0001f600" * 20_000 + prose, " " * 50_000 + "x" + "\n" * 20_000, "=" * 70_000, prose, "", None]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    own = bpe.byte_bpe(PATH)
+    tree = [i for i, t in enumerate(texts) if t and any(len(p) > bpe.LEAF for part, special in own.parts(t) if special is None for p in own.pieces(part))]
+    spread = [i for i, t in enumerate(texts) if t and len(t) > bpe.SPREAD]
+    print("rows by the tree:", tree, "of which in many tasks:", spread)
+    assert tree == [0, 1, 2, 3, 4] and spread == [0]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries()["op6_bpe"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = ids_of(t)
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), i

@@ -117,3 +117,36 @@ def test_query_finds_all_verbatim_passages(spark, sf001):
     want = {(r.doc_id, i) for r in docs for t in [flat(r.text)] for i, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in queries()["op2_decontamination"](spark, sf001).collect()}
     assert want <= got and len(got - want) <= 0.05 * len(want) + 1
+
+
+def test_query_equals_the_naive_search(spark, tmp_path):
+    """All pairs of a small table, by the query: items whole, reordered, in part, repeated, beside texts that share words with them."""
+    from docloom.llm.queries import op2_decontamination
+
+    random.seed(9)
+    words = [f"w{i}" for i in range(30)]
+    items = [" ".join(random.choices(words, k=random.randint(12, 24))) for _ in range(14)]
+    texts = []
+    for _ in range(40):
+        own = random.choice(items).split()
+        kind = random.randrange(5)
+        if kind == 0:
+            own = own[len(own) // 2 :] + random.choices(words, k=5) + own[: len(own) // 2]
+        elif kind == 1:
+            own = own[: random.randint(4, len(own))]
+        elif kind == 2:
+            own = [w if random.random() < 0.8 else random.choice(words) for w in own]
+        elif kind == 3:
+            own = random.choices(words[:6], k=40)
+        texts.append(" ".join([*random.choices(words, k=random.randint(0, 50)), *own, *random.choices(words, k=random.randint(0, 30))]))
+    spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hashes = [D.tokens_of([t])[0].tolist() for t in [*texts, *items]]
+    want = {}
+    for d in range(len(texts)):
+        for i in range(len(items)):
+            matched = naive(hashes[d], hashes[len(texts) + i], D.SEED)
+            if matched >= D.COVERAGE * len(hashes[len(texts) + i]):
+                want[d, i] = matched
+    got = {(r.doc_id, r.item_id): r.n_matched for r in op2_decontamination(spark, str(tmp_path)).collect()}
+    assert got == want and 20 < len(want) < len(texts) * len(items) / 2
