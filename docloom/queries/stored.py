@@ -10,7 +10,7 @@ from docloom.operators import catalog as C
 from docloom.operators import commits
 from docloom.plans import bm25_blocks as B
 from docloom.plans import dense_index as D
-from docloom.plans import retrieval as R
+from docloom.plans import substring as G
 from docloom.queries import similar
 from docloom.queries import tables as T
 from docloom.queries.retrieval import _BM25, _COS, _top, asked
@@ -139,6 +139,20 @@ def deep_pages(spark, d):
     return _kept(spark, path, out.distinct() if step == 0 else out)
 
 
+_KEYWORDS = "k AS (SELECT item_id AS query_id, CASE WHEN item_id % 10 = 3 THEN substr(text, 1, 2) WHEN item_id % 10 = 4 THEN upper(substr(text, 5, 9)) ELSE substr(text, 3, 12) END AS keyword FROM benchmark)"
+
+
+@query("substring_search", f"WITH {_KEYWORDS} SELECT DISTINCT query_id, doc_id FROM k JOIN documents ON contains(lower(text), lower(keyword))")
+def substring_search(spark, d):
+    """Documents that contain a stretch of each benchmark passage, from a stored index of trigrams."""
+    path = new_folder(spark, "trigrams")
+    docs, i = T.table(spark, d, "documents").select("doc_id", "text"), F.col("item_id") % 10
+    keyword = F.when(i == 3, F.substring("text", 1, 2)).when(i == 4, F.upper(F.substring("text", 5, 9))).otherwise(F.substring("text", 3, 12))
+    G.write_trigrams(docs, path, "doc_id", "text")
+    asked_ = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), keyword.alias("keyword"))
+    return _kept(spark, path, G.search_substrings(asked_, docs, path, "doc_id", "text"))
+
+
 @query("bm25_blocks_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm25")
 def bm25_blocks_topk(spark, d):
     """The search of postings in blocks that skips those that can't reach the top."""

@@ -220,3 +220,23 @@ def test_blocks_of_nothing(spark):
     path = new_folder(spark, "blocks")
     B.write_blocks(spark.createDataFrame([], "id long, body string"), path, "id", "body")
     assert B.search_blocks(spark.createDataFrame([(1, "a")], "query_id long, query string"), path, 5, "id").count() == 0
+
+
+# -- substrings
+
+
+def test_keywords_by_trigrams(spark):
+    """Keywords inside words, across them, in other case, of one or two characters, empty, null, in no text; few candidates are compared."""
+    from docloom.plans import substring as G
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdeé%_"), 5)) for _ in range(12)) for _ in range(800)] + [None, "", "ab", "Das ÉLAN-Vital", "100%_x"]
+    keywords = [texts[5][7:20], texts[9][3:9].upper(), "élan-v", "ab", "%", "", None, "zzz nowhere", "abc", "%_x", "AB", texts[700][:30]]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, body string, gram string")
+    asked = spark.createDataFrame(list(enumerate(keywords)), "query_id int, keyword string")
+    path = new_folder(spark, "grams")
+    G.write_trigrams(docs, path, "id", "body")
+    got = sorted((r.query_id, r.id) for r in G.search_substrings(asked, docs, path, "id", "body").collect())
+    assert got == sorted((q, i) for q, k in enumerate(keywords) for i, t in enumerate(texts) if k is not None and t is not None and k.lower() in t.lower())
+    maybe = G.candidates(asked.where("query_id in (0, 1, 2, 7, 11)"), path, "id")
+    assert maybe.count() <= 40 and "PushedFilters: [In(gram" in maybe._jdf.queryExecution().executedPlan().toString()
