@@ -58,6 +58,9 @@ ROCKS = {
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true", f"{_STATE}.rocksdb.maxMemoryUsageMB": "128", f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true", f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
 }
 
+#: Whether the state is gone over once more after each start; it is at the next one anyway.
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 def fold(held: np.ndarray, events: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     """(windows that later events closed, windows open after the events); held: open windows, one a key."""
@@ -117,10 +120,14 @@ def merged(events: np.ndarray) -> np.ndarray:
 
 
 class Windows(StatefulProcessor):
-    """Open windows of a group of keys; closed ones are the output."""
+    """Open windows of a group of keys; closed ones are the output.
+
+    The watermark of a batch is that of the batches before it: windows that it has passed closed after ``before``,
+    the last of those; the batch's own events close others.
+    """
 
-    def __init__(self, batch: int, within: int):
-        self.batch, self.within = batch, within
+    def __init__(self, batch: int, before: int, within: int):
+        self.batch, self.before, self.within = batch, before, within
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -132,17 +139,23 @@ class Windows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         packed = [np.frombuffer(x, EVENT) for part in rows for x in part["events"]]
         events = np.concatenate(packed) if packed else np.zeros(0, EVENT)
-        on_time = (events["hour"].astype(np.int64) + SHIFT) * HOUR_MS > timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        on_time = (events["hour"].astype(np.int64) + SHIFT) * HOUR_MS > now
         held, timer = self._held()
-        closed, left = fold(held, events[on_time], self.within)
+        over = self._over(held, now)
+        closed, left = fold(held[~over], events[on_time], self.within)
         self._hold(left, timer)
-        yield from self._out(closed)
+        yield from self._out(held[over], self.before)
+        yield from self._out(closed, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, _ = self._held()
-        over = (held["start"] + self.within + SHIFT) * HOUR_MS <= timerValues.getCurrentWatermarkInMs()
+        over = self._over(held, timerValues.getCurrentWatermarkInMs())
         self._hold(held[~over], None)  # Spark removes the timer that has fired
-        yield from self._out(held[over])
+        yield from self._out(held[over], self.before)
+
+    def _over(self, windows: np.ndarray, now: int) -> np.ndarray:
+        return (windows["start"] + self.within + SHIFT) * HOUR_MS <= now
 
     def _held(self) -> tuple[np.ndarray, int | None]:
         got = self.state.get()
@@ -160,10 +173,10 @@ class Windows(StatefulProcessor):
         else:
             self.state.clear()
 
-    def _out(self, windows: np.ndarray) -> Iterator[pd.DataFrame]:
+    def _out(self, windows: np.ndarray, batch: int) -> Iterator[pd.DataFrame]:
         if len(windows):
             raw = np.ascontiguousarray(windows["hash"]).tobytes()
-            yield pd.DataFrame({"key": windows["key"], "start_hour": windows["start"], "closed_batch": np.int64(self.batch), "n_repeats": windows["n_repeats"], "n_conflicts": windows["n_conflicts"], "conflict_crc": windows["crc"], "hash": [raw[i : i + 32] for i in range(0, len(raw), 32)]})
+            yield pd.DataFrame({"key": windows["key"], "start_hour": windows["start"], "closed_batch": np.int64(batch), "n_repeats": windows["n_repeats"], "n_conflicts": windows["n_conflicts"], "conflict_crc": windows["crc"], "hash": [raw[i : i + 32] for i in range(0, len(raw), 32)]})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +220,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def deduplicate(events: DataFrame, batch: int, within: int = 72, delay: int = 48, groups: int | None = None) -> DataFrame:
+def deduplicate(events: DataFrame, batch: int, before: int, within: int = 72, delay: int = 48, groups: int | None = None) -> DataFrame:
     """The windows that close, as a streaming query over a stream of (key bigint, hour int, crc bigint, hash binary).
 
-    hash is a digest of 32 bytes, crc what is summed for each event unlike its window's opener;
-    batch is the number that closed windows bear. groups may not change on a checkpoint.
+    hash is a digest of 32 bytes, crc what is summed for each event unlike its window's opener. batch is the number of the
+    events' batch, before that of the one before it, after which the windows closed that the watermark has passed.
+    groups may not change on a checkpoint.
     """
     part = F.col("key") if groups is None else F.pmod(F.xxhash64("key"), F.lit(groups))
     rows = events.where("hour is not null").select(part.alias("part"), "key", F.col("hour").cast("int").alias("hour"), F.coalesce("crc", F.lit(0)).cast("bigint").alias("crc"), F.coalesce("hash", F.lit(bytes(32))).alias("hash"))
     packed = rows.mapInArrow(_pack, "part bigint, last timestamp, events binary").withWatermark("last", f"{delay} hours 1 millisecond")
-    return packed.groupBy("part").transformWithStateInPandas(Windows(batch, within), OUTPUT, "append", "eventTime")
+    return packed.groupBy("part").transformWithStateInPandas(Windows(batch, before, within), OUTPUT, "append", "eventTime")
 
 
 def _settings(spark: SparkSession, values: dict[str, str]) -> dict[str, str | None]:
@@ -236,7 +250,7 @@ def run_batches(events: DataFrame, n_batches: int, last_hour: int, within: int =
     events.select("batch", F.col("key").cast("bigint").alias("key"), F.col("hour").cast("int").alias("hour"), F.col("crc").cast("bigint").alias("crc"), "hash").write.partitionBy("batch").parquet(f"{root}/cut")
     spark.createDataFrame([(n_batches, None, last_hour + within + delay + 2, None, None)], f"batch int, {fields}").coalesce(1).write.partitionBy("batch").mode("append").parquet(f"{root}/cut")
     store.mkdirs(hadoop.Path(f"{root}/feed"))
-    before = _settings(spark, ROCKS)
+    settings, last = _settings(spark, ROCKS | {NO_DATA: "false"}), 0
     try:
         for batch in range(n_batches + 1):
             cut = hadoop.Path(f"{root}/cut/batch={batch}")
@@ -244,12 +258,15 @@ def run_batches(events: DataFrame, n_batches: int, last_hour: int, within: int =
                 continue  # nothing came: no watermark moves, so nothing closes
             if not store.rename(cut, hadoop.Path(f"{root}/feed/{batch}")):
                 raise OSError(f"batch {batch} of {root} can't be moved")
-            stream = deduplicate(spark.readStream.schema(fields).parquet(f"{root}/feed/*"), min(batch, n_batches - 1), within, delay, groups)
+            if batch == n_batches:
+                spark.conf.set(NO_DATA, "true")  # the sentinel's own time closes what is left
+            stream = deduplicate(spark.readStream.schema(fields).parquet(f"{root}/feed/*"), batch, last, within, delay, groups)
             query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
             common.remove(spark, f"{root}/feed/{batch}")
+            last = batch
     finally:
-        _settings(spark, before)
+        _settings(spark, settings)
     for done in ("cut", "feed", "checkpoint"):
         common.remove(spark, f"{root}/{done}")
     common._LEFT.append(root)
