@@ -30,6 +30,7 @@ is; no events give no windows; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -134,7 +135,8 @@ class Windows(StatefulProcessor):
         self.state = handle.getValueState("windows", "windows binary, timer bigint")
 
     def close(self) -> None:
-        pass
+        gc.collect()  # the client of the state refers to itself, and workers live on between tasks
+        common.trim_memory()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         packed = [np.frombuffer(x, EVENT) for part in rows for x in part["events"]]
