@@ -18,7 +18,7 @@ RAREST, SHORT_BLOCK = 4, 256
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct three characters in a row of a text, lower-cased; none of a text of fewer."""
+    """The distinct three characters in a row of a short text, lower-cased; none of a text of fewer."""
     low = F.lower(text)
     return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
@@ -26,7 +26,11 @@ def trigrams(text: Column) -> Column:
 def write_trigrams(docs: DataFrame, path: str, id_col: str, text: str) -> None:
     """Stores the postings (gram, id) and the number of texts of each gram below path; rows of one id count as one."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.explode(trigrams(F.col(text))).alias("gram")).distinct()
+    # As a column of characters, of which each is reached at once; substring() would walk a text from its start each time.
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.split(F.lower(text), "").alias("__c")).where(F.size("__c") >= 3)
+    at = lambda i: F.concat(F.get("__c", i), F.get("__c", i + 1), F.get("__c", i + 2))
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("__c") - 3), at)))
+    rows = texts.select(id_col, grams.alias("gram")).where(F.length("gram") == 3).distinct()
     rows.repartitionByRange("gram", id_col).sortWithinPartitions("gram", id_col).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("df"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
