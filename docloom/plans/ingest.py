@@ -78,12 +78,13 @@ def linked_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth:
     return rows.select(sha256_id("doc", F.col("parent_doc_id").cast("string"), F.col("original_uri")).alias("doc_id"), "parent_doc_id", "root_doc_id", "asset_id", F.col("original_uri").alias("source_uri"), F.col("kind").alias("source_type"), F.when(error.isNull(), "pending").otherwise("failed").alias("status"), error.alias("error_message"))
 
 
-def child_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth: int = 3) -> DataFrame:
+def child_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth: int = 3, together: bool = True) -> DataFrame:
     """Document links with outcome. assets: as linked_documents, with data and fetch_error.
 
     failed: not fetched (download_failed: why), of no known suffix, or too deep; reused: a live document holds the
     content, whose place (storage_uri) and id (existing_id) the asset takes, or an earlier link of this batch does;
-    child: a new document, queued as a job of its own. One content makes one child.
+    child: a new document, queued as a job of its own. One content makes one child; unless the links are taken together,
+    each is judged by the live documents alone, as if it were the only one.
     """
     live = docs.where(F.col("status").isin("active", "processing")).groupBy("source_hash").agg(F.min(F.struct("doc_id", "source_uri")).alias("__live"))
     rows = linked_documents(assets, docs, depth, max_depth).drop("parent_doc_id").withColumnRenamed("doc_id", "child_id")
@@ -93,7 +94,7 @@ def child_documents(assets: DataFrame, docs: DataFrame, depth: int, max_depth: i
     rows = rows.withColumns({"error_message": error, "source_hash": F.when(~missing, content_hash(F.col("data")))}).join(live, "source_hash", "left")
     first = F.min(F.when(F.col("error_message").isNull(), F.struct("asset_id", "child_id"))).over(Window.partitionBy("source_hash"))
     rows = rows.withColumn("__first", first)
-    again = F.col("__first.asset_id") < F.col("asset_id")
+    again = (F.col("__first.asset_id") < F.col("asset_id")) & F.lit(together)
     outcome = F.when(F.col("error_message").isNotNull(), "failed").when(F.col("__live").isNotNull() | again, "reused").otherwise("child")
     rows = rows.withColumn("outcome", outcome)
     taken = F.col("outcome") == "reused"
