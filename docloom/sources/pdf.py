@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -136,7 +137,7 @@ class _Block:
     bold: bool
     spans: list[Span]
 
-    @property
+    @cached_property
     def text(self) -> str:
         return " ".join("".join(s.text for s in line) for line in _lines_of(self.spans)).strip()
 

@@ -2,6 +2,14 @@
 
 
 from docloom.plans import ingest as I
+from docloom.queries import parsing
+
+
+def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "1 2 ?"), (4, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.seq, r.text) for r in parsing.parse_pdf_elements(spark, f"file://{tmp_path}").collect())
+    assert got == [(i, 1, f"Document {i}") for i in (1, 2, 3, 4)] + [(4, 2, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
 
 
 def test_links_judged_alone(spark):
