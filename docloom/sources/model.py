@@ -19,6 +19,9 @@ _ELEMENT = pa.struct([("seq", pa.int32()), ("element_type", pa.string()), ("text
 _ASSET = pa.struct([("asset", pa.int32()), ("asset_type", pa.string()), ("original_uri", pa.string()), ("display_text", pa.string()), ("element_seq", pa.int32()), ("data", pa.binary())])
 _RESULT = pa.struct([("elements", pa.list_(_ELEMENT)), ("assets", pa.list_(_ASSET)), ("error", pa.string())])
 
+#: Documents whose results a task holds as Python objects.
+ROWS = 64
+
 #: Placeholder names by asset type; anything else is res.
 PREFIX = {"image": "image", "video": "video", "image_link": "image", "video_link": "video", "document_link": "doc", "web_link": "web"}
 
@@ -106,7 +109,7 @@ def parse_column(content: Column, source_type: Column, registry: Registry) -> Co
 
     @F.arrow_udf(RESULT)
     def run(content: pa.Array, source_type: pa.Array) -> pa.Array:
-        out = []
+        done, out = [], []
         for i in range(len(content)):
             kind = (source_type[i].as_py() or "").lower()
             try:
@@ -115,7 +118,10 @@ def parse_column(content: Column, source_type: Column, registry: Registry) -> Co
                 out.append(parsers[kind](content[i].as_py() or b""))
             except Exception as e:  # a document's failure is a value
                 out.append({"elements": [], "assets": [], "error": f"{type(e).__name__}: {e}"[:2000]})
-        return pa.array(out, _RESULT)
+            if len(out) == ROWS:  # as dicts, results take many times as much
+                done.append(pa.array(out, _RESULT))
+                out = []
+        return pa.concat_arrays([*done, pa.array(out, _RESULT)])
 
     return run(content.cast("binary"), source_type)
 

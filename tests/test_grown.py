@@ -1,8 +1,10 @@
 """Steps that must not grow faster than their input, and rows that odd inputs must give."""
 
+from pyspark.sql import functions as F
 
 from docloom.plans import ingest as I
 from docloom.queries import parsing
+from docloom.sources import model
 
 
 def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
@@ -12,6 +14,24 @@ def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
     assert got == [(i, 1, f"Document {i}") for i in (1, 2, 3, 4)] + [(4, 2, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
 
 
+def test_results_are_not_held_as_objects(spark):
+    class Counted(dict):
+        live = 0
+
+        def __init__(self):
+            Counted.live += 1
+            super().__init__(elements=[{"seq": Counted.live}], assets=[], error=None)
+
+        def __del__(self):
+            Counted.live -= 1
+
+    registry = model.Registry()
+    registry.register(lambda content: Counted(), "x")
+    docs = spark.range(1000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("source_type"), F.lit("t").alias("content"))
+    most = model.element_rows(model.parse_documents(docs, registry)).agg(F.count("*"), F.max("seq")).first()
+    assert most[0] == 1000 and most[1] <= 2 * model.ROWS
+
+
 def test_links_judged_alone(spark):
     """Of two links of one content both are children if each is judged by the documents alone."""
     docs = spark.createDataFrame([(1, None, "sha256:0", "u", "active")], "doc_id long, root_doc_id long, source_hash string, source_uri string, status string")
