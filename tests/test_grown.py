@@ -3,10 +3,29 @@
 from pyspark.sql import functions as F
 
 from docloom.plans import ingest as I
+from docloom.plans import similar as S
 from docloom.queries import parsing
 from docloom.sources import model
 
 
+def test_near_copies_are_compared_with_the_first(spark, monkeypatch):
+    """60 near copies make 1770 pairs, of which the first of each is enough."""
+    rows = [(i, "one two three four five six seven eight nine ten " * 5 + f"w{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    pairs = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    compared, plain = [], S._cosines
+    monkeypatch.setattr(S, "_cosines", lambda p, *more: (compared.append(p.count()), plain(p, *more))[1])
+    got = S.first_close(pairs, docs, "id", lambda: F.split("body", " "), 0.9)
+    assert {(r.b, r.near) for r in got.collect()} == {(b, 0) for b in range(1, 60)} and sum(compared) == 59
+
+
+def test_candidates_that_fail_are_passed_over(spark):
+    rows = [(i, f"x{i} y{i}") for i in range(40)] + [(50, "x30 y30"), (51, "x7 y7"), (52, "z"), (53, "")]
+    pairs = spark.createDataFrame([(a, b) for b in (50, 51, 52, 53) for a in range(40)], "a long, b long")
+    got = S.first_close(pairs, spark.createDataFrame(rows, "id long, body string"), "id", lambda: F.filter(F.split("body", " "), lambda w: w != ""), 0.9)
+    assert sorted((r.b, r.near) for r in got.collect()) == [(50, 30), (51, 7)]
+
+
 def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "1 2 ?"), (4, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
