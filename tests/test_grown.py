@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docloom.plans import ingest as I
 from docloom.plans import similar as S
 from docloom.queries import parsing
+from docloom.queries import similar as QS
 from docloom.sources import model
 
 
@@ -26,6 +27,11 @@ def test_candidates_that_fail_are_passed_over(spark):
     assert sorted((r.b, r.near) for r in got.collect()) == [(50, 30), (51, 7)]
 
 
+def test_values_are_made_once(spark, sf001):
+    plan = QS.simhash_groups(spark, sf001)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
+
+
 def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "1 2 ?"), (4, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
