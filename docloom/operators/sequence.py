@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import cosine
+from docloom.store import written
 
 
 #: Rows of a sheet that are matched with merged ranges together.
 BAND = 64
+#: Rows of a task that looks for runs, and numbers of a range in which it does.
+TASK_ROWS, SPAN = 1 << 20, 1 << 20
 
 
 def _along(keys: list[str], order: str):
@@ -57,10 +60,25 @@ def _paths():
 
 
 def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, first, last, size) of each run of consecutive whole numbers."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    marked = df.select(*keys, value).distinct().withColumn("__group", F.col(value) - F.row_number().over(w))
-    return marked.groupBy(*keys, "__group").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size")).drop("__group")
+    """(keys, first, last, size) of each run of consecutive whole numbers.
+
+    A task takes about TASK_ROWS rows: values are dealt by key and range of SPAN, sorted, and cut into runs there. Only runs
+    that touch both sides of a range's edge are then put together by key.
+    """
+    n = max(1, -(-df.count() // TASK_ROWS))
+    reach = F.floor(F.col(value) / SPAN)
+    w = Window.partitionBy(*keys, "__range").orderBy(value)
+    placed = df.select(*keys, value, reach.alias("__range")).repartition(n, *keys, "__range")
+    once = placed.withColumn("__before", F.lag(value).over(w)).where(F.col("__before").isNull() | (F.col("__before") < F.col(value)))
+    marked = once.withColumn("__group", F.col(value) - F.row_number().over(w))
+    runs = marked.groupBy(*keys, "__range", "__group").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size"))
+    edge = (F.pmod("first", F.lit(SPAN)) == 0) | (F.pmod("last", F.lit(SPAN)) == SPAN - 1)
+    runs = written(runs.withColumn("__edge", F.coalesce(edge, F.lit(False))))
+    along = Window.partitionBy(*keys).orderBy("first")
+    open_ = runs.where("__edge").withColumn("__new", F.coalesce(F.col("first") - F.lag("last").over(along) > 1, F.lit(True)).cast("int")).withColumn("__group", F.sum("__new").over(along))
+    joined = open_.groupBy(*keys, "__group").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"))
+    names = [*keys, "first", "last", "size"]
+    return runs.where("not __edge").select(*names).unionByName(joined.select(*names))
 
 
 def regions(cells: DataFrame, keys: list[str]) -> DataFrame:

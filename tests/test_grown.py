@@ -1,7 +1,9 @@
 """Steps that must not grow faster than their input, and rows that odd inputs must give."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from docloom.operators import sequence
 from docloom.plans import ingest as I
 from docloom.plans import similar as S
 from docloom.queries import parsing
@@ -63,3 +65,18 @@ def test_links_judged_alone(spark):
     links = spark.createDataFrame([(i, 1, "document_link", f"http://a/{i}.html", bytearray(b"same"), None) for i in (1, 2)], "asset_id long, doc_id long, asset_type string, original_uri string, data binary, fetch_error string")
     outcome = lambda **more: {r.asset_id: r.outcome for r in I.child_documents(links, docs, 1, **more).collect()}
     assert outcome() == {1: "child", 2: "reused"} and outcome(together=False) == {1: "child", 2: "child"}
+
+
+def test_runs_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "SPAN", 8)
+    monkeypatch.setattr(sequence, "TASK_ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = {("a", int(v)) for v in rng.integers(-60, 60, 90)} | {("b", v) for v in (*range(-30, 31), 40, 47, 48, 56, 63, 64)} | {(None, v) for v in (7, 8, 9, 15)}
+    df = spark.createDataFrame([*rows, *list(rows)[:40], ("a", None)], "k string, v long")
+    want = []
+    for key in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == key)
+        cuts = [0, *[i for i in range(1, len(own)) if own[i] - own[i - 1] > 1], len(own)]
+        want += [(key, own[a], own[b - 1], b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    got = [tuple(r) for r in sequence.islands(df.where("v is not null"), ["k"], "v").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
