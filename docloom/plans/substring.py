@@ -1,20 +1,26 @@
 """Keyword search inside texts by stored trigrams: candidates from the index, then the texts of candidates alone.
 
-The index holds the ids of each three characters that occur in a lower-cased text, sorted by them. A keyword's rarest
+The index holds lists of the ids of each three characters that occur in a lower-cased text, sorted by them, a list for each few thousand texts. A keyword's rarest
 trigrams give candidates, which must hold all of those; their texts are compared with the keyword. Keywords
 of one or two characters have no trigram: they are looked for in all texts, in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.plans.retrieval import LITERAL_TERMS
-from docloom.store import cut
+from docloom.store import cut, written
 
 #: Trigrams of a keyword that candidates are taken from, the rarest first; short keywords looked for at once.
 RAREST, SHORT_BLOCK = 4, 256
+#: Texts whose trigrams are listed together.
+TEXTS = 2048
 
 
 def trigrams(text: Column) -> Column:
@@ -24,15 +30,27 @@ def trigrams(text: Column) -> Column:
 
 
 def write_trigrams(docs: DataFrame, path: str, id_col: str, text: str) -> None:
-    """Stores the postings (gram, id) and the number of texts of each gram below path; rows of one id count as one."""
+    """Stores the postings (gram, ids) and the number of texts of each gram below path; a search counts rows of one id as one."""
     spark = docs.sparkSession
-    # As a column of characters, of which each is reached at once; substring() would walk a text from its start each time.
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.split(F.lower(text), "").alias("__c")).where(F.size("__c") >= 3)
-    at = lambda i: F.concat(F.get("__c", i), F.get("__c", i + 1), F.get("__c", i + 2))
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("__c") - 3), at)))
-    rows = texts.select(id_col, grams.alias("gram")).where(F.length("gram") == 3).distinct()
-    rows.repartitionByRange("gram", id_col).sortWithinPartitions("gram", id_col).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("df"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(id_col, F.lower(text).alias("__low"))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each trigram among TEXTS texts."""
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                grams = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in part.column(1).to_pylist()]
+                coded = pa.array([g for own in grams for g in own], pa.string()).dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(codes, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
+                of = np.repeat(np.arange(len(grams)), [len(own) for own in grams])[order]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part.column(0).take(pa.array(of, pa.int64())))], ["gram", "ids"])
+
+    rows = written(texts.mapInArrow(lists, f"gram string, ids array<{kind}>"))  # ranges are cut from what is stored, not from the texts again
+    rows.repartitionByRange("gram", F.col("ids")[0]).sortWithinPartitions("gram").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("ids")).alias("df"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
 
 
@@ -51,7 +69,8 @@ def candidates(keywords: DataFrame, path: str, id_col: str) -> DataFrame:
     few = [r["gram"] for r in rare.select("gram").distinct().limit(LITERAL_TERMS + 1).collect()]
     postings = spark.read.parquet(f"{path}/postings")
     postings = postings.where(F.col("gram").isin(few)) if len(few) <= LITERAL_TERMS else postings
-    held = postings.join(rare, "gram").groupBy("query_id", "keyword", id_col).agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    own = postings.join(rare, "gram").select("query_id", "keyword", "gram", "n", F.explode("ids").alias(id_col))
+    held = own.groupBy("query_id", "keyword", id_col).agg(F.size(F.collect_set("gram")).alias("held"), F.first("n").alias("n"))  # RAREST grams at most
     return held.where(F.col("held") == F.col("n")).select("query_id", "keyword", id_col)
 
 

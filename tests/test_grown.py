@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from docloom.operators import sequence
 from docloom.plans import ingest as I
 from docloom.plans import similar as S
+from docloom.plans import substring as G
 from docloom.queries import parsing
 from docloom.queries import similar as QS
 from docloom.sources import model
+from docloom.store import new_folder
 
 
 def test_near_copies_are_compared_with_the_first(spark, monkeypatch):
@@ -80,3 +82,14 @@ def test_runs_across_ranges(spark, monkeypatch):
         want += [(key, own[a], own[b - 1], b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
     got = [tuple(r) for r in sequence.islands(df.where("v is not null"), ["k"], "v").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_trigram_lists(spark, monkeypatch):
+    """Lists of few texts each, ids that come twice, characters beyond the first plane."""
+    monkeypatch.setattr(G, "TEXTS", 2)
+    docs = spark.createDataFrame([(1, "abcd abc"), (2, "xabcy"), (2, "other"), (3, "😀😁😂 z"), (4, "ab"), (None, "abc"), (5, None), (6, "aBCd")], "id long, body string")
+    path = new_folder(spark, "grams")
+    G.write_trigrams(docs, path, "id", "body")
+    asked = spark.createDataFrame([(1, "abc"), (2, "😁😂 "), (3, "bcd"), (4, "zzz")], "query_id long, keyword string")
+    assert sorted(tuple(r) for r in G.search_substrings(asked, docs, path, "id", "body").collect()) == [(1, 1), (1, 2), (1, 6), (2, 3), (3, 1), (3, 6)]
+    assert max(r.n for r in spark.read.parquet(f"{path}/postings").select(F.size("ids").alias("n")).collect()) >= 2
