@@ -221,50 +221,74 @@ class DenseIndex:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), pa.array(cell.astype(np.int32))], ["query_id", "cell"])
 
         first = cut(asked.mapInArrow(near, f"query_id {kind}, cell int"))
-        found = cut(self._scored(asked, self._shortlist(asked, first, SHORTLIST * k, None)))
+        found = cut(self._scored(asked, self._shortlist(asked, first, SHORTLIST * k)))
         if exact:
             w = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC)"
             floors = found.withColumn("__n", F.expr(w)).where(F.col("__n") == k).select("query_id", F.col("score").alias("floor"))
             # Cells looked into are gone over again for what the codes ranked too low.
             floored = cut(asked.join(floors, "query_id", "left"))
             more = floored.select("query_id", "q", "floor").mapInArrow(near, f"query_id {kind}, cell int").unionByName(first)
-            found = found.unionByName(self._scored(asked, self._shortlist(floored, cut(more), None, "floor"))).distinct()
+            found = found.unionByName(self._reached(floored, cut(more), k)).distinct()
         ranked = rank(found, k, F.col("score").desc(), F.col(id_col))
         return ranked.where("score > 0") if positive else ranked
 
-    def _shortlist(self, asked: DataFrame, cells: DataFrame, most: int | None, floor: str | None) -> DataFrame:
-        """(query_id, item id, cell): by codes, the best ``most`` of a query, or all that may reach its floor."""
-        codes, id_col = self.codes, self.item_id
-        rows = self.live(cells).select("cell", id_col, "code", "off")
+    def _met(self, asked: DataFrame, cells: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+        """(queries (side 0) and rows (side 1) of each cell, sorted by cell and part in tasks; the columns' types)."""
+        id_col = self.item_id
+        rows = self.live(cells).select("cell", id_col, *columns)
         parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-        none = lambda t: F.lit(None).cast(t)
         kinds = {f.name: f.dataType.simpleString() for f in (*asked.schema.fields, *rows.schema.fields)}
-        least = F.coalesce(F.col(floor), F.lit(-2.0)) if floor else F.lit(-2.0)
-        ask = cells.join(asked.select("query_id", "q", least.alias("floor")), "query_id").join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "query_id", "q", "floor", none(kinds[id_col]).alias(id_col), none("binary").alias("code"), none("double").alias("off"))
-        held = rows.join(parts, "cell").select("cell", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), none(kinds["query_id"]).alias("query_id"), none("array<double>").alias("q"), none("double").alias("floor"), id_col, "code", "off")
+        none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+        own = [c for c in asked.columns if c != "query_id"]
+        ask = cells.join(asked, "query_id").join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "query_id", *own, *map(none, (id_col, *columns)))
+        held = rows.join(parts, "cell").select("cell", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), *map(none, ("query_id", *own)), id_col, *columns)
+        return ask.unionByName(held).repartition("cell", "part").sortWithinPartitions("cell", "part", "side"), kinds
+
+    def _shortlist(self, asked: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+        """(query_id, item id, cell): by codes, the best ``most`` of a query."""
+        codes, id_col = self.codes, self.item_id
+        met, kinds = self._met(asked, cells, ["code"])
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in runs(batches, 2):
-                side = group.column("side").to_numpy()
-                mine, theirs = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
-                if not len(mine) or not len(theirs):
-                    continue
-                cell = group.column("cell")[0].as_py()
-                code = np.frombuffer(b"".join(theirs.column("code").to_pylist()), np.uint8).reshape(len(theirs), -1)
-                off, names, ids = theirs.column("off").to_numpy(), mine.column("query_id").combine_chunks(), theirs.column(id_col).combine_chunks()
+            for mine, theirs, cell in _sides(batches):
+                code = _codes(theirs)
+                names, ids = mine.column("query_id").combine_chunks(), theirs.column(id_col).combine_chunks()
                 for i in range(0, len(mine), 256):
                     scores = codes.scores(_unit(_matrix(mine.column("q").slice(i, 256))), cell, code)
-                    if most is not None:
-                        order = np.argpartition(-scores, min(most, scores.shape[1]) - 1, axis=1)[:, :most]
-                        q, x = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
-                    else:
-                        floors = mine.column("floor").slice(i, 256).to_numpy()
-                        q, x = np.nonzero(scores + off[None, :] >= floors[:, None] - HALF)
+                    order = np.argpartition(-scores, min(most, scores.shape[1]) - 1, axis=1)[:, :most]
+                    q, x = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), ids.take(pa.array(x)), pa.array(np.full(len(x), cell, np.int32)), pa.array(scores[q, x])], ["query_id", id_col, "cell", "guess"])
 
-        met = ask.unionByName(held).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
         found = met.mapInArrow(best, f"query_id {kinds['query_id']}, `{id_col}` {kinds[id_col]}, cell int, guess double")
-        return (rank(found, most, F.col("guess").desc(), F.col(id_col)) if most is not None else found).select("query_id", id_col, "cell")
+        return rank(found, most, F.col("guess").desc(), F.col(id_col)).select("query_id", id_col, "cell")
+
+    def _reached(self, asked: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+        """(query_id, item id, score): of each part of a cell the best k that reach the floor of a query (asked: query_id, q, floor).
+
+        Codes tell which vectors may; these are multiplied where they lie, so no pair leaves a task but those k.
+        """
+        codes, id_col = self.codes, self.item_id
+        met, kinds = self._met(asked, cells, ["code", "off", "vector"])
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for mine, theirs, cell in _sides(batches):
+                code, off = _codes(theirs), theirs.column("off").to_numpy()
+                names, ids = mine.column("query_id").combine_chunks(), theirs.column(id_col).combine_chunks()
+                plain, vectors = ids.to_numpy(zero_copy_only=False), _unit(_matrix(theirs.column("vector")))
+                for i in range(0, len(mine), 256):
+                    part = mine.slice(i, 256)
+                    own, floors = _unit(_matrix(part.column("q"))), part.column("floor").fill_null(-2.0).to_numpy()[:, None]
+                    may = codes.scores(own, cell, code) + off[None, :] >= floors - HALF
+                    some = np.flatnonzero(may.any(0))
+                    scores = np.round(own @ vectors[some].T, SCALE) + 0.0
+                    q, x = np.nonzero(may[:, some] & (scores >= floors - HALF))
+                    order = np.lexsort((plain[some[x]], -scores[q, x], q))
+                    q, x = q[order], x[order]
+                    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    q, x = q[first], x[first]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), ids.take(pa.array(some[x])), pa.array(scores[q, x])], ["query_id", id_col, "score"])
+
+        return met.mapInArrow(best, f"query_id {kinds['query_id']}, `{id_col}` {kinds[id_col]}, score double")
 
     def _scored(self, asked: DataFrame, pairs: DataFrame) -> DataFrame:
         """pairs with their cosines; only the vectors of pairs are read into products."""
@@ -279,3 +303,16 @@ class DenseIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round((a * b).sum(1), SCALE) + 0.0 if len(batch) else np.zeros(0))], ["query_id", id_col, "score"])
 
         return rows.select("query_id", id_col, "vector", "q").mapInArrow(score, f"query_id {kinds['query_id']}, `{id_col}` {kinds[id_col]}, score double")
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table, int]]:
+    """The queries, the rows and the number of each cell's part that has both."""
+    for group in runs(batches, 2):
+        side = group.column("side").to_numpy()
+        mine, theirs = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
+        if len(mine) and len(theirs):
+            yield mine, theirs, group.column("cell")[0].as_py()
+
+
+def _codes(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)

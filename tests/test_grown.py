@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import sequence
+from docloom.plans import dense_index as D
 from docloom.plans import ingest as I
+from docloom.plans import retrieval as R
 from docloom.plans import similar as S
 from docloom.plans import substring as G
 from docloom.queries import parsing
@@ -84,6 +86,21 @@ def test_runs_across_ranges(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+
+
+def test_pairs_do_not_leave_the_tasks(spark, monkeypatch):
+    """Vectors without structure: all may reach the floor, but of each part of a cell k pass a query on at most."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(900)]
+    items, queries = spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(rows[::30], "query_id long, embedding array<double>")
+    index = D.DenseIndex.build(items, new_folder(spark, "dense"), "id", "embedding", 8)
+    passed, plain = [], D.DenseIndex._scored
+    monkeypatch.setattr(D.DenseIndex, "_scored", lambda self, asked, pairs: (passed.append(pairs.count()), plain(self, asked, pairs))[1])
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in index.search(queries, 5).collect())
+    assert got == sorted((r.query_id, r["rank"], r.id, r.score) for r in R.vector_topk(queries, items, 5, "id").collect())
+    assert sum(passed) <= 30 * 5 * D.SHORTLIST
+
+
 def test_trigram_lists(spark, monkeypatch):
     """Lists of few texts each, ids that come twice, characters beyond the first plane."""
     monkeypatch.setattr(G, "TEXTS", 2)
