@@ -93,6 +93,22 @@ def test_empty_table(spark):
     assert click_dedup.deduplicate_clicks(spark.createDataFrame([], ROW)).count() == 0
 
 
+def test_last_batches_without_rows(spark):
+    """Copies of one hour fill the first batch alone; what stays open closes after the last one."""
+    t = datetime(2024, 1, 1, 5)
+    df = spark.createDataFrame([(3, t, t, 1, "a", 1.0, "{}", "x", 0)], ROW)
+    got = click_dedup.deduplicate_clicks(df).selectExpr("key AS click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "lower(hex(hash)) AS hash")
+    assert rows_of(got) == expected([r.asDict() for r in df.collect()]) and got.first()["closed_batch"] == 11
+
+
+def test_no_start_after_the_last_batch(spark, monkeypatch):
+    """A start opens the stores of all partitions, and each keeps native memory: there is one for each batch with rows."""
+    t, starts, made = datetime(2024, 1, 1), [], click_dedup.deduplicate
+    monkeypatch.setattr(click_dedup, "deduplicate", lambda *a: starts.append(a[1]) or made(*a))
+    df = spark.createDataFrame([(3 * k, t, t + timedelta(hours=100 * k), k, "z", 1.0, None, "x", 0) for k in range(30)], ROW)
+    assert click_dedup.deduplicate_clicks(df, n_batches=3).count() == 30 and starts == [0, 1, 2]
+
+
 def test_fold_against_the_rule():
     rng = np.random.default_rng(3)
     for _ in range(60):
