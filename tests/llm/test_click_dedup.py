@@ -109,6 +109,21 @@ def test_no_start_after_the_last_batch(spark, monkeypatch):
     assert click_dedup.deduplicate_clicks(df, n_batches=3).count() == 30 and starts == [0, 1, 2]
 
 
+def test_stores_without_native_memory(spark, tmp_path, monkeypatch):
+    """RocksDB keeps native memory for each store of each start, whatever the session prefers; a store of one map has none."""
+    t, name = datetime(2024, 1, 1), "spark.sql.streaming.stateStore.providerClass"
+    monkeypatch.setattr(click_dedup, "shared_folder", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(click_dedup.common, "remove", lambda *_: None)
+    df = spark.createDataFrame([(3 * k, t, t + timedelta(hours=100 * k), k, "z", 1.0, None, "x", 0) for k in range(30)], ROW)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        assert click_dedup.deduplicate_clicks(df, n_batches=3).count() == 30 and spark.conf.get(name).endswith("RocksDBStateStoreProvider")
+    finally:
+        spark.conf.unset(name)
+    kinds = {p.suffix for p in tmp_path.glob("docloom-clicks-*/checkpoint/state/0/*/*") if not p.name.startswith((".", "_"))}
+    assert ".delta" in kinds and not kinds & {".zip", ".changelog"}
+
+
 def test_fold_against_the_rule():
     rng = np.random.default_rng(3)
     for _ in range(60):
