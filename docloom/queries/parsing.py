@@ -75,13 +75,14 @@ def share_page(spark, d):
 
 @query("parse_pdf_elements", "WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) SELECT doc_id, 1 AS seq, 'title' AS element_type, 'Document ' || doc_id AS text, 1 AS page FROM documents UNION ALL SELECT doc_id, 2, 'paragraph', array_to_string(w, ' '), 1 FROM t WHERE len(w) > 0")
 def parse_pdf_elements(spark, d):
-    """The documents' words as PDF files of one page, a line of ten words each, and read again."""
+    """The documents' words as PDF files of one page, a line of ten words each, and read again. All stands below the page's upper edge,
+    where a text of one word like "mil" would be taken for a page number."""
     words = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), " ")
     rows = T.table(spark, d, "documents").select("doc_id", words.alias("w"))
     # Each tenth space ends a line, in one pass; a slice for each line would copy the whole array each time.
     lines = F.concat(F.lit("("), F.regexp_replace("w", r"((?:[A-Za-z]+ ){9}[A-Za-z]+) ", "$1) Tj T*\n("), F.lit(") Tj T*"))
-    head = F.concat(F.lit("BT /F 20 Tf 12 TL 50 40000 Td (Document "), F.col("doc_id").cast("string"), F.lit(") Tj ET BT /F 10 Tf 12 TL 50 39900 Td\n"))
+    head = F.concat(F.lit("BT /F 20 Tf 12 TL 50 48100 Td (Document "), F.col("doc_id").cast("string"), F.lit(") Tj ET BT /F 10 Tf 12 TL 50 48000 Td\n"))
     page = F.concat(head, lines, F.lit(" ET"))
-    objects = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 900 40100] /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >> endobj\n5 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >> endobj\n4 0 obj << /Length "), F.octet_length(page).cast("string"), F.lit(" >>\nstream\n"), page, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>"))
+    objects = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /MediaBox [0 0 900 60000] /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >> endobj\n5 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >> endobj\n4 0 obj << /Length "), F.octet_length(page).cast("string"), F.lit(" >>\nstream\n"), page, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>"))
     docs = rows.select("doc_id", F.lit("pdf").alias("source_type"), objects.cast("binary").alias("content"))
     return model.element_rows(model.parse_documents(docs, default_registry())).select("doc_id", "seq", "element_type", "text", "page")

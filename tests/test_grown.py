@@ -45,6 +45,15 @@ def test_a_pdf_of_no_text_has_its_title(spark, tmp_path):
     assert got == [(i, 1, f"Document {i}") for i in (1, 2, 3, 4)] + [(4, 2, " ".join(f"w{'abc'[i % 3]}" for i in range(25)))]
 
 
+def test_a_pdf_of_a_numeral_is_no_page_number(spark, tmp_path):
+    """Words of the letters of Roman numerals, which stand alone at a page's edge in running feet."""
+    texts = ["mil", "DI", "là 7", "XIV", "i", "mix mix", "clic " * 30000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.seq, r.element_type, r.text) for r in parsing.parse_pdf_elements(spark, f"file://{tmp_path}").collect()}
+    words = [t.replace("là 7", "l").strip() for t in texts]
+    assert got == {(i, 1, "title", f"Document {i}") for i in range(7)} | {(i, 2, "paragraph", w) for i, w in enumerate(words)}
+
+
 def test_results_are_not_held_as_objects(spark):
     class Counted(dict):
         live = 0
