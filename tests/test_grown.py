@@ -119,3 +119,31 @@ def test_trigram_lists(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "abc"), (2, "😁😂 "), (3, "bcd"), (4, "zzz")], "query_id long, keyword string")
     assert sorted(tuple(r) for r in G.search_substrings(asked, docs, path, "id", "body").collect()) == [(1, 1), (1, 2), (1, 6), (2, 3), (3, 1), (3, 6)]
     assert max(r.n for r in spark.read.parquet(f"{path}/postings").select(F.size("ids").alias("n")).collect()) >= 2
+
+
+def cuts(monkeypatch, spark):
+    """(columns, plan, rows that go to Python at once) of what is cut from now on."""
+    seen, plain = [], S.cut
+
+    def cut(df):
+        seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return plain(df)
+
+    monkeypatch.setattr(S, "cut", cut)
+    return seen
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """A value has 20 keys, yet Spark takes its rows with keys for as few bytes as the value's table."""
+    seen = cuts(monkeypatch, spark)
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, F.xxhash64("id")).otherwise(F.col("id") * 64).alias("v"))
+    pairs = S.hamming_pairs(rows, "id", "v")
+    plans = [plan for _, plan, _ in seen] + [pairs._jdf.queryExecution().executedPlan().toString()]
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 2 and not any("Broadcast" in plan for plan in plans)
+    assert pairs.count() > 1000
+
+
+def test_pairs_make_values_once(spark, sf001, monkeypatch):
+    seen = cuts(monkeypatch, spark)
+    QS.simhash_pairs(spark, sf001)
+    assert sum(plan.count("ArrowEvalPython") for _, plan, _ in seen) == 1
