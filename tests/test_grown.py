@@ -12,7 +12,7 @@ from docloom.plans import substring as G
 from docloom.queries import parsing
 from docloom.queries import similar as QS
 from docloom.sources import model
-from docloom.store import new_folder
+from docloom.store import batches_of, new_folder
 
 
 def test_near_copies_are_compared_with_the_first(spark, monkeypatch):
@@ -147,3 +147,14 @@ def test_pairs_make_values_once(spark, sf001, monkeypatch):
     seen = cuts(monkeypatch, spark)
     QS.simhash_pairs(spark, sf001)
     assert sum(plan.count("ArrowEvalPython") for _, plan, _ in seen) == 1
+
+
+def test_texts_go_to_python_few_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen = spark.conf.get(key), cuts(monkeypatch, spark)
+    text = "the quick brown fox jumps over the lazy dog while seven wizards brew another kettle of tea near mountains "
+    S.funnel(spark.createDataFrame([(1, text * 6), (2, text * 6 + "tea")], "id long, body string"), "id", "body").collect()
+    assert {int(n) for _, plan, n in seen if "ArrowEvalPython" in plan} == {S.ROWS} and sum("ArrowEvalPython" in plan for _, plan, _ in seen) >= 2
+    with batches_of(spark, 10**6):
+        assert spark.conf.get(key) == was
+    assert spark.conf.get(key) == was
