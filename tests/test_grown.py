@@ -158,3 +158,10 @@ def test_texts_go_to_python_few_at_a_time(spark, monkeypatch):
     with batches_of(spark, 10**6):
         assert spark.conf.get(key) == was
     assert spark.conf.get(key) == was
+
+
+def test_words_are_kept_once_with_counts(spark):
+    docs = spark.createDataFrame([(1, "x y x x"), (1, "y z"), (2, "x"), (3, "q"), (4, "")], "id long, body string")
+    pairs = spark.createDataFrame([(1, 2), (1, 4)], "a long, b long")
+    lists = S._word_lists(pairs, docs, "id", lambda: F.filter(F.split("body", " "), lambda w: w != ""))
+    assert {r.id: dict(zip(r.w.terms, r.w.counts, strict=True)) for r in lists.collect()} == {1: {"x": 3, "y": 2, "z": 1}, 2: {"x": 1}}
